@@ -85,7 +85,7 @@ def attribution_rows(fused: DataFrame, keys: list[str], offsets: str = "offsets"
             F.coalesce(F.col(offsets), F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*sources) & (v != 0)
         )
         return F.when((F.abs(delta) >= 0.25) | (F.size(used) > 0), F.struct(
-            F.lit(axis).alias("axis"), F.transform_values(used, lambda k, v: F.round(v, 6)).alias("descriptor_delta"),
+            F.lit(axis).alias("axis"), F.transform_values(used, lambda k, v: r6(v)).alias("descriptor_delta"),
             delta.alias("axis_delta"), F.when(delta > 0, high).otherwise(low).alias("clause"),
             r6(e).alias("hypothesis_axis"), r6(o).alias("observed_axis")))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["vector_queries", "score_queries", "axis_queries"]
+QUERY_MODULES = ["vector_queries", "score_queries", "axis_queries", "cohort_queries"]
 
 
 def load():
