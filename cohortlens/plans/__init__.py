@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["vector_queries", "score_queries", "axis_queries", "cohort_queries"]
+QUERY_MODULES = [
+    "vector_queries", "score_queries", "axis_queries", "cohort_queries", "engagement_queries", "comparison_queries", "review_queries",
+]
 
 
 def load():
