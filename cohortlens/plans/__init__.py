@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERY_MODULES = [
     "vector_queries", "score_queries", "axis_queries", "cohort_queries", "engagement_queries", "comparison_queries", "review_queries",
-    "source_queries",
+    "source_queries", "pixel_queries",
 ]
 
 
