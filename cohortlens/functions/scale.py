@@ -34,6 +34,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def beside(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame (a global aggregate) put beside every row of ``left``.
+
+    A broadcast of exactly one row rather than a scalar subquery: Spark cannot pass a subquery into a Python kernel.
+    """
+    return left.join(F.broadcast(one_row), F.lit(True), "left")
+
+
+def settle(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Store only the columns later passes need.
+
+    Ranks and percentiles read their input more than once.  Settled rows are read back from storage, so a costly or wide
+    input (scores of wide vectors) is computed once, and every pass sees the same last bits.
+    """
+    return cut_lineage(df.select(*columns) if columns else df)
+
+
 def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Store ``df``, measure it, and mark it for broadcast only if it is under the limit.
 
@@ -127,6 +144,7 @@ def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "
 
     Rows are range-partitioned on (by, order), numbered inside their partition, and stored; only one count per
     (partition, group) is then summed up to give every partition its starting number.  No window ever spans a group.
+    The input is read twice (once to sample the ranges): ``settle`` it first if computing it is costly.
     """
     keys = [F.col(c) for c in by]
     sorted_rows = df.repartitionByRange(*keys, *order) if keys or order else df
@@ -136,7 +154,7 @@ def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "
     spans = numbered.groupBy(*by, "__pid").agg(F.min("__seq").alias("__first"), F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    joined = null_safe_keys(numbered, offsets, [*by, "__pid"])
+    joined = null_safe_keys(numbered, small_side(offsets), [*by, "__pid"])
     return joined.withColumn(name, F.col("__seq") - F.col("__first") + F.col("__before") + 1).drop(
         "__seq", "__pid", "__first", "__before"
     )

@@ -37,7 +37,8 @@ def paired_scores(scores: DataFrame, encoders: list[str], key: str = "path", sco
 def rank_agreement(scores: DataFrame, encoders: list[str], key: str = "path", score: str = "score") -> DataFrame:
     """Spearman over ordinal ranks (ties in key order) of every encoder pair; null below two common keys."""
     pair = ["encoder_a", "encoder_b"]
-    ranked = scale.row_numbers(paired_scores(scores, encoders, key, score), pair, [F.col("left"), F.col(key)], "rank_a")
+    rows = scale.settle(paired_scores(scores, encoders, key, score))
+    ranked = scale.row_numbers(rows, pair, [F.col("left"), F.col(key)], "rank_a")
     ranked = scale.row_numbers(ranked, pair, [F.col("right"), F.col(key)], "rank_b")
     measured = ranked.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("common_count"), r6(moment_correlation("rank_a", "rank_b")).alias("spearman_rank")

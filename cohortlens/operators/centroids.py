@@ -12,10 +12,10 @@ from ..functions import vectors as vec
 from ..functions.numeric import r6
 
 
-def mean_vectors(df: DataFrame, by: list[str], vector: str, name: str, weight: str | None = None) -> DataFrame:
+def mean_vectors(df: DataFrame, by: list[str], vector: str, name: str, extra: list | None = None) -> DataFrame:
     """Element-wise mean per group: one mergeable buffer of d doubles per group and task, no exploded rows."""
-    args = [array_to_vector(vec.as_vector(vector))] + ([F.col(weight)] if weight else [])
-    return df.where(F.col(vector).isNotNull()).groupBy(*by).agg(vector_to_array(Summarizer.mean(*args)).alias(name))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(vec.as_vector(vector)))).alias(name)
+    return df.where(F.col(vector).isNotNull()).groupBy(*by).agg(mean, *(extra or []))
 
 
 def median_vectors(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
@@ -29,13 +29,14 @@ def median_vectors(df: DataFrame, by: list[str], vector: str, name: str) -> Data
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return left.join(right, by)
-    columns = [c for c in right.columns]
-    one = right.select(F.struct(*columns).alias("r")).scalar()  # global aggregates have exactly one row
-    return left.withColumn("__r", one).select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in columns])
+    return scale.beside(left, right)
 
 
-def mean_and_median(df: DataFrame, by: list[str], vector: str, mean: str, median: str, unit: bool) -> DataFrame:
-    joined = _join_on(mean_vectors(df, by, vector, mean), median_vectors(df, by, vector, median), by)
+def mean_and_median(
+    df: DataFrame, by: list[str], vector: str, mean: str, median: str, unit: bool, extra: list | None = None
+) -> DataFrame:
+    """Both centres per group; ``extra`` aggregates ride along in the pass of the mean."""
+    joined = _join_on(mean_vectors(df, by, vector, mean, extra=extra), median_vectors(df, by, vector, median), by)
     if not unit:
         return joined
     return joined.withColumns({mean: vec.l2_normalise(mean), median: vec.l2_normalise(median)})
@@ -57,18 +58,19 @@ def centroid_models(
     by = list(by or [])
     if mode not in ("image_weighted", "subject_balanced"):
         raise ValueError(f"unsupported centroid mode: {mode}")
-    counts = [F.count(F.lit(1)).alias("item_count"), F.first(F.size(vector)).alias("embedding_dim")]
-    if mode == "subject_balanced":
-        counts.append(F.count_distinct(subject).alias("subject_count"))
-    profile = items.groupBy(*by).agg(*counts).withColumn("centroid_mode", F.lit(mode))
+    width = F.max(F.size(vector)).alias("embedding_dim")
+    if mode == "image_weighted":
+        units, unit_pixels = items, items
+        extra = [F.count(F.lit(1)).alias("item_count"), width]
+    else:
+        count = [F.count(F.lit(1)).alias("__items")]
+        units = mean_vectors(items, [*by, subject], vector, vector, extra=count).withColumn(vector, vec.l2_normalise(vector))
+        unit_pixels = mean_vectors(items, [*by, subject], pixels, pixels) if pixels else None
+        extra = [F.sum("__items").alias("item_count"), F.count(F.lit(1)).alias("subject_count"), width]
+    model = mean_and_median(units, by, vector, "mean_embedding", "median_embedding", True, extra)
+    model = model.withColumn("centroid_mode", F.lit(mode))
     if not by:
-        profile = profile.where(F.col("item_count") > 0)
-    units, unit_pixels = items, items
-    if mode == "subject_balanced":
-        units = mean_vectors(items, [*by, subject], vector, vector).withColumn(vector, vec.l2_normalise(vector))
-        if pixels:
-            unit_pixels = mean_vectors(items, [*by, subject], pixels, pixels)
-    model = _join_on(profile, mean_and_median(units, by, vector, "mean_embedding", "median_embedding", True), by)
+        model = model.where(F.col("item_count") > 0)
     if pixels:
         looks = mean_and_median(unit_pixels, by, pixels, "mean_appearance", "median_appearance", False)
         model = _join_on(model, looks, by)

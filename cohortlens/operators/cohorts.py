@@ -34,7 +34,7 @@ def average_descriptors(cohorts: DataFrame, base: DataFrame, offsets: str = "off
     ``base`` has one row (or one per ``by`` key) with a descriptor column each; it arrives as ``base_<key>``.
     """
     named = base.select(*(by or []), *[F.col(k).alias(f"base_{k}") for k in DESCRIPTOR_KEYS])
-    joined = attach(cohorts, named, list(by or []))
+    joined = attach(cohorts, named, list(by or []), rows=True)
     return joined.withColumns(
         {
             key: r6(clamped(key, F.coalesce(F.col(f"base_{key}"), F.lit(0.0)) + F.coalesce(F.try_element_at(offsets, F.lit(key)), F.lit(0.0))))

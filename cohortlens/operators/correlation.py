@@ -65,7 +65,7 @@ PAIR = ["variable_a", "variable_b"]
 
 def correlations(dataset: DataFrame, score_columns: list[str], metric_columns: list[str], key: str = "subject", spearman: bool = True) -> DataFrame:
     """Pearson and average-rank Spearman per pair; pairs with fewer than three complete rows stay, without values."""
-    rows = pair_rows(dataset, score_columns, metric_columns, key)
+    rows = pair_rows(scale.settle(dataset, [key, *score_columns, *metric_columns]), score_columns, metric_columns, key)
     measures = [F.count(F.lit(1)).alias("n"), moment_correlation("a", "b").alias("pearson_r")]
     if spearman:
         rows = scale.average_ranks(scale.average_ranks(rows, PAIR, "a", "rank_a"), PAIR, "b", "rank_b")

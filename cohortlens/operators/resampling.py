@@ -6,8 +6,13 @@ They therefore differ from the stream of a numpy generator with the same seed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scale
 from ..functions import vectors as vec
@@ -51,20 +56,62 @@ def resample_weights(indexed: DataFrame, by: list[str], resamples: int, seed: in
     return picked.groupBy(*by, "resample", F.col("pick").alias("index")).agg(F.count(F.lit(1)).alias("weight"))
 
 
+_FLUSH_BYTES = 64 * 1024 * 1024
+
+
+def _weighted_sums(by: list[str], resamples: int):
+    """Per task: sums[resample] += weight * template as one matrix product per Arrow batch and group."""
+
+    def run(frames):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def drain():
+            for key, total in sums.items():
+                rows = pd.DataFrame([key] * resamples, columns=by) if by else pd.DataFrame(index=range(resamples))
+                yield rows.assign(resample=range(resamples), total=list(total))
+            sums.clear()
+
+        for frame in frames:
+            groups = frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]
+            for key, part in groups:
+                templates = np.stack(part["template"].to_list())
+                weights = np.zeros((len(part), resamples))
+                for row, (drawn, times) in enumerate(zip(part["resamples"], part["weights"])):
+                    weights[row, drawn] = times
+                key = key if isinstance(key, tuple) else (key,)
+                total = sums.setdefault(key, np.zeros((resamples, templates.shape[1])))
+                total += weights.T @ templates
+            if sum(t.nbytes for t in sums.values()) > _FLUSH_BYTES:
+                yield from drain()
+        yield from drain()
+
+    return run
+
+
 def resampled_cosines(units: DataFrame, by: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
     """(by, units, resample, cosine): cosine of every resampled centroid to the full one.
 
-    A resampled centroid is a weighted mean (one mergeable buffer per resample); the units x resamples x width values of
-    the textbook form never exist.
+    Units are numbered by key only.  Each template then meets the list of resamples that drew it (at most ``resamples``
+    entries) in one join, and a task reduces its rows to one vector per resample, so neither the drawn rows nor the
+    units x resamples x width values of the textbook form exist.
     """
-    counts = units.groupBy(*by).agg(F.count(F.lit(1)).alias("units"))
-    placed = scale.row_numbers(units, by, [F.col("unit")], "__rn")
-    indexed = attach(placed, counts, by).withColumn("index", F.col("__rn") - 1).drop("__rn")
+    names = scale.settle(units, [*by, "unit"])
+    counts = names.groupBy(*by).agg(F.count(F.lit(1)).alias("units"))
+    placed = scale.row_numbers(names, by, [F.col("unit")], "__rn")
+    indexed = attach(placed, counts, by, rows=True).withColumn("index", F.col("__rn") - 1).drop("__rn")
     weights = resample_weights(indexed, by, resamples, seed)
-    weighted = indexed.join(weights, [*by, "index"])
-    centres = mean_vectors(weighted, [*by, "resample"], "template", "__centre", weight="weight")
-    full = mean_vectors(indexed, [*by, "units"], "template", "__full")
-    joined = attach(centres, full, by)
+    drawn = weights.groupBy(*by, "index").agg(
+        F.collect_list("resample").alias("resamples"), F.collect_list("weight").alias("weights")
+    )
+    keyed = scale.null_safe_keys(indexed, drawn, [*by, "index"]).where(F.col("resamples").isNotNull()).select(*by, "unit", "resamples", "weights")
+    matched = scale.null_safe_keys(units, keyed, [*by, "unit"]).where(F.col("resamples").isNotNull())
+    schema = T.StructType(
+        [*units.select(*by).schema.fields, T.StructField("resample", T.IntegerType()), T.StructField("total", vec.VECTOR)]
+    )
+    sums = matched.select(*by, "template", "resamples", "weights").mapInPandas(_weighted_sums(by, resamples), schema)
+    centres = sums.groupBy(*by, "resample").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("__centre"))
+    full = mean_vectors(units, by, "template", "__full")
+    joined = attach(attach(centres, full, by), counts, by)
     return joined.select(*by, "units", "resample", vec.cosine("__centre", "__full").alias("cosine"))
 
 
@@ -78,7 +125,7 @@ def centroid_stability(
     if resamples < 1 or not 0.0 < ci < 1.0:
         raise ValueError("resamples must be positive and ci between 0 and 1")
     units = unit_templates(items, by, subject)
-    cosines = resampled_cosines(units, by, resamples, seed)
+    cosines = scale.settle(resampled_cosines(units, by, resamples, seed))
     stats = cosines.groupBy(*by, "units").agg(F.avg("cosine").alias("__mean"), F.stddev_pop("cosine").alias("__std"))
     limits = scale.exact_percentiles(cosines, by, "cosine", {"__low": (1 - ci) / 2, "__high": (1 + ci) / 2})
     joined = attach(stats, limits, by)
@@ -120,6 +167,7 @@ def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, s
 
 def null_summary(nulls: DataFrame, by: list[str]) -> DataFrame:
     """Mean, spread and p50 / p90 / p95 / p99 of the null scores."""
+    nulls = scale.settle(nulls)
     moments = nulls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("sample_count"), r6(F.avg("null_score")).alias("null_mean"), r6(F.stddev_pop("null_score")).alias("null_std")
     )
@@ -129,7 +177,7 @@ def null_summary(nulls: DataFrame, by: list[str]) -> DataFrame:
 
 def observed_percentiles(nulls: DataFrame, observed: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
     """Share of null scores at or below each observed score, per group; ``observed`` has one row per group."""
-    joined = attach(nulls, observed.select(*by, *scores), by)
+    joined = attach(nulls, observed.select(*by, *scores), by, rows=True)
     shares = [r6(F.avg(F.when(F.col(s).isNotNull(), (F.col("null_score") <= F.col(s)).cast("double")))).alias(f"{s}_percentile") for s in scores]
     return joined.groupBy(*by).agg(*shares)
 

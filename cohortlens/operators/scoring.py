@@ -72,7 +72,8 @@ def best_first(score: str = "centroid_score", tie: str = "path") -> list[Column]
 
 
 def rank_scores(scores: DataFrame, by: list[str] | None = None, score: str = "centroid_score", tie: str = "path") -> DataFrame:
-    return scale.row_numbers(scores, list(by or []), best_first(score, tie), "rank")
+    """Position in score order.  Keep only narrow columns in ``scores``: they are stored and sorted."""
+    return scale.row_numbers(scale.settle(scores), list(by or []), best_first(score, tie), "rank")
 
 
 def best_of(value: str | Column, score: str | Column, tie: str | Column) -> Column:
@@ -95,6 +96,7 @@ def score_summary(
     scores: DataFrame, by: list[str], score: str = "centroid_score", item: str = "item_id", tie: str = "path"
 ) -> DataFrame:
     """Scored and failed counts, best item, mean and exact median per group.  A null score is a failed item."""
+    scores = scale.settle(scores, list(dict.fromkeys([*by, item, tie, score])))
     counts = scores.groupBy(*by).agg(
         F.count(score).alias("item_count"),
         F.count_if(F.col(score).isNull()).alias("failed_count"),
@@ -110,6 +112,7 @@ def score_summary(
 def subject_reviews(roster: DataFrame, scores: DataFrame, by: list[str] | None = None, subject: str = "subject") -> DataFrame:
     """One review row per roster subject, empty ones kept with null scores."""
     keys = [*(by or []), subject]
+    scores = scale.settle(scores, [*keys, "item_id", "path", "centroid_score", "cosine_to_mean", "cosine_to_median"])
     measured = scores.groupBy(*keys).agg(
         F.count("centroid_score").alias("item_count"),
         F.count_if(F.col("centroid_score").isNull()).alias("failed_count"),
@@ -166,12 +169,15 @@ def across_subjects(reviews: DataFrame, by: list[str] | None = None) -> DataFram
     return attach(totals, medians, by).withColumn("median_of_subject_means", r6("__median")).drop("__median")
 
 
-def attach(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Left join on group keys; without keys ``right`` has one row, read as a scalar subquery."""
+def attach(left: DataFrame, right: DataFrame, by: list[str], rows: bool = False) -> DataFrame:
+    """Left join of per-group values; without keys ``right`` has one row.
+
+    ``rows`` says that ``left`` holds item rows, whose groups may be huge: then ``right`` is measured and, if small,
+    broadcast, so that the rows are not shuffled by group.
+    """
     if by:
-        return scale.null_safe_keys(left, right, by)
-    one = right.select(F.struct(*right.columns).alias("r")).scalar()
-    return left.withColumn("__r", one).select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in right.columns])
+        return scale.null_safe_keys(left, scale.small_side(right) if rows else right, by)
+    return scale.beside(left, right)
 
 
 def chunk_assignment(items: DataFrame, chunks: int, by: list[str] | None = None, order: str = "path") -> DataFrame:
@@ -179,12 +185,12 @@ def chunk_assignment(items: DataFrame, chunks: int, by: list[str] | None = None,
     if chunks < 1:
         raise ValueError("chunks must be positive")
     by = list(by or [])
-    placed = scale.row_numbers(items, by, [F.col(order)], "__rn")
+    placed = scale.row_numbers(scale.settle(items), by, [F.col(order)], "__rn")
     sizes = placed.groupBy(*by).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(chunks))).cast("bigint").alias("__size")
     )
     chunk = F.floor((F.col("__rn") - 1) / F.col("__size")).cast("bigint")
-    return attach(placed, sizes, by).withColumn("chunk", chunk).drop("__rn", "__size")
+    return attach(placed, sizes, by, rows=True).withColumn("chunk", chunk).drop("__rn", "__size")
 
 
 def chunk_summaries(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

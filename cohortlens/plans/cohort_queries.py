@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scale
 from ..functions.numeric import r6
 from ..operators import audit, axes, calibration, cohorts, fusion
 from ..operators import scoring as sc
@@ -291,7 +292,7 @@ def j6_first(t):
 @query("j7_cohort_pages", f"""WITH {GAPS}, ev AS (SELECT slug, CASE WHEN slug = 'c0' THEN 'real_centroid_baseline' ELSE 'real_and_generated' END AS evidence_type, n AS real_item_count FROM (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL))
 SELECT c.slug, c.enhancement_score, c.confidence, c.segment, c.contrast AS average_contrast, c.priority, coalesce(ev.evidence_type, 'unverified') AS evidence_type, coalesce(ev.real_item_count, 0) AS real_item_count, 'unknown' AS quality_risk, 'assets/' || c.slug || '.png' AS image FROM cal c LEFT JOIN ev USING (slug)""")
 def j7(t):
-    rows = fused(t)
+    rows = scale.settle(fused(t))
     pages = fusion.cohort_pages(
         rows.select("slug", "enhancement_score", "confidence"),
         cohort_config(t).select("slug", "segment"),
