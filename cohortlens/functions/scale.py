@@ -34,6 +34,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores if the scan has fewer splits than cores (small files before costly per-row work).
+
+    A table with enough splits is returned as it is: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def beside(left: DataFrame, one_row: DataFrame) -> DataFrame:
     """Columns of a one-row frame (a global aggregate) put beside every row of ``left``.
 
@@ -51,12 +60,13 @@ def settle(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return cut_lineage(df.select(*columns) if columns else df)
 
 
-def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, store: bool = True) -> DataFrame:
     """Store ``df``, measure it, and mark it for broadcast only if it is under the limit.
 
     Over the limit the stored rows come back unmarked and Catalyst joins them by shuffle (AQE splits skewed keys).
+    ``store=False`` skips the storing where computing ``df`` again is cheap and exact (integer sums over stored rows).
     """
-    stored = cut_lineage(df)
+    stored = cut_lineage(df) if store else df
     width = F.length(F.to_json(F.struct(*[F.col(c) for c in stored.columns])))
     measured = stored.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(stored) if measured <= limit_bytes else stored
@@ -154,7 +164,8 @@ def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "
     spans = numbered.groupBy(*by, "__pid").agg(F.min("__seq").alias("__first"), F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    joined = null_safe_keys(numbered, small_side(offsets), [*by, "__pid"])
+    side = small_side(offsets, store=False) if by else F.broadcast(offsets)  # without groups: one row per partition
+    joined = null_safe_keys(numbered, side, [*by, "__pid"])
     return joined.withColumn(name, F.col("__seq") - F.col("__first") + F.col("__before") + 1).drop(
         "__seq", "__pid", "__first", "__before"
     )

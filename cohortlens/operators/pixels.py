@@ -6,12 +6,16 @@ is a flat, row-major ``array<double>`` of grey values, an image its RGB values i
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scale import spread
 from ..functions.vectors import VECTOR, doubles
 
 # Appearance and embedding grid sizes, embedding width.
@@ -144,6 +148,7 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
+@lru_cache(maxsize=256)
 def resize_weights(source: int, target: int, kernel, reach: float) -> np.ndarray:
     """(target, source) weights of a resize that widens the kernel when shrinking."""
     ratio = source / target
@@ -157,8 +162,10 @@ def resize_weights(source: int, target: int, kernel, reach: float) -> np.ndarray
 def resized(image: np.ndarray, side: int, kernel, reach: float) -> np.ndarray:
     """One 8-bit image (height, width, channels) to a square, width first, each pass rounded to 8 bits."""
     byte = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
-    wide = byte(np.einsum("tw,hwc->htc", resize_weights(image.shape[1], side, kernel, reach), image))
-    return byte(np.einsum("th,hwc->twc", resize_weights(image.shape[0], side, kernel, reach), wide))
+    across = resize_weights(image.shape[1], side, kernel, reach)
+    wide = byte(np.matmul(across, image))  # (side, width) x (height, width, channels)
+    down = resize_weights(image.shape[0], side, kernel, reach)
+    return byte(np.tensordot(down, wide, axes=(1, 0)))
 
 
 def centre_square(image: np.ndarray) -> np.ndarray:
@@ -176,15 +183,47 @@ def _normalised(rgb: np.ndarray, crop: str) -> tuple[np.ndarray, np.ndarray]:
     return appearance, resized(grey[..., None], EMBED_SIZE, _cubic, 2.0)[..., 0]
 
 
+PIXELS = T.ArrayType(T.FloatType())
 FEATURES = T.StructType(
     [
-        T.StructField("appearance", VECTOR),
-        T.StructField("grey", VECTOR),
+        T.StructField("appearance", PIXELS),
+        T.StructField("grey", PIXELS),
         T.StructField("embedding", VECTOR),
         *doubles(DESCRIPTORS).fields,
         T.StructField("reason", T.StringType()),
     ]
 )
+_CHUNK = 64  # items vectorised together; bounds a task's memory whatever the Arrow batch size
+
+
+def _lists(matrix: np.ndarray, kind: pa.DataType, bad: np.ndarray) -> pa.Array:
+    flat = matrix.reshape(len(matrix), -1)
+    offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], mask=np.append(bad, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel(), kind))
+
+
+def _pixels(bgr: bytes, width: int, height: int, channels: int, crop: str) -> tuple[np.ndarray, np.ndarray]:
+    pixels = np.frombuffer(bgr, dtype=np.uint8).reshape(height, width, channels)
+    return _normalised(np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., 2::-1], crop)
+
+
+def _features(rows: list[dict], crop: str) -> tuple[list[pa.Array], list[str | None]]:
+    rgb = np.zeros((len(rows), APPEARANCE_SIZE, APPEARANCE_SIZE, 3))
+    grey = np.zeros((len(rows), EMBED_SIZE, EMBED_SIZE))
+    reasons = [row["reason"] for row in rows]
+    for i, row in enumerate(rows):
+        if reasons[i] is None:
+            try:
+                rgb[i], grey[i] = _pixels(row["bgr"], row["width"], row["height"], row["channels"], crop)
+            except (TypeError, ValueError) as error:  # a broken item is reported, the batch goes on
+                reasons[i] = str(error)
+    rgb, grey = rgb / 255.0, grey / 255.0
+    bad = np.array([r is not None for r in reasons])
+    embedding = unit_rows(
+        np.concatenate([standardised(grey), colour_histogram(rgb), edge_features(grey), region_features(grey, rgb)], axis=1)
+    )
+    lists = [_lists(rgb, pa.float32(), bad), _lists(grey, pa.float32(), bad), _lists(embedding, pa.float64(), bad)]
+    return lists + [pa.array(values, mask=bad) for values in described(grey, rgb).values()], reasons
 
 
 def vectorise_items(images: DataFrame, keys: list[str], crop: str = "center") -> DataFrame:
@@ -195,37 +234,16 @@ def vectorise_items(images: DataFrame, keys: list[str], crop: str = "center") ->
     """
     if crop not in ("center", "none"):
         raise ValueError(f"unsupported crop mode: {crop}")
-    source = images.select(*keys, "width", "height", "channels", "bgr", "reason")
+    source = spread(images.select(*keys, "width", "height", "channels", "bgr", "reason"))
     schema = T.StructType([*images.select(*keys).schema.fields, *FEATURES.fields])
     names = [f.name for f in FEATURES.fields]
 
-    def read(row) -> tuple[np.ndarray, np.ndarray]:
-        pixels = np.frombuffer(row.bgr, dtype=np.uint8).reshape(int(row.height), int(row.width), int(row.channels))
-        rgb = np.repeat(pixels, 3, axis=2) if row.channels == 1 else pixels[..., 2::-1]
-        return _normalised(rgb, crop)
-
-    def features(frames):
-        for frame in frames:
-            looks, greys, reasons = [], [], frame["reason"].tolist()
-            for position, row in enumerate(frame.itertuples(index=False)):
-                appearance, grey = np.zeros((APPEARANCE_SIZE, APPEARANCE_SIZE, 3)), np.zeros((EMBED_SIZE, EMBED_SIZE))
-                if reasons[position] is None:
-                    try:
-                        appearance, grey = read(row)
-                    except (TypeError, ValueError) as error:  # a broken item is reported, the batch goes on
-                        reasons[position] = str(error)
-                looks.append(appearance / 255.0)
-                greys.append(grey / 255.0)
-            if not looks:
-                continue
-            rgb, grey = np.stack(looks), np.stack(greys)
-            parts = [standardised(grey), colour_histogram(rgb), edge_features(grey), region_features(grey, rgb)]
-            out = {
-                "appearance": list(rgb.reshape(len(rgb), -1)), "grey": list(grey.reshape(len(grey), -1)),
-                "embedding": list(unit_rows(np.concatenate(parts, axis=1))), **described(grey, rgb), "reason": reasons,
-            }
-            result = pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame(out)], axis=1)
-            result[names[:-1]] = result[names[:-1]].astype(object).where(result["reason"].isna(), None)
-            yield result
-
-    return source.mapInPandas(features, schema)
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(start, _CHUNK)
+                columns, reasons = _features(part.select(["width", "height", "channels", "bgr", "reason"]).to_pylist(), crop)
+                kept = [part.column(part.schema.get_field_index(k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*kept, *columns, pa.array(reasons, pa.string())], names=[*keys, *names])
+
+    return source.mapInArrow(run, schema)

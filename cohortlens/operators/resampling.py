@@ -146,13 +146,16 @@ def centroid_stability(
 def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, seed: int = NULL_SEED) -> DataFrame:
     """Centroid scores of random unit vectors against every model: (by, sample, null_score).
 
-    A sample's components are Box-Muller normals of two draws each; samples are rows, so they spread over tasks.
+    A sample's components are Box-Muller normals of two draws each.  All models of one width meet the same samples, so
+    those are drawn once per width and then scored against each model.
     """
-    width = F.size("mean_embedding")
-    rows = models.select(
-        *by, width.alias("__d"), vec.l2_normalise("mean_embedding").alias("__mean"), vec.l2_normalise("median_embedding").alias("__median"),
-        F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"),
-    ).repartition("sample")
+    centres = scale.small_side(models.select(
+        *by, F.size("mean_embedding").alias("__d"), F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
+    rows = (
+        centres.select("__d").distinct()
+        .select("__d", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+        .repartition("sample")
+    )
     top = float(16**_HEX)
 
     def normal(k: Column) -> Column:
@@ -160,7 +163,7 @@ def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, s
         v = draw(F.lit(seed), F.col("sample"), k, F.lit("v")) / top
         return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * 3.141592653589793 * v)
 
-    drawn = rows.withColumn("__x", F.transform(F.sequence(F.lit(0), F.col("__d") - 1), normal))
+    drawn = rows.withColumn("__x", F.transform(F.sequence(F.lit(0), F.col("__d") - 1), normal)).join(centres, "__d")
     cosines = drawn.withColumns({"__a": vec.cosine("__x", "__mean"), "__b": vec.cosine("__x", "__median")})
     return cosines.select(*by, "sample", ((F.col("__a") + F.col("__b")) / 2.0).alias("null_score"))
 

@@ -26,7 +26,7 @@ def b1(t):
     return pages.site_links(t.pages, ["page_id"], "/")
 
 
-_AMP = "replace(replace(replace({}, '&quot;', '\"'), '&amp;', '&'), '&middot;', '·')"
+_AMP = "replace(regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g'), '&middot;', '·')"
 
 
 @query("b2_page_names", f"WITH r AS ({RICH}) SELECT page_id, nullif(trim(split_part({_AMP.format('''coalesce(nullif(regexp_extract(html, 'property=\"og:title\" content=\"([^\"]*)\"', 1), ''), regexp_extract(html, '(?s)<title>(.*?)</title>', 1))''')}, '|', 1)), '') AS name FROM r")

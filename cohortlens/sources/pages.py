@@ -8,6 +8,8 @@ from __future__ import annotations
 import html as html_text
 import json
 
+from urllib.parse import urljoin
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +51,20 @@ def markup(page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(page, r"(?s)<!--.*?-->", ""), r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
 
 
-def tag_attributes(page: Column, tag: str) -> Column:
-    """Attribute text of every such tag, in page order."""
-    return F.regexp_extract_all(markup(page), F.lit(rf"(?is)<{tag}(?=[\s/>]){_ATTRS}>"), F.lit(1))
+def tag_attributes(clean: Column, tag: str) -> Column:
+    """Attribute text of every such tag of ``markup``, in page order."""
+    return F.regexp_extract_all(clean, F.lit(rf"(?is)<{tag}(?=[\s/>]){_ATTRS}>"), F.lit(1))
+
+
+def with_markup(pages: DataFrame) -> DataFrame:
+    """Pages with their cleaned markup in ``__clean``: scanned once, whatever is extracted from it."""
+    return scale.spread(pages).withColumn("__clean", markup(F.col("html")))
 
 
 def attribute(attributes: Column, name: str) -> Column:
     """Value of one attribute (quoted or bare), null if it is missing or empty."""
-    pattern = rf"(?is)(?:^|[\s/\"']){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    return F.nullif(F.concat(*[F.regexp_extract(attributes, pattern, i) for i in (1, 2, 3)]), F.lit(""))
+    pattern = rf"(?is)(?:^|[\s/\"']){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    return F.nullif(F.regexp_replace(F.regexp_extract(attributes, pattern, 1), "^[\"']|[\"']$", ""), F.lit(""))
 
 
 _URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -67,39 +74,23 @@ def url_part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _URL, group)
 
 
-def _without_dots(path: Column) -> Column:
-    """``.`` and ``..`` segments resolved; a final one leaves a trailing slash."""
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, part: F.when(part == ".", done)
-        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
-        .otherwise(F.concat(done, F.array(part))),
-    )
-    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise(""))
-
-
-def resolve_url(base: Column, link: Column) -> Column:
-    """Absolute address of a link found on the page ``base``."""
-    scheme, base_scheme = F.lower(url_part(link, 1)), F.lower(url_part(base, 1))
-    has_host = link.rlike(r"^(?:[^:/?#]+:)?//")
-    path, base_path = url_part(link, 3), url_part(base, 3)
-    folder = F.regexp_replace(F.when(base_path == "", "/").otherwise(base_path), r"[^/]*$", "")
-    joined = pick(
-        (has_host, path), (path == "", base_path), (path.startswith("/"), _without_dots(path)),
-        otherwise=_without_dots(F.concat(folder, path)),
-    )
-    query = F.when((path == "") & (url_part(link, 4) == "") & ~has_host, url_part(base, 4)).otherwise(url_part(link, 4))
-    host = F.when(has_host, url_part(link, 2)).otherwise(url_part(base, 2))
-    relative = F.concat(base_scheme, F.lit("://"), host, joined, query, url_part(link, 5))
-    return F.when((scheme != "") & (scheme != base_scheme), link).otherwise(relative)
+@F.arrow_udf(T.StringType())
+def resolve_url(bases: pa.Array, links: pa.Array) -> pa.Array:
+    """Absolute address of a link (an attribute value as written) found on the page ``base``; null if it cannot be read."""
+
+    def joined(base, link):
+        try:
+            return None if base is None or link is None else urljoin(base, html_text.unescape(link))
+        except ValueError:
+            return None
+
+    return pa.array(map(joined, bases.to_pylist(), links.to_pylist()), pa.string())
 
 
 def page_links(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, href) of every anchor, in page order."""
-    rows = pages.select(*keys, F.posexplode(tag_attributes(F.col("html"), "a")).alias("pos", "__attrs"))
-    return rows.select(*keys, "pos", unescape(attribute(F.col("__attrs"), "href")).alias("href")).where(F.col("href").isNotNull())
+    """(keys, pos, href) of every anchor, in page order; href as written."""
+    rows = with_markup(pages).select(*keys, F.posexplode(tag_attributes(F.col("__clean"), "a")).alias("pos", "__attrs"))
+    return rows.select(*keys, "pos", attribute(F.col("__attrs"), "href").alias("href")).where(F.col("href").isNotNull())
 
 
 def first_seen(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -111,7 +102,7 @@ def first_seen(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def site_links(pages: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """Same-host links under a path prefix (not the prefix itself), with one trailing slash and without query, first seen once."""
-    resolved = page_links(pages, [*keys, "url"]).withColumn("__link", resolve_url(F.col("url"), F.col("href")))
+    resolved = page_links(pages, [*keys, "url"]).withColumn("__link", resolve_url("url", "href"))
     path = F.concat(F.regexp_replace(url_part(F.col("__link"), 3), "/+$", ""), F.lit("/"))
     rows = resolved.select(
         *keys, "pos", path.alias("__path"),
@@ -122,10 +113,10 @@ def site_links(pages: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return first_seen(kept.select(*keys, "pos", "link"), keys, "link")
 
 
-def metas(page: Column) -> Column:
+def metas(clean: Column) -> Column:
     """Meta tags as an array of (key, content); key is ``property`` or else ``name``."""
     pairs = F.transform(
-        tag_attributes(page, "meta"),
+        tag_attributes(clean, "meta"),
         lambda a: F.struct(F.coalesce(attribute(a, "property"), attribute(a, "name")).alias("key"), attribute(a, "content").alias("value")),
     )
     return F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
@@ -138,7 +129,7 @@ def last_meta(pairs: Column, key: str) -> Column:
 
 def meta_rows(pages: DataFrame, keys: list[str]) -> DataFrame:
     """The meta map in long form (keys, key, content), the last tag of a key winning."""
-    rows = pages.select(*keys, F.posexplode(metas(F.col("html"))).alias("pos", "m"))
+    rows = with_markup(pages).select(*keys, F.posexplode(metas(F.col("__clean"))).alias("pos", "m"))
     latest = rows.groupBy(*keys, F.col("m.key").alias("key")).agg(F.max_by("m.value", "pos").alias("content"))
     return latest.withColumn("content", unescape("content"))
 
@@ -160,7 +151,7 @@ def body_text(page: Column) -> Column:
 
 def profiles(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Name (social title, else page title), and the first date in description, social description, body, in that order."""
-    parsed = pages.withColumn("__m", metas(F.col("html"))).withColumn(
+    parsed = with_markup(pages).withColumn("__m", metas(F.col("__clean"))).withColumn(
         "__title", F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit(""))
     )
     dates = [iso_date(last_meta(F.col("__m"), "description")), iso_date(last_meta(F.col("__m"), "og:description")), iso_date(body_text(F.col("html")))]
@@ -179,7 +170,7 @@ def is_media(url: Column) -> Column:
 
 def media_candidates(pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, media_url, kind, alt): social images, then image sources, then links to images; each address once."""
-    page = F.col("html")
+    page = F.col("__clean")
     entry = lambda url, kind, alt: F.struct(url.alias("raw"), F.lit(kind).alias("kind"), alt.alias("alt"))
     nothing = F.lit(None).cast("string")
     social = F.array(*[entry(last_meta(F.col("__m"), k), k, nothing) for k in ("og:image", "twitter:image")])
@@ -187,21 +178,19 @@ def media_candidates(pages: DataFrame, keys: list[str]) -> DataFrame:
     images = F.flatten(
         F.transform(tag_attributes(page, "img"), lambda a: F.array(*[entry(attribute(a, s), "img", attribute(a, "alt")) for s in sources]))
     )
-    links = F.transform(
-        F.filter(tag_attributes(page, "a"), lambda a: attribute(a, "href").rlike(MEDIA_PATTERN)),
-        lambda a: entry(attribute(a, "href"), "link", nothing),
-    )
-    found = pages.withColumn("__m", metas(page)).select(
+    targets = F.filter(F.transform(tag_attributes(page, "a"), lambda a: attribute(a, "href")), lambda h: h.rlike(MEDIA_PATTERN))
+    links = F.transform(targets, lambda h: entry(h, "link", nothing))
+    found = with_markup(pages).withColumn("__m", metas(page)).select(
         *keys, "url", F.posexplode(F.concat(social, images, links)).alias("pos", "e")
     )
-    first = F.trim(F.substring_index(F.trim(F.substring_index("__raw", ",", 1)), " ", 1))
+    first = F.trim(F.substring_index(F.trim(F.substring_index("e.raw", ",", 1)), " ", 1))
     rows = (
-        found.select(*keys, "url", "pos", unescape("e.raw").alias("__raw"), F.col("e.kind").alias("kind"), unescape("e.alt").alias("alt"))
-        .where(F.col("__raw").isNotNull())
+        found.where(F.col("e.raw").isNotNull())
         .withColumn("media_url", resolve_url(F.col("url"), first))
+        .select(*keys, "pos", "media_url", F.col("e.kind").alias("kind"), unescape("e.alt").alias("alt"))
         .where(is_media(F.col("media_url")))
     )
-    return first_seen(rows.select(*keys, "pos", "media_url", "kind", "alt"), keys, "media_url")
+    return first_seen(rows, keys, "media_url")
 
 
 def age_on(birthdate: Column, as_of: Column) -> Column:
@@ -351,23 +340,26 @@ STATE_PATTERN = r'(?s)<script[^>]+id="SIGI_STATE"[^>]*>(.*?)</script>'
 
 def page_state_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Profile numbers from the JSON state embedded in a page: the known paths first, else wherever ``userInfo`` occurs."""
-    state = pages.select(*keys, F.nullif(F.regexp_extract("html", STATE_PATTERN, 1), F.lit("")).alias("__json"))
+    state = scale.spread(pages).select(*keys, F.nullif(F.regexp_extract("html", STATE_PATTERN, 1), F.lit("")).alias("__json"))
     known = F.coalesce(
         F.get_json_object("__json", "$.UserPage.userInfo"), F.get_json_object("__json", "$.userPage.userInfo")
     )
     info = state.withColumn("__known", known).withColumn(
         "__info", F.coalesce("__known", find_key(F.when(F.col("__known").isNull(), F.col("__json")), F.lit("userInfo")))
     )
-    number = lambda path: F.get_json_object("__info", f"$.stats.{path}").try_cast("bigint")
-    text = lambda path: F.nullif(F.get_json_object("__info", f"$.user.{path}"), F.lit(""))
-    rows = info.where(F.get_json_object("__info", "$.stats").isNotNull()).select(
+    numbers = ["followerCount", "followingCount", "videoCount", "heartCount", "diggCount"]
+    parts = info.select(*keys, F.get_json_object("__info", "$.stats").alias("__stats"), F.get_json_object("__info", "$.user").alias("__user"))
+    counted = parts.where(F.col("__stats").isNotNull()).select(*keys, "__user", F.json_tuple("__stats", *numbers).alias(*numbers))
+    named = counted.select(*keys, *numbers, F.json_tuple("__user", "nickname", "signature").alias("nickname", "signature"))
+    number = lambda c: F.col(c).try_cast("bigint")
+    rows = named.select(
         *keys,
         number("followerCount").alias("followers"),
         number("followingCount").alias("following"),
         number("videoCount").alias("posts"),
         F.coalesce(F.nullif(number("heartCount"), F.lit(0).cast("bigint")), number("diggCount")).alias("total_engagement"),
-        text("nickname").alias("display_name"),
-        text("signature").alias("bio"),
+        F.nullif("nickname", F.lit("")).alias("display_name"),
+        F.nullif("signature", F.lit("")).alias("bio"),
     )
     return rows.withColumn("fetch_status", F.when(F.col("followers") > 0, "ok").otherwise("partial"))
 
