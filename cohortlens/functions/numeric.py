@@ -25,7 +25,8 @@ def r6(value) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """``greatest`` and ``least`` skip nulls, so a null value has to be kept apart."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def rescale(value: Column, low: float, high: float) -> Column:

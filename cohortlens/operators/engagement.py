@@ -7,37 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pick, r6
 
-# Texts that mean "no number".
-NULL_TOKENS = ["", "null", "none", "n/a", "-"]
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 USABLE = ["ok", "partial"]
 
 
-def number(text: Column) -> Column:
-    """Plain decimal text as a double, null for anything else."""
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
-
-
-def _tokens(text: Column) -> tuple[Column, Column]:
-    trimmed = F.trim(text)
-    return trimmed, F.lower(trimmed).isin(*NULL_TOKENS)
-
-
 def clean_count(text: Column) -> Column:
-    """``1,234``, ``1.2K``, ``3M`` to a whole number, truncated; null tokens give null."""
-    trimmed, missing = _tokens(text)
-    plain = F.replace(trimmed, F.lit(","), F.lit(""))
-    suffix = F.upper(F.right(plain, F.lit(1)))
-    factor = pick((suffix == "K", 1e3), (suffix == "M", 1e6), otherwise=1.0)
-    body = F.when(suffix.isin("K", "M"), F.left(plain, F.length(plain) - 1)).otherwise(plain)
-    return F.when(~missing, (number(body) * factor).cast("bigint"))
+    """``1,234``, ``1.2K``, ``3M`` to a whole number, truncated; anything that is no number (``n/a``, ``-``) gives null."""
+    plain = F.upper(F.replace(F.trim(text), F.lit(","), F.lit("")))
+    factor = pick((plain.endswith("K"), 1e3), (plain.endswith("M"), 1e6), otherwise=1.0)
+    value = F.rtrim(plain, F.lit("KM")).try_cast("double") * factor
+    return F.when(plain.rlike(_NUMBER + "[KM]?$"), value.cast("bigint"))
 
 
 def clean_rate(text: Column) -> Column:
-    """``1.5%`` as a fraction, ``0.015`` as it is; null tokens and garbage give null."""
-    trimmed, missing = _tokens(text)
-    value = number(F.rtrim(F.regexp_replace(trimmed, "%+$", "")))
-    return F.when(~missing, F.when(F.contains(text, F.lit("%")), value / 100).otherwise(value))
+    """``1.5%`` as a fraction, ``0.015`` as it is; anything that is no number gives null."""
+    trimmed = F.trim(text)
+    value = F.rtrim(trimmed, F.lit("%")).try_cast("double")
+    return F.when(trimmed.rlike(_NUMBER + "%*$"), F.when(trimmed.endswith("%"), value / 100).otherwise(value))
 
 
 def engagement_rate(total: Column, followers: Column, posts: Column) -> Column:

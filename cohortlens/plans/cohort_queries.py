@@ -131,7 +131,7 @@ ACTIONS_SQL = f"""list_filter([CASE WHEN image_centroid_score IS NULL THEN 'add_
   CASE WHEN {_HAS.format('high_texture_or_messy_edges')} THEN 'reduce_edge_noise_and_hair_flyaways' END], lambda a: a IS NOT NULL)"""
 FUSED = f"""{AVERAGES}, {SCORED}, score_rows AS (SELECT 'c' || cast(item_id AS string) AS slug, round(centroid_score, 6) AS image_centroid_score FROM scored WHERE reason IS NULL),
 hyp AS ({axes_sql('avgd', 'slug')}), gsrc AS ({GAPPY}), gax AS ({axes_sql('gsrc', 'item_id')}), obs AS (SELECT *, 'c' || cast(item_id AS string) AS oslug FROM ({distribution_sql('gax')})),
-parts AS (SELECT s.slug, s.name, s.segment, s.cohort_key, s.contrast, s.descriptor_similarity, r.image_centroid_score, coalesce(round(greatest(0e0, least(1e0, (r.image_centroid_score + 1) / 2)), 6), 0e0) AS normalized_score,
+parts AS (SELECT s.slug, s.name, s.segment, s.cohort_key, s.contrast, s.descriptor_similarity, r.image_centroid_score, CASE WHEN r.image_centroid_score IS NULL THEN 0e0 ELSE round(greatest(0e0, least(1e0, (r.image_centroid_score + 1) / 2)), 6) END AS normalized_score,
   {HYP}, {OBS}, o.oslug IS NOT NULL AS has_axes, o.quadrant, coalesce(o.flags, ['missing_image']) AS presentation_flags
   FROM sim s JOIN hyp h USING (slug) LEFT JOIN score_rows r USING (slug) LEFT JOIN obs o ON o.oslug = s.slug),
 aligned AS (SELECT *, CASE WHEN has_axes THEN round(greatest(0e0, least(1e0, 1 - ({_GAPS}) / 8)), 6) ELSE 0e0 END AS axis_alignment,

@@ -310,43 +310,34 @@ def class_stats(page: Column) -> dict[str, Column]:
 
 
 @F.arrow_udf(T.StringType())
-def find_key(documents: pa.Array, keys: pa.Array) -> pa.Array:
-    """JSON value of the first place a key occurs (a level before its children), for documents without a known path."""
-
-    def search(node, key):
-        if isinstance(node, dict):
-            if key in node:
-                return node[key]
-            node = list(node.values())
-        if isinstance(node, list):
-            for child in node:
-                hit = search(child, key)
-                if hit is not None:
-                    return hit
-        return None
-
-    out = []
-    for text, key in zip(documents.to_pylist(), keys.to_pylist()):
+def user_info(documents: pa.Array) -> pa.Array:
+    """``userInfo`` of an embedded page state as JSON: under the known parents, else wherever it occurs (a level before its children)."""
+
+    def search(node):
+        children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        if isinstance(node, dict) and "userInfo" in node:
+            return node["userInfo"]
+        return next((hit for hit in map(search, children) if hit is not None), None)
+
+    def read(text):
         try:
-            hit = search(json.loads(text), key) if text else None
+            state = json.loads(text) if text else {}
         except ValueError:
-            hit = None
-        out.append(None if hit is None else json.dumps(hit, ensure_ascii=False))
-    return pa.array(out, pa.string())
+            return None
+        known = [state.get(parent) for parent in ("UserPage", "userPage")] if isinstance(state, dict) else []
+        found = next((k["userInfo"] for k in known if isinstance(k, dict) and k.get("userInfo")), None) or search(state)
+        return json.dumps(found, ensure_ascii=False) if found else None
+
+    return pa.array(map(read, documents.to_pylist()), pa.string())
 
 
 STATE_PATTERN = r'(?s)<script[^>]+id="SIGI_STATE"[^>]*>(.*?)</script>'
 
 
 def page_state_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Profile numbers from the JSON state embedded in a page: the known paths first, else wherever ``userInfo`` occurs."""
-    state = scale.spread(pages).select(*keys, F.nullif(F.regexp_extract("html", STATE_PATTERN, 1), F.lit("")).alias("__json"))
-    known = F.coalesce(
-        F.get_json_object("__json", "$.UserPage.userInfo"), F.get_json_object("__json", "$.userPage.userInfo")
-    )
-    info = state.withColumn("__known", known).withColumn(
-        "__info", F.coalesce("__known", find_key(F.when(F.col("__known").isNull(), F.col("__json")), F.lit("userInfo")))
-    )
+    """Profile numbers from the JSON state embedded in a page."""
+    found = user_info(F.regexp_extract("html", STATE_PATTERN, 1))
+    info = scale.spread(pages).select(*keys, found.alias("__info")).where(F.col("__info").isNotNull())
     numbers = ["followerCount", "followingCount", "videoCount", "heartCount", "diggCount"]
     parts = info.select(*keys, F.get_json_object("__info", "$.stats").alias("__stats"), F.get_json_object("__info", "$.user").alias("__user"))
     counted = parts.where(F.col("__stats").isNotNull()).select(*keys, "__user", F.json_tuple("__stats", *numbers).alias(*numbers))
