@@ -151,10 +151,11 @@ def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, s
     """
     centres = scale.small_side(models.select(
         *by, F.size("mean_embedding").alias("__d"), F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
+    tasks = max(models.sparkSession.sparkContext.defaultParallelism, 1)
     rows = (
         centres.select("__d").distinct()
         .select("__d", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-        .repartition("sample")
+        .repartition(tasks, "sample")  # few bytes but much arithmetic: a fixed number keeps AQE from merging the tasks
     )
     top = float(16**_HEX)
 

@@ -7,7 +7,7 @@ from ..operators import centroids as cen
 from ..operators import engagement as eng
 from ..operators import scoring as sc
 from ..sources import files, pages
-from .engagement_queries import CENTS, CHANNEL, ENG, engagement
+from .engagement_queries import CENTS, ENG, engagement, handle_roster
 from .inputs import ITEM_ROWS, SCORED, model
 from .registry import query
 from .score_queries import scored
@@ -186,6 +186,16 @@ def a3_folders(t):
     return t.spark.read.parquet(folder).groupBy("subject").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("a4_manifest_read", f"SELECT 'u' || user_id AS subject, max('User ' || user_id) AS name, 'ig_u' || user_id AS instagram FROM events GROUP BY user_id")
+def a4(t):
+    """Hand-made JSON lines with blank lines in between."""
+    records = handle_roster(t).select(F.explode(F.array(F.to_json(F.struct("subject", "name", "handles")), F.lit(""), F.lit("  "))).alias("value"))
+    folder = files.scratch(t.spark, "handles")
+    records.write.text(folder)
+    back = files.read_manifest(t.spark, folder, "subject string, name string, handles map<string,string>")
+    return back.select("subject", "name", F.try_element_at("handles", F.lit("instagram")).alias("instagram"))
+
+
 @query("a5_manifest_round_trip", f"WITH {ENG} SELECT subject, name, channel, handle, followers FROM eng")
 def a5(t):
     """A4 and A5: nested records written as JSON lines, read back with their schema, and flattened."""
