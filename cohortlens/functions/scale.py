@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+WINDOW_LIMIT_ROWS = 2_000_000  # rows of one group a window may hold
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position of a partition in the low 33 bits
 
 
@@ -67,11 +68,16 @@ def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, store: b
     ``store=False`` skips the storing where computing ``df`` again is cheap and exact (integer sums over stored rows).
     """
     stored = cut_lineage(df) if store else df
-    width = F.length(F.to_json(F.struct(*[F.col(c) for c in stored.columns])))
-    measured = stored.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes")).first()["bytes"]
+    measured = stored.agg(_json_bytes(stored).alias("bytes")).first()["bytes"]
     return F.broadcast(stored) if measured <= limit_bytes else stored
 
 
+def _json_bytes(df: DataFrame) -> Column:
+    """Aggregate: size of all rows as JSON text."""
+    width = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    return F.coalesce(F.sum(width.cast("bigint")), F.lit(0))
+
+
 def null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on ``keys`` where null equals null; the key columns of ``right`` are dropped."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -87,7 +93,8 @@ def exact_percentiles(
     Two mergeable passes instead of one unbounded buffer per group:
     1. a bounded sketch brackets every wanted rank within +-2/accuracy of the group;
     2. values outside the brackets shrink map-side to one counted row per gap, values inside to one counted row per
-       distinct value, and a running count over those few rows picks the order statistics.
+       distinct value, and a running count over those few rows picks the order statistics.  The largest group is known
+       from pass 1; if even its share inside the brackets is too much for a window, the count runs range-partitioned.
     The second pass raises if a wanted rank were to fall outside its bracket, so a result is exact or an error.
     """
     value = F.col(value) if isinstance(value, str) else value
@@ -102,11 +109,14 @@ def exact_percentiles(
     # ``value`` may be computed anew in pass 2, where sums can differ in the last bits: widen each bracket by 1e-9 of itself.
     outward = lambda x, i: x + F.abs(x) * F.when(i % 2 == 0, -1e-9).otherwise(1e-9)
     brackets = brackets.withColumn("__cut", F.transform("__cut", outward))
+    stored = cut_lineage(brackets)
+    size = stored.agg(_json_bytes(stored).alias("bytes"), F.max("__n").alias("largest")).first()
     if by:
-        marked = null_safe_keys(rows, small_side(brackets), by)
+        side = F.broadcast(stored) if size["bytes"] <= BROADCAST_LIMIT_BYTES else stored
+        marked = null_safe_keys(rows, side, by)
     else:
-        one = brackets.select(F.struct("__n", "__cut").alias("b")).scalar()
-        marked = rows.withColumn("__b", one).select("__v", F.col("__b.__n").alias("__n"), F.col("__b.__cut").alias("__cut"))
+        marked = beside(rows, stored)
+    inside_rows = (size["largest"] or 0) * 2 * margin * len(probs)
     v = F.col("__v")
     inside = reduce(
         lambda a, b: a | b,
@@ -120,8 +130,12 @@ def exact_percentiles(
         .groupBy(*by, "__n", "__gap", F.when(inside, v).alias("__exact"))
         .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__low"))
     )
-    running = Window.partitionBy(*by).orderBy("__low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("__cum", F.sum("__c").over(running)).withColumn("__prev", F.col("__cum") - F.col("__c"))
+    if inside_rows <= WINDOW_LIMIT_ROWS:
+        running = Window.partitionBy(*by).orderBy("__low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counted.withColumn("__cum", F.sum("__c").over(running))
+    else:
+        placed = running_totals(counted, by, [F.col("__low")], "__c", "__cum")
+    placed = placed.withColumn("__prev", F.col("__cum") - F.col("__c"))
     missed = F.raise_error(F.lit("percentile rank fell outside its bracket")).cast("double")
 
     def order_statistic(rank: Column) -> Column:
@@ -171,6 +185,24 @@ def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "
     )
 
 
+def running_totals(df: DataFrame, by: list[str], order: list[Column], amount: str, name: str) -> DataFrame:
+    """Running sum of ``amount`` in each group, in ``order``, for groups that do not fit one task.
+
+    As ``row_numbers``: range partitions summed up to offsets, and windows only inside one partition of one group.
+    """
+    keys = [F.col(c) for c in by]
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__pid", F.spark_partition_id())
+    stored = cut_lineage(ranged)
+    spans = stored.groupBy(*by, "__pid").agg(F.sum(amount).alias("__total"))
+    before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select(*by, "__pid", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    side = small_side(offsets, store=False) if by else F.broadcast(offsets)
+    local = Window.partitionBy(*by, "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = stored.withColumn("__local", F.sum(amount).over(local))
+    joined = null_safe_keys(summed, side, [*by, "__pid"])
+    return joined.withColumn(name, F.col("__local") + F.col("__before")).drop("__pid", "__local", "__before")
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Rank of ``value`` in its group, ties sharing their average rank (first and last position of the tie, halved)."""
     numbered = row_numbers(df, by, [F.col(value)], "__rn")

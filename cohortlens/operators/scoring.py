@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scale
 from ..functions import vectors as vec
@@ -72,8 +73,9 @@ def best_first(score: str = "centroid_score", tie: str = "path") -> list[Column]
 
 
 def rank_scores(scores: DataFrame, by: list[str] | None = None, score: str = "centroid_score", tie: str = "path") -> DataFrame:
-    """Position in score order.  Keep only narrow columns in ``scores``: they are stored and sorted."""
-    return scale.row_numbers(scale.settle(scores), list(by or []), best_first(score, tie), "rank")
+    """Position in score order.  Only the flat columns are stored and sorted; vectors stay behind."""
+    flat = [f.name for f in scores.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType))]
+    return scale.row_numbers(scale.settle(scores, flat), list(by or []), best_first(score, tie), "rank")
 
 
 def best_of(value: str | Column, score: str | Column, tie: str | Column) -> Column:

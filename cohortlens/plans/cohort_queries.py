@@ -201,9 +201,9 @@ def g7(t):
     return evidence(t)
 
 
-def evidence(t):
+def evidence(t, rows=None):
     real = t.orders.where("o_totalprice > 300000").groupBy(F.concat(F.lit("c"), "o_custkey").alias("slug")).agg(F.count(F.lit(1)).alias("real_item_count"))
-    measured = fused(t).where("confidence = 'measured'")
+    measured = (fused(t) if rows is None else rows).where("confidence = 'measured'")
     return audit.cohort_evidence(cohort_config(t).select("slug"), real, measured, "c0")
 
 
@@ -298,6 +298,6 @@ def j7(t):
         cohort_config(t).select("slug", "segment"),
         averages(t).select("slug", F.col("contrast").alias("average_contrast")),
         calibration.add_gaps(rows).select("slug", "priority"),
-        evidence(t).where("real_item_count > 0").select("slug", "evidence_type", "real_item_count"),
+        evidence(t, rows).where("real_item_count > 0").select("slug", "evidence_type", "real_item_count"),
     )
     return pages

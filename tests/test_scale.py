@@ -30,6 +30,26 @@ def test_exact_percentiles(skewed):
             assert got[key][name] == pytest.approx(np.percentile(values, p * 100), abs=1e-12), (key, name)
 
 
+def test_exact_percentiles_beyond_the_window_limit(skewed, monkeypatch):
+    """The same answers when no group may be held by one window."""
+    pdf, df = skewed
+    monkeypatch.setattr(scale, "WINDOW_LIMIT_ROWS", 0)
+    for by in (["key"], []):
+        got = scale.exact_percentiles(df, by, "value", {"a": 0.3, "b": 0.5}, accuracy=100)
+        assert "__local" in got._jdf.queryExecution().optimizedPlan().toString()
+        for row in got.collect():
+            values = pdf["value"].dropna() if not by else pdf.loc[pdf["key"] == row["key"], "value"].dropna()
+            assert row["a"] == pytest.approx(np.percentile(values, 30)) and row["b"] == np.median(values)
+
+
+def test_running_totals(skewed):
+    pdf, df = skewed
+    got = scale.running_totals(df.select("key", "id", F.lit(2).alias("two")), ["key"], [F.col("id")], "two", "total").toPandas()
+    want = pdf.sort_values("id").groupby("key").cumcount() + 1
+    merged = got.merge(want.rename("n").reset_index().rename(columns={"index": "id"}), on="id")
+    assert (merged["total"] == 2 * merged["n"]).all()
+
+
 def test_exact_percentiles_without_groups(skewed):
     pdf, df = skewed
     row = scale.exact_percentiles(df, [], "value", {"m": 0.5, "q": 0.75}, accuracy=300).first()
