@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -41,6 +43,7 @@ def duck(text: str) -> str:
 def query(name: str, oracle: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
             return build(Tables(spark, folder))
 
         if name in QUERIES:
