@@ -26,7 +26,10 @@ def subject_balance(roster: DataFrame, items: DataFrame, by: list[str], subject:
 
 
 def content_digests(items: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """Only the keys and a 64-character digest travel further; the content itself never enters a shuffle."""
+    """Only the keys and a 64-character digest travel further; the content itself never enters a shuffle.
+
+    ``settle`` the result where it is used twice, so that the content is read and hashed once.
+    """
     return items.select(*keys, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
 
 

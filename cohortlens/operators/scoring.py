@@ -46,17 +46,18 @@ def score_items(items: DataFrame, models: DataFrame, by: list[str] | None = None
 
     With ``by`` the item is scored against the model of its own group.  The models are stored and measured first: a
     small set is broadcast, a large one is joined by shuffle.  Without ``by`` there is one model (one row, fitted once),
-    which is carried inside the scoring function, so the scan is map-only.
+    which is carried inside the scoring function, so the scan is map-only.  Vectors travel as stored (float32 stays
+    float32 on the way) and are widened in the kernel.
     """
     if not by:
         model = models.select("mean_embedding", "median_embedding").first()
         score = _fixed_model_scores(np.array(model["mean_embedding"]), np.array(model["median_embedding"]))
-        scored = items.withColumn("__s", score(vec.as_vector(vector)))
+        scored = items.withColumn("__s", score(F.col(vector)))
         return scored.select("*", *[F.col(f"__s.{c}").alias(c) for c in SCORE_COLUMNS]).drop("__s")
     centres = scale.small_side(models.select(*by, F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
     joined = items.join(centres, by)
     measured = joined.withColumns(
-        {"__a": vec.pair_metrics(vec.as_vector(vector), "__mean"), "__b": vec.pair_metrics(vec.as_vector(vector), "__median")}
+        {"__a": vec.pair_metrics(vector, "__mean"), "__b": vec.pair_metrics(vector, "__median")}
     )
     return measured.select(
         *items.columns,

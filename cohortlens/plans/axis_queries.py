@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scale
 from ..functions.numeric import r6, rescale
 from ..operators import audit, axes, gates
 from ..operators import scoring as sc
@@ -229,7 +230,7 @@ def g5(t):
 
 @query("g5_duplicate_members", f"WITH {DUPS} SELECT digest, doc_id, copies, first_item FROM dig JOIN grp USING (digest)")
 def g5_members(t):
-    d = digests(t)
+    d = scale.settle(digests(t))
     return audit.duplicate_members(d, audit.duplicate_groups(d, [], "doc_id"), []).drop("lang")
 
 
