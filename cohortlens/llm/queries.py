@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import exact
+from . import exact, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,8 @@ def query(name: str, oracle: str | None = None):
 )
 def exact_dedup(table):
     return exact.group_copies(table("documents")).drop("n_bytes")
+
+
+@query("op3_language_id")
+def language_id(table):
+    return language.identify(table("documents"))
