@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import exact, language, minhash
+from . import decontaminate, exact, language, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def language_id(table):
 )
 def minhash_near_dedup(table):
     return minhash.near_groups(table("documents"))
+
+
+@query("op6_benchmark_decontamination")
+def benchmark_decontamination(table):
+    return decontaminate.contamination(table("documents"), table("benchmark"))
+
+
+@query("op4_best_fit_packing")
+def best_fit_packing(table):
+    return packing.pack(table("documents"))
