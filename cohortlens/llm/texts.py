@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CACHE_WORDS = 300_000  # words a task remembers the hash of; beyond it the memory starts anew
 U64 = np.uint64
@@ -61,8 +63,7 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where the kernel turns a batch into column dictionaries (arrays or lists), in the schema's order."""
-    spark_schema = _parsed(df, schema)
-    arrow = _arrow_schema(spark_schema)
+    spark_schema, arrow = schemas(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +73,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[dict]
     return df.mapInArrow(run, spark_schema)
 
 
-def _parsed(df: DataFrame, schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
-
-
-def _arrow_schema(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
+def schemas(ddl: str) -> tuple[StructType, pa.Schema]:
+    """A schema for Spark and for Arrow."""
+    spark_schema = StructType.fromDDL(ddl)
+    return spark_schema, to_arrow_schema(spark_schema)
