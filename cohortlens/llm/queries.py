@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import chat, decontaminate, exact, language, minhash, packing
+from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,16 @@ def chat_formatting(table):
     rows = table("conversations").select("conv_id", "turn", "role", "text")
     probe = rows.sparkSession.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     return chat.digest(chat.format_conversations(rows.unionByName(probe)))
+
+
+@query("op2_token_counts")
+def token_counts(table):
+    """Totals of the documents not labelled toxic: guessed at first, revised by counting the texts, the toxic ones taken out."""
+    documents = table("documents")
+    rollup = counts.Rollup(documents.sparkSession)
+    rollup.insert(1, counts.provisional(documents))
+    rollup.revise(2, counts.counted(documents))
+    toxic = table("labels").where("toxic = 1").select("doc_id")
+    rollup.delete(3, toxic)
+    rollup.delete(3, toxic)  # a retried commit
+    return rollup.totals()
