@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, exact, language, minhash, packing
+from . import chat, decontaminate, exact, language, minhash, packing, secrets
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def token_counts(table):
     rollup.delete(3, toxic)
     rollup.delete(3, toxic)  # a retried commit
     return rollup.totals()
+
+
+@query("op7_secret_scan")
+def secret_scan(table):
+    return secrets.scan(table("documents"))
