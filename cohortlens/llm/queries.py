@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, exact, language, minhash, packing, secrets
+from . import chat, decontaminate, exact, language, minhash, packing, quality, secrets
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def token_counts(table):
 @query("op7_secret_scan")
 def secret_scan(table):
     return secrets.scan(table("documents"))
+
+
+@query("op9_quality_classifier")
+def quality_classifier(table):
+    documents = table("documents")
+    return quality.scored(documents, quality.fit(documents, table("labels")))
