@@ -27,8 +27,9 @@ class Signature:
 
     A pair that differs in at most ``chunks * (errors + 1) - 1`` slots has, by pigeonhole, a chunk with at most ``errors``
     differences, so it meets in a bucket: that is a guarantee.  A pair at 75 % similarity differs in 13.5 of 54 slots on
-    average; that it meets nowhere has probability 1e-7, and less for closer pairs.  Pairs that met are compared slot by
-    slot up to ``reach`` differences (a pair at 75 % lies beyond with probability 1e-8) before the full sets decide.
+    average; that it meets nowhere has probability 1e-7, and less for closer pairs.  Pairs that met are compared by their
+    sizes, slot by slot up to ``reach`` differences (a pair at 75 % lies beyond with probability 1e-8) and by a sketch of
+    ``bins`` one-permutation values (within ``sigmas`` standard errors of the similarity) before the full sets decide.
     """
 
     chunks: int = 9
@@ -36,6 +37,8 @@ class Signature:
     errors: int = 2
     reach: int = 33
     seed: int = 7
+    bins: int = 256
+    sigmas: float = 5.5
 
     @property
     def size(self) -> int:
@@ -59,6 +62,33 @@ def signature(grams: np.ndarray, config: Signature) -> np.ndarray:
     return ((lowest ^ (lowest >> np.uint32(15))) & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+def bin_sketch(grams: np.ndarray, config: Signature) -> np.ndarray:
+    """A byte of the smallest hash in each of ``bins`` equal ranges of hash values; 0 for an empty range."""
+    bounds = (np.arange(config.bins, dtype=np.uint64) * np.uint64(2**64 // config.bins)).astype(np.uint64)
+    first = np.searchsorted(grams, bounds)
+    filled = first < np.append(first[1:], len(grams))
+    sketch = np.zeros(config.bins, np.uint8)
+    sketch[filled] = (grams[first[filled]] % np.uint64(255)).astype(np.uint8) + 1
+    return sketch
+
+
+def plausible(na, nb, sa, sb, ba, bb, config: Signature, percent: int) -> np.ndarray:
+    """Which pairs of (size, signature, bins) may be links: row by row, or one first row against many."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    keep = 100 * low >= percent * high  # even as a subset a smaller set could not reach the similarity
+    keep &= (sa != sb).sum(axis=-1) <= config.reach
+    rows = np.flatnonzero(keep)
+    a, b = ba if ba.ndim == 1 else ba[rows], bb[rows]
+    filled = ((a > 0) | (b > 0)).sum(axis=-1)
+    share = ((a == b) & (a > 0)).sum(axis=-1) / np.maximum(filled, 1)
+    # the filled bins are a sample without replacement of a union this large if the pair is at the similarity
+    target = percent / 100
+    union = np.maximum(((na + nb) / (1 + target))[rows], filled)
+    error = np.sqrt(target * (1 - target) / np.maximum(filled, 1) * (union - filled) / np.maximum(union - 1, 1))
+    keep[rows] = share >= target - config.sigmas * error - 2 / np.maximum(filled, 1)
+    return keep
+
+
 def chunk_keys(signatures: np.ndarray, config: Signature) -> np.ndarray:
     """Bucket keys of signatures [rows, slots]: per chunk one for every choice of slots that are allowed to differ."""
     rows = signatures.astype(np.uint64).reshape(len(signatures), config.chunks, config.slots)
@@ -76,15 +106,16 @@ def _sketches(documents: DataFrame, config: Signature) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set and signature of every document, from its whole text."""
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
-        counts, digests, signs = [], [], []
+        counts, digests, signs, bins = [], [], [], []
         for text in batch.column(1):
             grams = texts.shingles(text.as_py(), WIDTH)
             counts.append(len(grams))
             digests.append(texts.xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
             signs.append(signature(grams, config).tobytes() if len(grams) else None)
-        yield {"doc_id": batch.column(0), "n_shingles": counts, "digest": digests, "signature": signs}
+            bins.append(bin_sketch(grams, config).tobytes() if len(grams) else None)
+        yield {"doc_id": batch.column(0), "n_shingles": counts, "digest": digests, "signature": signs, "bins": bins}
 
-    schema = "doc_id long, n_shingles long, digest binary, signature binary"
+    schema = "doc_id long, n_shingles long, digest binary, signature binary, bins binary"
     return texts.map_batches(documents.select(F.col("doc_id").cast("long"), "text"), kernel, schema)
 
 
@@ -104,21 +135,31 @@ def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
     return shared.where(F.col("n") > 1)
 
 
-def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``reach`` slots."""
-    signs = classes.select("id", "signature")
-    sided = pairs.join(signs.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(
-        signs.withColumnsRenamed({"id": "b", "signature": "sb"}), "b"
-    )
+_SKETCH = ["n", "signature", "bins"]
+
+
+def _arrays(columns, config: Signature) -> list[np.ndarray]:
+    """Sizes, signatures and bins of a batch as arrays."""
+    n, signs, bins = columns
+    size = len(n)
+    return [
+        n.to_numpy(zero_copy_only=False) if isinstance(n, pa.Array) else n.to_numpy(),
+        np.frombuffer(b"".join(signs.to_pylist()), np.uint16).reshape(size, config.size),
+        np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(size, config.bins),
+    ]
+
+
+def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes, signatures and bins let them be links."""
+    side = lambda end: classes.select(F.col("id").alias(end), *[F.col(c).alias(c + end) for c in _SKETCH])
+    sided = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
-        left, right = (
-            np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, config.size) for i in (2, 3)
-        )
-        near = (left != right).sum(axis=1) <= config.reach
-        yield {name: batch.column(i).to_numpy(zero_copy_only=False)[near] for i, name in enumerate("ab")}
+        (na, sa, ba), (nb, sb, bb) = (_arrays([batch.column(c + end) for c in _SKETCH], config) for end in "ab")
+        near = plausible(na, nb, sa, sb, ba, bb, config, percent)
+        yield {name: batch.column(name).to_numpy(zero_copy_only=False)[near] for name in "ab"}
 
-    return texts.map_batches(sided.select("a", "b", "sa", "sb"), kernel, "a long, b long")
+    return texts.map_batches(sided, kernel, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -151,11 +192,11 @@ def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return texts.map_batches(sided.select("a", "b", "ga", "gb"), kernel, "a long, b long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature) -> DataFrame:
+def _open_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
     """Pairs within reach that share a bucket but not yet a component.
 
     Buckets whose members are all connected are done.  In the others every pair across components is compared by
-    signature in the task; a bucket is dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so no task holds more
+    sketch in the task; a bucket is dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so no task holds more
     than two blocks of it.  Only pairs within reach leave the task.
     """
     labelled = buckets.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
@@ -164,23 +205,23 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, confi
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     )
     mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(mixed, "key").join(classes.select("id", "signature"), "id")
+    members = labelled.join(mixed, "key").join(classes.select("id", *_SKETCH), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = members.withColumn("mine", block).withColumn("other", F.explode(others))
     dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    dealt = dealt.select("key", "i", "j", "mine", "id", "component", "signature")
+    dealt = dealt.select("key", "i", "j", "mine", "id", "component", *_SKETCH)
 
     def compare(key, table):
         mine, ids, comp = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), config.size)
+        n, signs, bins = _arrays([table.column(c) for c in _SKETCH], config)
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
         for row in left:
             other = right[right > row] if i == j else right
             other = other[comp[other] != comp[row]]
-            other = other[(signs[other] != signs[row]).sum(axis=1) <= config.reach]
+            other = other[plausible(n[row], n[other], signs[row], signs[other], bins[row], bins[other], config, percent)]
             a.append(np.minimum(ids[row], ids[other]))
             b.append(np.maximum(ids[row], ids[other]))
         columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
@@ -205,17 +246,17 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature
     sketches = cut_lineage(_sketches(documents, config))
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = cut_lineage(
-        named.groupBy("digest", "n_shingles", "signature").agg(F.min("doc_id").alias("id")).select("id", "digest", "signature")
+        named.groupBy("digest", F.col("n_shingles").alias("n"), "signature", "bins").agg(F.min("doc_id").alias("id"))
     )
     buckets = cut_lineage(_buckets(classes, config))
     spokes = buckets.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut_lineage(_within_reach(spokes, classes, config))
+    first = cut_lineage(_within_reach(spokes, classes, config, percent))
     links = cut_lineage(_confirm(first, documents, percent))
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     held = named.join(repeated, "doc_id", "left_semi").join(classes.select("id", "digest"), "digest")
     links = links.unionByName(held.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     labels = components(links)
-    rest = cut_lineage(_open_pairs(buckets, labels, classes, config).join(first, ["a", "b"], "left_anti"))
+    rest = cut_lineage(_open_pairs(buckets, labels, classes, config, percent).join(first, ["a", "b"], "left_anti"))
     second = _confirm(rest, documents, percent)
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     final = components(joined)

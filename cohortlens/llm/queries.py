@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, exact, language, minhash, packing, quality, secrets
+from . import chat, decontaminate, exact, language, minhash, packing, quality, secrets, suffixes
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def secret_scan(table):
 def quality_classifier(table):
     documents = table("documents")
     return quality.scored(documents, quality.fit(documents, table("labels")))
+
+
+@query("op8_suffix_array_dedup")
+def suffix_array_dedup(table):
+    return suffixes.remove_repeats(table("documents"))
