@@ -45,6 +45,7 @@ def fit(
     ``train_symbols`` symbols are learned.  The driver receives no more than that many rows of that many characters.
     """
     usable = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    usable = usable.select("doc_id", "text", "lang")
     order = [F.char_length("text") > train_chars, F.xxhash64("doc_id"), F.col("doc_id")]
     narrow = usable.select("doc_id", "lang", F.struct(*order).alias("place"))
     ranked = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))

@@ -68,14 +68,41 @@ def knapsack(values: np.ndarray, capacity: int) -> dict[int, int]:
     return pattern
 
 
+def fill(counts: dict[int, int], room: int) -> dict[int, int]:
+    """Lengths within their counts that add up as close to ``room`` as can be, larger ones preferred (subset sums)."""
+    reached = np.full(room + 1, -1)
+    reached[0] = 0
+    items: list[tuple[int, int]] = [(0, 0)]
+    for length in sorted((x for x, n in counts.items() if n and x <= room), reverse=True):
+        n, times = min(counts[length], room // length), 1
+        while n > 0 and reached[room] < 0:
+            times = min(times, n)
+            width = length * times
+            fresh = (reached[: room + 1 - width] >= 0) & (reached[width:] < 0)
+            if fresh.any():
+                items.append((length, times))
+                reached[width:][fresh] = len(items) - 1
+            n, times = n - times, 2 * times
+        if reached[room] >= 0:
+            break
+    pattern: dict[int, int] = {}
+    at = int(np.flatnonzero(reached >= 0)[-1])
+    while at > 0:
+        length, times = items[reached[at]]
+        pattern[length] = pattern.get(length, 0) + times
+        at -= length * times
+    return pattern
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
     """Fill sequences for a histogram of lengths: patterns whose pieces add up to the histogram exactly.
 
     The configuration LP (least number of sequences covering every length's count) by multiplicative weights: each length
     has a weight that falls as it gets covered; the pattern worth most under the weights comes from the knapsack's dynamic
     program and is used as often as its scarcest length allows.  Counts are rounded down to what is still there, and what
-    is left over is filled largest length first with the largest lengths that still fit, as often as the counts allow, so
-    every step uses up a length.  The histogram has at most ``capacity`` lengths; nothing here grows with the rows.
+    is left over is filled from the largest length down, each time with the lengths that fill the rest of the sequence
+    best, as often as the counts allow, so every step uses up a length.  The histogram has at most ``capacity`` lengths;
+    nothing here grows with the rows.
     """
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.zeros(capacity + 1)
@@ -110,16 +137,13 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     full = lambda key: sum(x * n for x, n in key)
     for key, amount in sorted(chosen.items(), key=lambda item: (-full(item[0]), -item[1])):
         use(dict(key), amount / scale)
-    remaining = sorted((x for x, n in left.items() if n), reverse=True)
-    while remaining:
-        pattern, room = {}, capacity
-        for x in remaining:
-            n = min(left[x], room // x)
-            if n:
-                pattern[x] = n
-                room -= n * x
+    while any(left.values()):
+        largest = max(x for x, n in left.items() if n)
+        left[largest] -= 1
+        pattern = fill(left, capacity - largest)
+        left[largest] += 1
+        pattern[largest] = pattern.get(largest, 0) + 1
         use(pattern, float("inf"))
-        remaining = [x for x in remaining if left[x]]
     return result
 
 
