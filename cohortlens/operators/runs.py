@@ -35,10 +35,28 @@ def with_keys(df: DataFrame, bases: Column, path: str = "path", name: str = "pat
     return df.withColumn(name, F.explode(path_keys(F.col(path), bases)))
 
 
+def smallest_key(keyed: DataFrame) -> DataFrame:
+    """One row per item again: its smallest path key."""
+    return keyed.groupBy(*[c for c in keyed.columns if c != "path_key"]).agg(F.min("path_key").alias("path_key"))
+
+
+def first_match(rows: DataFrame, other: DataFrame, by: list[str], fields: list[str], name: str) -> DataFrame:
+    """Every item of ``rows`` once, with its smallest path key and the ``fields`` of ``other`` under the smallest key both have.
+
+    Both sides have a row per key.  An item is told by its run, id and path; of several rows under one key of ``other`` the
+    smallest counts.
+    """
+    keys = [*by, "path_key"]
+    lookup = other.groupBy(*keys).agg(F.min(F.struct(*fields)).alias(name))
+    items = [c for c in rows.columns if c != "path_key"]
+    found = F.min_by(name, F.when(F.col(name).isNotNull(), F.col("path_key")))
+    return rows.join(lookup, keys, "left").groupBy(*items).agg(F.min("path_key").alias("path_key"), found.alias(name))
+
+
 def best_quality(scores: DataFrame, quality: DataFrame, by: list[str], score: str = "centroid_score") -> DataFrame:
     """Best score among items that passed the gate, matched by path key; equal scores go to the smallest key."""
-    passed = quality.where("qa_pass").select(*by, "path_key").distinct()
-    kept = scores.where(F.col(score).isNotNull()).join(passed, [*by, "path_key"], "left_semi")
+    scored = scores.where(F.col(score).isNotNull()).select(*by, "item_id", "path", "path_key", score)
+    kept = first_match(scored, quality, by, ["qa_pass"], "__gate").where("__gate.qa_pass")
     return kept.groupBy(*by).agg(
         best_of("item_id", score, "path_key").alias("best_qa_item_id"),
         best_of("path", score, "path_key").alias("best_qa_path"),
@@ -48,9 +66,9 @@ def best_quality(scores: DataFrame, quality: DataFrame, by: list[str], score: st
 
 def best_combined(scores: DataFrame, styles: DataFrame, by: list[str]) -> DataFrame:
     """Best mean of the two modalities per run, joined by path key (never by item id)."""
-    right = styles.where(F.col("style_score").isNotNull()).select(*by, "path_key", "style_score")
-    both = scores.where(F.col("centroid_score").isNotNull()).join(right, [*by, "path_key"])
-    combined = both.withColumn("combined", (F.col("centroid_score") + F.col("style_score")) / 2.0)
+    scored = scores.where(F.col("centroid_score").isNotNull()).select(*by, "item_id", "path", "path_key", "centroid_score")
+    both = first_match(scored, styles.where(F.col("style_score").isNotNull()), by, ["style_score"], "__style").where("__style is not null")
+    combined = both.withColumn("combined", (F.col("centroid_score") + F.col("__style.style_score")) / 2.0)
     return combined.groupBy(*by).agg(
         best_of("item_id", "combined", "path_key").alias("best_combined_item_id"),
         best_of("path", "combined", "path_key").alias("best_combined_path"),
@@ -59,24 +77,33 @@ def best_combined(scores: DataFrame, styles: DataFrame, by: list[str]) -> DataFr
 
 
 def candidate_table(scores: DataFrame, styles: DataFrame, quality: DataFrame, by: list[str]) -> DataFrame:
-    """Every item either modality scored, with its gate result; ``combined_score`` only where both scores exist."""
+    """Every item either modality scored, once, with its gate result; ``combined_score`` only where both scores exist.
+
+    An item may be known by several path keys: the smallest key that both sides have decides.  A style row is a candidate
+    of its own only if none of its keys belongs to an item that found its style.
+    """
     keys = [*by, "path_key"]
+    identity = [*by, "item_id", "path"]
     left = scores.select(*keys, "item_id", "path", "centroid_score")
-    right = styles.select(*keys, F.col("item_id").alias("__item"), F.col("path").alias("__path"), "style_score")
+    right = styles.select(*keys, "item_id", "path", "style_score")
     gate = quality.select(*keys, "qa_pass", F.col("reason").alias("qa_reason"))
-    return (
-        left.join(right, keys, "full")
-        .join(gate, keys, "left")
-        .select(
-            *keys,
-            F.coalesce("item_id", "__item").alias("item_id"),
-            F.coalesce("path", "__path").alias("path"),
-            "centroid_score",
-            "style_score",
-            ((F.col("centroid_score") + F.col("style_score")) / 2.0).alias("combined_score"),
-            "qa_pass",
-            "qa_reason",
-        )
+    matched = first_match(left, right, by, ["style_score"], "__style")
+    with_style = matched.where("__style is not null").select(*identity)
+    consumed = scale.null_safe_keys(left.select(*keys, "item_id", "path"), with_style.withColumn("__hit", F.lit(True)), identity)
+    consumed = consumed.where("__hit").select(*keys).distinct()
+    used = right.join(consumed, keys, "left_semi").select(*identity).distinct().withColumn("__used", F.lit(True))
+    alone = scale.null_safe_keys(right, used, identity).where("__used is null").drop("__used")
+    gated_left = first_match(left, gate, by, ["qa_pass", "qa_reason"], "__gate").select(*identity, "__gate")
+    rows = scale.null_safe_keys(matched, gated_left, identity).select(
+        *keys, "item_id", "path", "centroid_score", F.col("__style.style_score").alias("style_score"), "__gate"
+    )
+    style_only = first_match(alone, gate, by, ["qa_pass", "qa_reason"], "__gate").select(
+        *keys, "item_id", "path", F.lit(None).cast("double").alias("centroid_score"), "style_score", "__gate"
+    )
+    return rows.unionByName(style_only).select(
+        *keys, "item_id", "path", "centroid_score", "style_score",
+        ((F.col("centroid_score") + F.col("style_score")) / 2.0).alias("combined_score"),
+        F.col("__gate.qa_pass").alias("qa_pass"), F.col("__gate.qa_reason").alias("qa_reason"),
     )
 
 

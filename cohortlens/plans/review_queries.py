@@ -12,21 +12,24 @@ from .score_queries import scored, style_scores
 
 # Paths as the tools wrote them: relative to a run folder for one score file, absolute and unclean for the other.
 REL = "CASE WHEN item_id % 3 = 0 THEN 'imgs/../out/Item_' ELSE '/Runs/' || run || '//out/./item_' END || cast(item_id AS string) || '.PNG'"
-CLEAN = "'/runs/' || run || '/out/item_' || cast(item_id AS string) || '.png'"
+_ITEM = "'/out/item_' || cast(item_id AS string) || '.png'"
+CLEAN, EVALUATED, AT_WORK = f"'/runs/' || run || {_ITEM}", f"'/runs/' || run || '/evaluation' || {_ITEM}", f"'/work' || {_ITEM}"
 BOTH = f"""{SCORED}, halves AS (SELECT item_id, run, path, v[33:64] AS v FROM items), hc AS ({model('halves')}),
 sty AS (SELECT item_id, run, ({cos('v', 'mean_v')} + {cos('v', 'med_v')}) / 2 AS style_score FROM halves, hc),
-a AS (SELECT item_id, run, {REL} AS path, {CLEAN} AS path_key, centroid_score FROM scored WHERE item_id % 10 <> 9),
-b AS (SELECT item_id + 1000000 AS item_id, run, {CLEAN} AS path_key, style_score FROM sty WHERE item_id % 8 <> 7),
+a AS (SELECT item_id, run, {REL} AS path, {CLEAN} AS path_key, CASE WHEN item_id % 3 = 0 THEN {EVALUATED} ELSE {CLEAN} END AS shown, centroid_score FROM scored WHERE item_id % 10 <> 9),
+b AS (SELECT item_id + 1000000 AS item_id, run, {CLEAN} AS path_key, CASE WHEN item_id % 2 = 0 THEN {EVALUATED} ELSE {CLEAN} END AS shown, style_score FROM sty WHERE item_id % 8 <> 7),
 q AS (SELECT run, {CLEAN} AS path_key, item_id % 5 < 2 AS qa_pass, CASE WHEN item_id % 5 < 2 THEN 'single centered face' ELSE 'detected face is off center' END AS reason FROM items WHERE item_id % 6 <> 5)"""
 
 
 def _bases():
-    return F.array(F.concat(F.lit("/runs/"), F.col("run")))
+    run = F.concat(F.lit("/runs/"), F.col("run"))
+    return F.array(F.lit("/work"), F.concat(run, F.lit("/evaluation")), run)
 
 
-def _rel():
+def _rel(every=3):
+    """Paths as sheets write them: one in ``every`` relative to one of the bases, the others absolute but not clean."""
     unclean = F.concat(F.lit("/Runs/"), F.col("run"), F.lit("//out/./item_"))
-    return F.concat(F.when(F.col("item_id") % 3 == 0, "imgs/../out/Item_").otherwise(unclean), F.col("item_id"), F.lit(".PNG"))
+    return F.concat(F.when(F.col("item_id") % every == 0, "imgs/../out/Item_").otherwise(unclean), F.col("item_id"), F.lit(".PNG"))
 
 
 def score_rows(t):
@@ -36,7 +39,7 @@ def score_rows(t):
 
 def style_rows(t):
     """Style scores under other ids, so only the path can match them."""
-    rows = style_scores(t).where("item_id % 8 <> 7").withColumn("path", _rel())
+    rows = style_scores(t).where("item_id % 8 <> 7").withColumn("path", _rel(2))
     shifted = rows.withColumn("item_id", F.col("item_id") + 1000000)
     return runs.with_keys(shifted.select("item_id", "run", "path", "style_score"), _bases())
 
@@ -48,7 +51,7 @@ def quality_rows(t):
     return runs.with_keys(rows.withColumns({"qa_pass": ok, "reason": reason}), _bases())
 
 
-@query("k2_path_keys", f"WITH {BOTH} SELECT item_id, path, path_key FROM a")
+@query("k2_path_keys", f"WITH {BOTH} SELECT item_id, path, path_key FROM a UNION ALL SELECT item_id, path, {EVALUATED} FROM a WHERE item_id % 3 = 0 UNION ALL SELECT item_id, path, {AT_WORK} FROM a WHERE item_id % 3 = 0")
 def k2(t):
     return score_rows(t).select("item_id", "path", "path_key")
 
@@ -66,7 +69,7 @@ def k4(t):
     return runs.best_combined(score_rows(t), style_rows(t), ["run"]).withColumn("best_combined_score", r6("best_combined_score"))
 
 
-CANDIDATES = f"""{BOTH}, cand AS (SELECT run, path_key, coalesce(a.item_id, b.item_id) AS item_id, centroid_score, style_score, (centroid_score + style_score) / 2 AS combined_score, qa_pass, q.reason AS qa_reason FROM a FULL JOIN b USING (run, path_key) LEFT JOIN q USING (run, path_key)),
+CANDIDATES = f"""{BOTH}, cand AS (SELECT run, coalesce(a.shown, b.shown) AS path_key, coalesce(a.item_id, b.item_id) AS item_id, centroid_score, style_score, (centroid_score + style_score) / 2 AS combined_score, qa_pass, q.reason AS qa_reason FROM a FULL JOIN b USING (run, path_key) LEFT JOIN q USING (run, path_key)),
 tiered AS (SELECT *, CASE WHEN qa_pass AND centroid_score IS NOT NULL THEN 3 WHEN combined_score IS NOT NULL THEN 2 WHEN coalesce(centroid_score, style_score) IS NOT NULL THEN 1 ELSE 0 END AS tier,
   CASE WHEN qa_pass AND centroid_score IS NOT NULL THEN centroid_score WHEN combined_score IS NOT NULL THEN combined_score ELSE coalesce(centroid_score, style_score, 0) END AS tier_score FROM cand)"""
 
@@ -100,8 +103,8 @@ def run_reviews(t):
     quality = quality_rows(t).where("run <> 'r2'")
     style_best = styles.groupBy("run").agg(r6(F.max("style_score")).alias("best_style_score"))
     return runs.review_runs(
-        t.sql(CONFIG), sc.score_summary(scores, ["run"], tie="path_key"), style_best,
-        gates.gate_summary(quality, ["run"]).select("run", "pass_count"),
+        t.sql(CONFIG), sc.score_summary(runs.smallest_key(scores), ["run"], tie="path_key"), style_best,
+        gates.gate_summary(runs.smallest_key(quality), ["run"]).select("run", "pass_count"),
         runs.best_combined(scores.where("run <> 'r3'"), styles, ["run"]), runs.best_quality(scores, quality, ["run"]),
     )
 
