@@ -16,7 +16,7 @@ def clean_count(text: Column) -> Column:
     plain = F.upper(F.replace(F.trim(text), F.lit(","), F.lit("")))
     factor = pick((plain.endswith("K"), 1e3), (plain.endswith("M"), 1e6), otherwise=1.0)
     value = F.rtrim(plain, F.lit("KM")).try_cast("double") * factor
-    return F.when(plain.rlike(_NUMBER + "[KM]?$"), value.cast("bigint"))
+    return F.when(plain.rlike(_NUMBER + "[KM]?$"), value.try_cast("bigint"))
 
 
 def clean_rate(text: Column) -> Column:
@@ -162,20 +162,32 @@ def usable(profiles: DataFrame, need_followers: bool = True) -> DataFrame:
     return profiles.where(good & F.col("followers").isNotNull() if need_followers else good)
 
 
-def split_requests(requests: DataFrame, cache: DataFrame, as_of: Column, ttl_hours: float = 168.0, force: bool = False) -> DataFrame:
-    """Every request as ``cached`` or ``fetch``; ``force`` sends all to ``fetch``."""
+def split_requests(
+    requests: DataFrame, cache: DataFrame, as_of: Column, ttl_hours: float = 168.0, force: bool = False, need_followers: bool = True
+) -> DataFrame:
+    """Every request as ``cached`` or ``fetch``; ``force`` sends all to ``fetch``.  A single fetch reuses profiles without followers too."""
     if force:
         return requests.withColumn("plan", F.lit("fetch"))
-    hits = usable(fresh(cache, as_of, ttl_hours)).select("channel", F.lower("handle").alias("__key")).distinct()
+    hits = usable(fresh(cache, as_of, ttl_hours), need_followers).select("channel", F.lower("handle").alias("__key")).distinct()
     joined = requests.withColumn("__key", F.lower("handle")).join(hits.withColumn("__hit", F.lit(True)), ["channel", "__key"], "left")
     return joined.withColumn("plan", F.when(F.col("__hit"), "cached").otherwise("fetch")).drop("__key", "__hit")
 
 
+# For these channels a source is accepted by a rule of its own; all others take ok or partial with followers.
+STRICT_FIRST = ["twitter"]  # the first source only if ok, a later one with whatever status if it has followers; else the first
+
+
 def first_usable(results: DataFrame, keys: list[str], priority: str = "priority") -> DataFrame:
-    """Per account the first source in priority order that is usable, else the last one tried."""
-    good = F.col("fetch_status").isin(*USABLE) & F.col("followers").isNotNull()
-    order = F.struct(good.cast("int").alias("g"), F.when(good, -F.col(priority)).otherwise(F.col(priority)).alias("p"))
-    return _keep_one(results, keys, order)
+    """Per account the first source in priority order that its channel accepts; without one, the last tried (strict channels: the first)."""
+    known = F.col("followers").isNotNull()
+    strict = F.coalesce(F.col("channel").isin(*STRICT_FIRST), F.lit(False))
+    results = results.join(results.groupBy(*keys).agg(F.min(priority).alias("__first")), keys)
+    lenient = F.when(F.col(priority) == F.col("__first"), (F.col("fetch_status") == "ok") & known).otherwise(known)
+    good = F.when(strict, lenient).otherwise(F.col("fetch_status").isin(*USABLE) & known)
+    good = F.coalesce(good, F.lit(False))
+    rank = F.col(priority)
+    order = F.struct(good.cast("int").alias("g"), F.when(good | strict, -rank).otherwise(rank).alias("p"))
+    return _keep_one(results, keys, order).drop("__first")
 
 
 def handle_rows(records: DataFrame, channels: list[str]) -> DataFrame:

@@ -178,7 +178,7 @@ def n9(t):
 SOURCES = f"SELECT {CHANNEL} AS channel, 'u' || cast(user_id AS string) AS handle, event_id AS priority, CASE WHEN value < 20 THEN 'blocked' WHEN value < 30 THEN 'partial' ELSE 'ok' END AS fetch_status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE {CENTS} END AS followers FROM {{events}}"
 
 
-@query("n10_source_fallback", f"WITH s AS ({SOURCES}), g AS (SELECT *, (fetch_status IN ('ok', 'partial') AND followers IS NOT NULL) AS good FROM s) SELECT channel, handle, priority, fetch_status, followers FROM (SELECT *, row_number() OVER (PARTITION BY channel, handle ORDER BY good DESC, CASE WHEN good THEN priority ELSE -priority END) AS rn FROM g) WHERE rn = 1")
+@query("n10_source_fallback", f"WITH s AS ({SOURCES}), g AS (SELECT *, followers IS NOT NULL AND CASE WHEN channel <> 'twitter' THEN fetch_status IN ('ok', 'partial') WHEN priority = min(priority) OVER (PARTITION BY channel, handle) THEN fetch_status = 'ok' ELSE true END AS good FROM s) SELECT channel, handle, priority, fetch_status, followers FROM (SELECT *, row_number() OVER (PARTITION BY channel, handle ORDER BY good DESC, CASE WHEN good OR channel = 'twitter' THEN priority ELSE -priority END) AS rn FROM g) WHERE rn = 1")
 def n10(t):
     return eng.first_usable(t.sql(SOURCES), ["channel", "handle"])
 

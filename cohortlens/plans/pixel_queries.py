@@ -12,7 +12,7 @@ from .registry import query
 from .score_queries import scored
 from .vector_queries import items, long_vector
 
-RESAMPLES = 40
+RESAMPLES = 200
 
 
 def _hash(*parts):

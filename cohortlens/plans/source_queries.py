@@ -145,21 +145,20 @@ def b13(t):
 
 
 _INFO = "'{\"user\": {\"nickname\": \"n' || cast(user_id AS string) || '\", \"signature\": \"\"}, \"stats\": {\"followerCount\": ' || cast(event_id % 700 AS string) || ', \"videoCount\": ' || cast(user_id AS string) || ', \"heartCount\": ' || cast(event_id % 5 AS string) || ', \"diggCount\": 77}}'"
-STATE_HTML = f"SELECT event_id, '<html><script id=\"SIGI_STATE\" type=\"application/json\">' || CASE event_id % 4 WHEN 0 THEN '{{\"UserPage\": {{\"userInfo\": ' || {_INFO} || '}}}}' WHEN 1 THEN '{{\"userPage\": {{\"userInfo\": ' || {_INFO} || '}}}}' WHEN 2 THEN '{{\"x\": [{{\"y\": {{\"userInfo\": ' || {_INFO} || '}}}}]}}' ELSE '{{\"z\": 1}}' END || '</script></html>' AS html FROM EVENTS_TABLE"
+STATE_HTML = f"""SELECT event_id, '<html>' || CASE event_id % 8 WHEN 4 THEN '<script>window.__UNIVERSAL_DATA_FOR_REHYDRATION__ = {{"a": {{"userInfo": ' || {_INFO} || '}}}};</script>'
+  WHEN 5 THEN '<meta property="og:title" content="t' || cast(user_id AS string) || '"><meta property="og:description" content="2.5K Followers, fun">'
+  ELSE '<script id="SIGI_STATE" type="application/json">' || CASE event_id % 8 WHEN 0 THEN '{{"UserPage": {{"userInfo": ' || {_INFO} || '}}}}' WHEN 1 THEN '{{"userPage": {{"userInfo": ' || {_INFO} || '}}}}'
+    WHEN 2 THEN '{{"x": [{{"y": {{"userInfo": ' || {_INFO} || '}}}}]}}' WHEN 6 THEN '{{"z": ' ELSE '{{"z": 1}}' END || '</script>' END || '</html>' AS html FROM EVENTS_TABLE"""
 
 
-@query("b14_page_state_stats", "SELECT event_id, event_id % 700 AS followers, user_id AS posts, CASE WHEN event_id % 5 = 0 THEN 77 ELSE event_id % 5 END AS total_engagement, 'n' || user_id AS display_name, NULL AS bio, CASE WHEN event_id % 700 > 0 THEN 'ok' ELSE 'partial' END AS fetch_status FROM events WHERE event_id % 4 <> 3")
+@query("b14_page_state_stats", """SELECT event_id, followers, NULL AS following, posts, total_engagement, CASE WHEN k < 3 AND posts > 0 THEN round(total_engagement / posts / nullif(followers, 0), 6) WHEN k < 5 THEN round(total_engagement / nullif(followers, 0), 6) END AS engagement_rate,
+  CASE WHEN k IN (0, 1, 2, 4) THEN 'n' || user_id WHEN k = 5 THEN 't' || user_id END AS display_name, NULL AS bio, CASE WHEN k IN (0, 1, 2, 4) THEN CASE WHEN followers > 0 THEN 'ok' ELSE 'partial' END WHEN k = 5 THEN 'partial' WHEN k = 6 THEN 'error' ELSE 'blocked' END AS fetch_status
+FROM (SELECT event_id, user_id, event_id % 8 AS k, CASE WHEN event_id % 8 IN (0, 1, 2, 4) THEN event_id % 700 WHEN event_id % 8 = 5 THEN 2500 END AS followers, CASE WHEN event_id % 8 IN (0, 1, 2, 4) THEN user_id END AS posts,
+  CASE WHEN event_id % 8 IN (0, 1, 2, 4) THEN CASE WHEN event_id % 5 = 0 THEN 77 ELSE event_id % 5 END END AS total_engagement FROM events)""")
 def b14(t):
     text = STATE_HTML.replace("{", "{{").replace("}", "}}").replace("EVENTS_TABLE", "{events}")
     rows = t.spark.sql(text, events=t.events)
-    return pages.page_state_stats(rows, ["event_id"]).drop("following")
-
-
-@query("a1_item_files")
-def a1(t):
-    """The table files themselves, found by suffix."""
-    found = files.item_files(t.spark, t.folder, [".parquet"])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes")
+    return pages.page_state_stats(rows, ["event_id"])
 
 
 PATHS = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '/data/in/u' || cast(user_id AS string) || '/deep/img.png' WHEN 1 THEN '/data/in/u' || cast(user_id AS string) || '/pic.JPG' ELSE '/data/in/solo.v' || cast(user_id AS string) || '.webp' END AS path FROM {events}"

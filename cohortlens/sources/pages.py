@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import scale
 from ..functions.numeric import pick
+from ..operators.engagement import engagement_rate
 
 # Fixed values.
 MEDIA_PATTERN = r"(?i)\.(?:jpg|jpeg|png|webp|bmp)(?:\?|$)"
@@ -24,6 +25,7 @@ MEDIA_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".bmp"]
 MEDIA_FOLDER = "/wp-content/uploads/"
 MEDIA_DENIED = ["favicon", "logo", "cropped-"]
 DATE_PATTERN = r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日"
+WIDE_DIGITS = "０１２３４５６７８９"
 SOURCE_POLICY = "manifest_only_review_before_download"
 HANDLE_PATTERNS = {
     "instagram": r"(?:www\.)?instagram\.com/([A-Za-z0-9_.](?:[A-Za-z0-9_.]{0,29}))/?(?:\?|$|#)",
@@ -39,6 +41,9 @@ FOLLOWER_PATTERN = r"([0-9,]+(?:\.[0-9]+)?[KMBkmb]?)\s*(?:フォロワー|follow
 
 _ATTRS = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)"  # the inside of a tag; a quoted '>' does not end it
 
+# Name and value of an attribute; read from the left, so that nothing inside a quoted value is taken for a name.
+_PAIR = r"(?s)[^\s=/>\"']+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+
 
 @F.arrow_udf(T.StringType())
 def unescape(values: pa.Array) -> pa.Array:
@@ -51,6 +56,16 @@ def markup(page: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(page, r"(?s)<!--.*?-->", ""), r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
 
 
+def shown(page: Column) -> Column:
+    """The page without comments; scripts and styles stay."""
+    return F.regexp_replace(page, r"(?s)<!--.*?-->", "")
+
+
+def plain_digits(text: Column) -> Column:
+    """Full-width digits as ASCII ones."""
+    return F.translate(text, WIDE_DIGITS, "0123456789")
+
+
 def tag_attributes(clean: Column, tag: str) -> Column:
     """Attribute text of every such tag of ``markup``, in page order."""
     return F.regexp_extract_all(clean, F.lit(rf"(?is)<{tag}(?=[\s/>]){_ATTRS}>"), F.lit(1))
@@ -63,8 +78,9 @@ def with_markup(pages: DataFrame) -> DataFrame:
 
 def attribute(attributes: Column, name: str) -> Column:
     """Value of one attribute (quoted or bare), null if it is missing or empty."""
-    pattern = rf"(?is)(?:^|[\s/\"']){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-    return F.nullif(F.regexp_replace(F.regexp_extract(attributes, pattern, 1), "^[\"']|[\"']$", ""), F.lit(""))
+    named = F.filter(F.regexp_extract_all(attributes, F.lit(_PAIR), F.lit(0)), lambda p: F.lower(F.regexp_extract(p, r"^[^\s=]+", 0)) == name)
+    value = F.regexp_extract(F.try_element_at(named, F.lit(1)), r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+    return F.nullif(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit(""))
 
 
 _URL = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -141,7 +157,7 @@ def clean_name(title: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """First year-month-day date of a text as an ISO date."""
-    parts = [F.regexp_extract(text, DATE_PATTERN, i).try_cast("int") for i in (1, 2, 3)]
+    parts = [F.regexp_extract(plain_digits(text), DATE_PATTERN, i).try_cast("int") for i in (1, 2, 3)]
     return F.try_to_date(F.format_string("%04d-%02d-%02d", *parts), "yyyy-MM-dd")
 
 
@@ -152,9 +168,9 @@ def body_text(page: Column) -> Column:
 def profiles(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Name (social title, else page title), and the first date in description, social description, body, in that order."""
     parsed = with_markup(pages).withColumn("__m", metas(F.col("__clean"))).withColumn(
-        "__title", F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit(""))
+        "__title", F.nullif(F.regexp_extract(shown(F.col("html")), r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit(""))
     )
-    dates = [iso_date(last_meta(F.col("__m"), "description")), iso_date(last_meta(F.col("__m"), "og:description")), iso_date(body_text(F.col("html")))]
+    dates = [iso_date(last_meta(F.col("__m"), "description")), iso_date(last_meta(F.col("__m"), "og:description")), iso_date(body_text(shown(F.col("html"))))]
     return parsed.select(
         *keys,
         clean_name(unescape(F.coalesce(last_meta(F.col("__m"), "og:title"), F.trim("__title")))).alias("name"),
@@ -212,14 +228,18 @@ def slug_of(url: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(url_part(url, 3), "/+$", ""), "/"), -1)
 
 
-def candidate_manifest(pages: DataFrame, as_of: Column, min_age: int, key: str = "page_id", include_all: bool = False) -> DataFrame:
-    """One row per (page, media) with the page's name, date, age and eligibility."""
+def candidate_manifest(
+    pages: DataFrame, as_of: Column, min_age: int, key: str = "page_id", include_all: bool = False,
+    retrieved_at: Column | None = None,
+) -> DataFrame:
+    """One row per (page, media) with the page's name, date, age and eligibility; ``retrieved_at`` is the time of the job unless given."""
     rows = media_candidates(pages, [key]).join(profiles(pages, [key, "url"]), key)
     aged = rows.withColumn("age_as_of", age_on(F.col("birthdate"), as_of))
     eligible, reason = eligibility(F.col("age_as_of"), min_age, include_all)
     return aged.select(
         key, F.col("url").alias("profile_url"), slug_of(F.col("url")).alias("slug"), "name", F.col("birthdate").cast("string").alias("birthdate"),
         "age_as_of", "media_url", "kind", "alt", eligible.alias("eligible"), reason.alias("exclusion_reason"),
+        (F.current_timestamp() if retrieved_at is None else retrieved_at).cast("string").alias("retrieved_at"),
         F.lit(SOURCE_POLICY).alias("source_policy"),
     )
 
@@ -254,10 +274,14 @@ def fetch_plan(candidates: DataFrame, order: list[str], include_ineligible: bool
 
 
 def mark_existing(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """Planned rows whose address digest and extension already exist (whatever the slug) become ``skipped``."""
+    """Planned rows whose file exists become ``skipped``: under the target's own name, else, whatever the slug, under the
+    smallest name with the same address digest and extension."""
     tail = lambda c: F.regexp_extract(c, r"_([0-9a-f]{10}\.[a-z]+)$", 1)
-    have = existing.select(tail(F.col("file_name")).alias("__tail"), "file_name").groupBy("__tail").agg(F.min("file_name").alias("__file"))
-    joined = plan.withColumn("__tail", tail(F.col("target"))).join(have, "__tail", "left")
+    names = existing.select("file_name").distinct()
+    same = names.select(F.col("file_name").alias("target"), F.col("file_name").alias("__same"))
+    have = names.groupBy(tail(F.col("file_name")).alias("__tail")).agg(F.min("file_name").alias("__older"))
+    joined = plan.withColumn("__tail", tail(F.col("target"))).join(same, "target", "left").join(have, "__tail", "left")
+    joined = joined.withColumn("__file", F.coalesce("__same", "__older")).drop("__same", "__older")
     exists = F.col("__file").isNotNull()
     return joined.withColumns(
         {
@@ -288,10 +312,10 @@ def channel_handles(links: DataFrame, keys: list[str]) -> DataFrame:
 
 def follower_count(text: Column) -> Column:
     """``1,234 followers``, ``1.2K followers``, ``3M`` or ``1B`` forms to a whole number, truncated."""
-    raw = F.replace(F.regexp_extract(text, FOLLOWER_PATTERN, 1), F.lit(","), F.lit(""))
+    raw = F.replace(F.regexp_extract(plain_digits(text), FOLLOWER_PATTERN, 1), F.lit(","), F.lit(""))
     suffix = F.lower(F.regexp_extract(raw, r"([KMBkmb])$", 1))
     factor = pick((suffix == "k", 1e3), (suffix == "m", 1e6), (suffix == "b", 1e9), otherwise=1.0)
-    return (F.regexp_replace(raw, "[KMBkmb]$", "").try_cast("double") * factor).cast("bigint")
+    return (F.regexp_replace(raw, "[KMBkmb]$", "").try_cast("double") * factor).try_cast("bigint")
 
 
 def _stat(page: Column, pattern: str) -> Column:
@@ -309,50 +333,87 @@ def class_stats(page: Column) -> dict[str, Column]:
     }
 
 
-@F.arrow_udf(T.StringType())
-def user_info(documents: pa.Array) -> pa.Array:
-    """``userInfo`` of an embedded page state as JSON: under the known parents, else wherever it occurs (a level before its children)."""
-
-    def search(node):
-        children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
-        if isinstance(node, dict) and "userInfo" in node:
-            return node["userInfo"]
-        return next((hit for hit in map(search, children) if hit is not None), None)
-
-    def read(text):
-        try:
-            state = json.loads(text) if text else {}
-        except ValueError:
-            return None
-        known = [state.get(parent) for parent in ("UserPage", "userPage")] if isinstance(state, dict) else []
-        found = next((k["userInfo"] for k in known if isinstance(k, dict) and k.get("userInfo")), None) or search(state)
-        return json.dumps(found, ensure_ascii=False) if found else None
-
-    return pa.array(map(read, documents.to_pylist()), pa.string())
-
-
+# The scripts a page keeps its state in.
 STATE_PATTERN = r'(?s)<script[^>]+id="SIGI_STATE"[^>]*>(.*?)</script>'
+REHYDRATION_PATTERN = r"(?s)<script[^>]*>\s*window\.__UNIVERSAL_DATA_FOR_REHYDRATION__\s*=\s*(\{.*?\})\s*;?\s*</script>"
+_BROKEN = "!"  # stands for a state that is no JSON
+
+
+def _user_info(parents: tuple[str, ...]):
+    """Kernel: ``userInfo`` of a page state as JSON, under the first of ``parents`` that has it, else wherever it occurs."""
+
+    @F.arrow_udf(T.StringType())
+    def user_info(documents: pa.Array) -> pa.Array:
+        def search(node):
+            children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+            if isinstance(node, dict) and "userInfo" in node:
+                return node["userInfo"]
+            return next((hit for hit in map(search, children) if hit is not None), None)
+
+        def read(text):
+            if not text:
+                return None
+            try:
+                state = json.loads(text)
+            except ValueError:
+                return _BROKEN
+            known = [state.get(parent) for parent in parents] if isinstance(state, dict) else []
+            found = next((k["userInfo"] for k in known if isinstance(k, dict) and k.get("userInfo")), None) or search(state)
+            return json.dumps(found, ensure_ascii=False) if found else None
+
+        return pa.array(map(read, documents.to_pylist()), pa.string())
+
+    return user_info
+
+
+def _stats(info: str) -> Column:
+    """The numbers and names of a ``userInfo``; null where it has no numbers."""
+    stats = F.get_json_object(info, "$.stats")
+    number = lambda name: F.get_json_object(stats, f"$.{name}").try_cast("bigint")
+    text = lambda name: F.nullif(F.get_json_object(info, f"$.user.{name}"), F.lit(""))
+    fields = F.struct(
+        number("followerCount").alias("followers"), number("followingCount").alias("following"), number("videoCount").alias("posts"),
+        F.coalesce(F.nullif(number("heartCount"), F.lit(0).cast("bigint")), number("diggCount")).alias("total_engagement"),
+        text("nickname").alias("display_name"), text("signature").alias("bio"),
+    )
+    return F.when(stats.isNotNull() & ~stats.isin("{}", "[]", "null", '""', "0", "false"), fields)
 
 
 def page_state_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Profile numbers from the JSON state embedded in a page."""
-    found = user_info(F.regexp_extract("html", STATE_PATTERN, 1))
-    info = scale.spread(pages).select(*keys, found.alias("__info")).where(F.col("__info").isNotNull())
-    numbers = ["followerCount", "followingCount", "videoCount", "heartCount", "diggCount"]
-    parts = info.select(*keys, F.get_json_object("__info", "$.stats").alias("__stats"), F.get_json_object("__info", "$.user").alias("__user"))
-    counted = parts.where(F.col("__stats").isNotNull()).select(*keys, "__user", F.json_tuple("__stats", *numbers).alias(*numbers))
-    named = counted.select(*keys, *numbers, F.json_tuple("__user", "nickname", "signature").alias("nickname", "signature"))
-    number = lambda c: F.col(c).try_cast("bigint")
-    rows = named.select(
+    """Profile numbers of every page: from its embedded state, else from its second form of state, else from the social description.
+
+    A state that is no JSON makes the row an ``error``.  The second form gives no ``following`` and its rate is per account.
+    Without any number the row is ``blocked``.
+    """
+    first, second = _user_info(("UserPage", "userPage")), _user_info(())
+    rows = with_markup(pages).withColumn("__m", metas(F.col("__clean"))).select(
         *keys,
-        number("followerCount").alias("followers"),
-        number("followingCount").alias("following"),
-        number("videoCount").alias("posts"),
-        F.coalesce(F.nullif(number("heartCount"), F.lit(0).cast("bigint")), number("diggCount")).alias("total_engagement"),
-        F.nullif("nickname", F.lit("")).alias("display_name"),
-        F.nullif("signature", F.lit("")).alias("bio"),
+        first(F.regexp_extract("html", STATE_PATTERN, 1)).alias("__a"),
+        second(F.regexp_extract("html", REHYDRATION_PATTERN, 1)).alias("__b"),
+        follower_count(unescape(last_meta(F.col("__m"), "og:description"))).alias("__followers"),
+        unescape(last_meta(F.col("__m"), "og:title")).alias("__title"),
+    )
+    rows = rows.withColumns({"__sa": _stats("__a"), "__sb": _stats("__b")})
+    broken = F.coalesce(F.col("__a") == _BROKEN, F.lit(False)) | (F.col("__sa").isNull() & F.coalesce(F.col("__b") == _BROKEN, F.lit(False)))
+    later = F.col("__sb.followers").isNotNull()
+    named = F.col("__sb").withField("following", F.lit(None).cast("bigint"))
+    described = F.struct(
+        F.col("__followers").alias("followers"), *[F.lit(None).cast("bigint").alias(c) for c in ("following", "posts", "total_engagement")],
+        F.col("__title").alias("display_name"), F.lit(None).cast("string").alias("bio"),
+    )
+    chosen = F.when(broken, None).when(F.col("__sa").isNotNull(), F.col("__sa")).when(later, named).otherwise(described)
+    told = rows.select(*keys, broken.alias("__broken"), "__sa", later.alias("__later"), chosen.alias("s")).select(*keys, "__broken", "__sa", "__later", "s.*")
+    counted = F.col("followers") > 0
+    rate_posts = F.when(F.col("__sa").isNotNull(), F.col("posts"))
+    status = (
+        F.when(F.col("__broken"), "error")
+        .when(F.col("__sa").isNotNull() | F.col("__later"), F.when(counted, "ok").otherwise("partial"))
+        .otherwise(F.when(counted, "partial").otherwise("blocked"))
+    )
+    return told.select(
+        *keys, "followers", "following", "posts", "total_engagement", engagement_rate(F.col("total_engagement"), F.col("followers"), rate_posts).alias("engagement_rate"),
+        "display_name", "bio", status.alias("fetch_status"),
     )
-    return rows.withColumn("fetch_status", F.when(F.col("followers") > 0, "ok").otherwise("partial"))
 
 
 def ordered_manifest(candidates: DataFrame) -> DataFrame:

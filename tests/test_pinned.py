@@ -258,3 +258,12 @@ def test_vector_kernels_with_gaps(spark):
     df = spark.createDataFrame([([3.0, 4.0],), (None,), ([],), ([1e-13, 0.0],)], "v array<double>").coalesce(1)
     got = [r[0] for r in df.select(vec.l2_normalise("v")).collect()]
     assert got == [[0.6, 0.8], None, [], [1e-13, 0.0]]
+
+
+def test_candidates_with_several_keys_are_counted_once(spark):
+    bases = F.array(*[F.lit(b) for b in ("/work", "/runs/r/evaluation", "/runs/r")])
+    scores = spark.createDataFrame([("r", "1", "out/a.png", 0.4)], "run string, item_id string, path string, centroid_score double")
+    styles = spark.createDataFrame([("r", "x", "/runs/r/out/a.png", 0.6), ("r", "y", "out/b.png", 0.1)], "run string, item_id string, path string, style_score double")
+    gate = spark.createDataFrame([("r", "g", "/work/out/a.png", True, "fine")], "run string, item_id string, path string, qa_pass boolean, reason string")
+    got = runs.candidate_table(*(runs.with_keys(f, bases) for f in (scores, styles, gate)), ["run"]).orderBy("path").collect()
+    assert [(r["path"], r["centroid_score"], r["style_score"], r["qa_pass"]) for r in got] == [("out/a.png", 0.4, 0.6, True), ("out/b.png", None, 0.1, None)]

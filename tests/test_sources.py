@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import pixels
+from cohortlens.operators.engagement import clean_count, first_usable
 from cohortlens.sources import files, pages
 
 
@@ -138,3 +139,38 @@ def test_resolve_url_forms(spark):
              ("//o.example/z", "https://o.example/z"), ("javascript:void(0)", "javascript:void(0)"), ("http://[bad", None)]
     df = spark.createDataFrame([("https://h.example/a/b", link) for link, _ in cases], "base string, link string")
     assert [r[0] for r in df.select(pages.resolve_url("base", "link")).collect()] == [w for _, w in cases]
+
+
+def test_markup_that_does_not_count(spark):
+    html = (
+        "<!-- <title>Old</title> 1990年1月1日 --><title>New</title><a title=\"use href=/wrong here\" href='/right/'>x</a>"
+        "<p>１９９９年１２月０３日</p>"
+    )
+    df = spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")
+    row = pages.profiles(df, ["page_id"]).first()
+    assert row["name"] == "New" and str(row["birthdate"]) == "1999-12-03"
+    assert [r["link"] for r in pages.site_links(df, ["page_id"], "/").collect()] == ["https://h.example/right/"]
+
+
+def test_numbers_beyond_the_range_are_null(spark):
+    texts = ["99999999999999B followers", "１,２３４フォロワー", "12 followers"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(pages.follower_count(F.col("t"))).collect()] == [None, 1234, 12]
+    assert [r[0] for r in spark.createDataFrame([("1e30",), ("1.2K",)], "t string").select(clean_count(F.col("t"))).collect()] == [None, 1200]
+
+
+def test_existing_file_of_the_same_name_comes_first(spark):
+    plan = spark.createDataFrame([("zed_0123456789.png", "planned"), ("new_aaaaaaaaaa.png", "planned")], "target string, status string")
+    old = spark.createDataFrame([("aaa_0123456789.png",), ("zed_0123456789.png",), ("zed_0123456789.png",), ("b_aaaaaaaaaa.png",)], "file_name string")
+    got = {r["target"]: r["status"] for r in pages.mark_existing(plan, old).collect()}
+    assert got == {"zed_0123456789.png": "skipped", "b_aaaaaaaaaa.png": "skipped"}
+
+
+def test_strict_channels_take_the_first_source_only_if_ok(spark):
+    rows = [
+        ("twitter", "a", 1, "partial", 5), ("twitter", "a", 2, "blocked", 7), ("twitter", "b", 1, "ok", 3), ("twitter", "b", 2, "ok", 4),
+        ("twitter", "c", 1, "blocked", None), ("twitter", "c", 2, "blocked", None), ("tiktok", "a", 1, "partial", 5), ("tiktok", "a", 2, "ok", 6),
+    ]
+    df = spark.createDataFrame(rows, "channel string, handle string, priority int, fetch_status string, followers long")
+    got = {(r["channel"], r["handle"]): r["priority"] for r in first_usable(df, ["channel", "handle"]).collect()}
+    assert got == {("twitter", "a"): 2, ("twitter", "b"): 1, ("twitter", "c"): 1, ("tiktok", "a"): 1}
