@@ -204,10 +204,15 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], amount: st
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Rank of ``value`` in its group, ties sharing their average rank (first and last position of the tie, halved)."""
-    numbered = row_numbers(df, by, [F.col(value)], "__rn")
-    ties = numbered.groupBy(*by, value).agg(((F.min("__rn") + F.max("__rn")) / 2).alias(name))
-    return null_safe_keys(numbered.drop("__rn"), ties, [*by, value])
+    """Rank of ``value`` in its group, ties sharing their average rank (first and last position of the tie, halved).
+
+    Ties are counted before anything moves, so a value that most rows share is one row; ranks follow from running totals
+    over the distinct values.  ``df`` is read twice: ``settle`` it first if computing it is costly.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_totals(counts, by, [F.col(value)], "__c", "__cum")
+    ranks = placed.select(*by, value, (F.col("__cum") - (F.col("__c") - 1) / 2.0).alias(name))
+    return null_safe_keys(df, small_side(ranks, store=False), [*by, value])
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], limit: int = 1, rank: str | None = None) -> DataFrame:

@@ -68,6 +68,7 @@ def correlations(dataset: DataFrame, score_columns: list[str], metric_columns: l
     rows = pair_rows(scale.settle(dataset, [key, *score_columns, *metric_columns]), score_columns, metric_columns, key)
     measures = [F.count(F.lit(1)).alias("n"), moment_correlation("a", "b").alias("pearson_r")]
     if spearman:
+        rows = scale.settle(rows)
         rows = scale.average_ranks(scale.average_ranks(rows, PAIR, "a", "rank_a"), PAIR, "b", "rank_b")
         measures.append(moment_correlation("rank_a", "rank_b").alias("spearman_r"))
     measured = rows.groupBy(*PAIR).agg(*measures)

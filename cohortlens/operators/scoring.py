@@ -183,17 +183,21 @@ def attach(left: DataFrame, right: DataFrame, by: list[str], rows: bool = False)
     return scale.beside(left, right)
 
 
-def chunk_assignment(items: DataFrame, chunks: int, by: list[str] | None = None, order: str = "path") -> DataFrame:
-    """Contiguous chunks of ceil(n / chunks) items in path order (chunk ids from 0)."""
+def chunk_assignment(items: DataFrame, chunks: int, by: list[str] | None = None, order: str = "path", key: str = "item_id") -> DataFrame:
+    """Contiguous chunks of ceil(n / chunks) items in path order (chunk ids from 0).
+
+    Only ``key`` (one value per item of a group), order and group are stored and ranked; vectors stay where they are.
+    """
     if chunks < 1:
         raise ValueError("chunks must be positive")
     by = list(by or [])
-    placed = scale.row_numbers(scale.settle(items), by, [F.col(order)], "__rn")
+    placed = scale.row_numbers(scale.settle(items, [*by, order, key]), by, [F.col(order), F.col(key)], "__rn")
     sizes = placed.groupBy(*by).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(chunks))).cast("bigint").alias("__size")
     )
     chunk = F.floor((F.col("__rn") - 1) / F.col("__size")).cast("bigint")
-    return attach(placed, sizes, by, rows=True).withColumn("chunk", chunk).drop("__rn", "__size")
+    numbered = attach(placed, sizes, by, rows=True).select(*by, key, chunk.alias("chunk"))
+    return scale.null_safe_keys(items, scale.small_side(numbered), [*by, key])
 
 
 def chunk_summaries(scored: DataFrame, by: list[str] | None = None) -> DataFrame:

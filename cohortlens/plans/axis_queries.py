@@ -196,15 +196,14 @@ def g3_labels(t):
 
 
 # Documents as items: source is the subject; the roster also lists a source per nation, which may have no documents.
-DOC_ROSTER = "SELECT DISTINCT l.lang, s.subject FROM (SELECT DISTINCT lang FROM {documents}) l, (SELECT source AS subject FROM {documents} UNION SELECT 'src' || cast(n_nationkey AS string) FROM {nation}) s"
+DOC_ROSTER = """SELECT DISTINCT lang, source AS subject FROM {documents} UNION SELECT CASE n_regionkey WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS lang,
+  'src' || cast(n_nationkey AS string) AS subject FROM {nation}"""
 ROSTER_SQL = f"roster AS ({DOC_ROSTER}), n AS (SELECT lang, source AS subject, count(*) AS n FROM documents GROUP BY ALL), per AS (SELECT lang, subject, coalesce(n, 0) AS n FROM roster LEFT JOIN n USING (lang, subject))"
 
 
 def doc_roster(t):
-    """Every (language, source) pair that may occur: the sources, repeated for the languages seen."""
-    sources = t.documents.select(F.col("source").alias("subject")).union(t.sql("SELECT 'src' || cast(n_nationkey AS string) AS subject FROM {nation}")).distinct()
-    languages = t.documents.agg(F.array_sort(F.collect_set("lang")).alias("langs"))
-    return sources.select("subject", F.explode(languages.scalar()).alias("lang"))
+    """The pairs of language and source seen, and the given ones."""
+    return t.sql(DOC_ROSTER)
 
 
 def docs(t):

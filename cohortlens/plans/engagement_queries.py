@@ -151,9 +151,9 @@ def cache(t):
     return t.sql(ENGAGEMENT).withColumn("fetch_status", status).select("channel", "handle", "followers", "fetched_at", "fetch_status")
 
 
-@query("n7_cache_lookup", f"WITH {FRESH} SELECT channel, handle, followers, fetch_status FROM fresh WHERE (channel, lower(handle)) IN (SELECT (channel, handle) FROM ({REQUESTS}))")
+@query("n7_cache_lookup", f"WITH {FRESH} SELECT channel, handle, followers, fetch_status, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM fresh WHERE (channel, lower(handle)) IN (SELECT (channel, handle) FROM ({REQUESTS}))")
 def n7(t):
-    return eng.cache_lookup(t.sql(REQUESTS), cache(t), as_of(), _HOURS).drop("fetched_at")
+    return eng.cache_lookup(t.sql(REQUESTS), cache(t), as_of(), _HOURS).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 FETCHED = f"SELECT {CHANNEL} AS channel, 'h' || cast(user_id AS string) || '_' || event_type AS handle, event_id % 900 AS followers, ts + INTERVAL 1 DAY AS fetched_at, 'ok' AS fetch_status FROM {{events}} WHERE value > 100"
@@ -165,9 +165,9 @@ def n8(t):
     return rows.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("n8_cache_invalidate", f"WITH {CACHE} SELECT channel, lower(handle) AS handle, followers, fetch_status FROM cache WHERE (channel, lower(handle)) NOT IN (SELECT (channel, handle) FROM ({FETCHED}))")
+@query("n8_cache_invalidate", f"WITH {CACHE} SELECT channel, lower(handle) AS handle, followers, fetch_status, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache WHERE (channel, lower(handle)) NOT IN (SELECT (channel, handle) FROM ({FETCHED}))")
 def n8_invalidate(t):
-    return eng.cache_invalidate(cache(t), t.sql(FETCHED)).drop("fetched_at")
+    return eng.cache_invalidate(cache(t), t.sql(FETCHED)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("n9_request_split", f"WITH {FRESH}, hit AS (SELECT channel, lower(handle) AS handle FROM fresh WHERE fetch_status IN ('ok', 'partial') AND followers IS NOT NULL) SELECT channel, handle, CASE WHEN (channel, handle) IN (SELECT (channel, handle) FROM hit) THEN 'cached' ELSE 'fetch' END AS plan FROM ({REQUESTS})")

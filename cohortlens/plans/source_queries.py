@@ -208,16 +208,16 @@ def a5(t):
 REPORT = f"SELECT user_id, {CENTS} AS cents, event_id, CASE event_id % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'plain' ELSE 'object' END AS form FROM {{events}}"
 
 
-@query("a6_score_reports", f"SELECT event_id, 'u' || user_id AS subject, cents / 100 AS mean_centroid_score, CASE WHEN form <> 'plain' THEN cents / 50 END AS best_centroid_score FROM ({REPORT})")
+@query("a6_score_reports", f"SELECT event_id, 'u' || user_id AS subject, cents / 100 AS mean_centroid_score, CASE WHEN form <> 'plain' THEN cents / 50 END AS best_centroid_score, CASE WHEN form <> 'plain' THEN event_id END AS item_count FROM ({REPORT})")
 def a6(t):
     """Three report forms, one report per event."""
     score, best = (F.col("cents") / 100).alias("mean_centroid_score"), (F.col("cents") / 50).alias("best_centroid_score")
     subject = F.concat(F.lit("u"), "user_id")
-    listed = F.to_json(F.struct(F.array(F.struct(subject.alias("subject"), score, best)).alias("subjects")))
-    plain, objects = F.to_json(F.create_map(subject, F.col("cents") / 100)), F.to_json(F.create_map(subject, F.struct(score, best)))
+    count = F.col("event_id").alias("item_count")
+    listed = F.to_json(F.struct(F.array(F.struct(subject.alias("subject"), score, best, count)).alias("subjects")))
+    plain, objects = F.to_json(F.create_map(subject, F.col("cents") / 100)), F.to_json(F.create_map(subject, F.struct(score, best, count)))
     text = F.when(F.col("form") == "list", listed).when(F.col("form") == "plain", plain).otherwise(objects)
-    rows = files.score_report_rows(t.sql(REPORT).select("event_id", text.alias("value")), "value")
-    return rows.drop("item_count")
+    return files.score_report_rows(t.sql(REPORT).select("event_id", text.alias("value")), "value")
 
 
 @query("a7_score_sheet_round_trip", f"WITH {SCORED} SELECT cast(item_id AS string) AS item_id, path, round(centroid_score, 6) AS centroid_score, round(euclidean_to_mean, 6) AS euclidean_to_mean FROM scored")
