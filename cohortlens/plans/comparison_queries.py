@@ -130,12 +130,21 @@ def m5(t):
     return cor.correlations(dataset(t), SCORE_COLUMNS, METRIC_COLUMNS).select("variable_a", "variable_b", "n", F.round("spearman_r", 4).alias("spearman_r"))
 
 
-@query("m6_correlation_report")
-def m6(t):
-    return cor.correlation_report(cor.correlations(dataset(t), SCORE_COLUMNS, METRIC_COLUMNS))
+LABEL = "CASE WHEN abs({r}) >= 0.7 THEN 'strong' WHEN abs({r}) >= 0.4 THEN 'moderate' WHEN abs({r}) >= 0.2 THEN 'weak' ELSE 'negligible' END || CASE WHEN {r} >= 0 THEN '_positive' ELSE '_negative' END"
 
 
-LABEL = "CASE WHEN abs({r}) >= 0.7 THEN 'strong' WHEN abs({r}) >= 0.4 THEN 'moderate' WHEN abs({r}) >= 0.2 THEN 'weak' ELSE 'negligible' END || CASE WHEN {r} >= 0 THEN '_positive' ELSE '_negative' END"
+# Two-sided p of a correlation r over n rows: the share of cos^(n-3) beyond the angle asin|r|, by the midpoint rule.
+_AT = "asin(least(1, abs({r})))"
+_P = f"""CASE WHEN n >= 3 THEN list_sum(list_transform(range(4000), lambda i: cos({_AT} + (i + 0.5) * (pi() / 2 - {_AT}) / 4000) ** (n - 3))) * (pi() / 2 - {_AT}) / 4000
+  / (sqrt(pi()) / 2 * exp(lgamma((n - 2) / 2) - lgamma((n - 1) / 2))) END"""
+
+
+@query("m6_correlation_report", f"""WITH {RHO}, big AS (SELECT variable_a, variable_b, n, CASE WHEN n >= 3 THEN pearson_r END AS pearson_r, CASE WHEN n >= 3 THEN spearman_r END AS spearman_r FROM cr),
+  t AS (SELECT *, {_P.format(r='pearson_r')} AS pearson_p, {_P.format(r='spearman_r')} AS spearman_p FROM big)
+  SELECT variable_a, variable_b, n, round(pearson_r, 4) AS pearson_r, round(spearman_r, 4) AS spearman_r, round(pearson_p, 4) AS pearson_p, round(spearman_p, 4) AS spearman_p,
+    CASE WHEN n < 3 THEN 'insufficient_data' WHEN spearman_r IS NULL THEN 'no_data' ELSE {LABEL.format(r='spearman_r')} || CASE WHEN spearman_p < 0.05 THEN '*' WHEN spearman_p < 0.1 THEN '+' ELSE '' END END AS interpretation FROM t""")
+def m6(t):
+    return cor.correlation_report(cor.correlations(dataset(t), SCORE_COLUMNS, METRIC_COLUMNS))
 
 
 @query("m7_interpretation", f"WITH {ITEM_ROWS} SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 'no_data' WHEN item_id % 7 < 3 THEN 'insufficient_data' ELSE {LABEL.format(r='(v[1] * 4)')} || CASE WHEN abs(v[2]) < 0.05 THEN '*' WHEN abs(v[2]) < 0.1 THEN '+' ELSE '' END END AS interpretation FROM items WHERE NOT (item_id % 10 = 0 AND item_id % 7 < 3) UNION ALL SELECT item_id, 'insufficient_data' FROM items WHERE item_id % 10 = 0 AND item_id % 7 < 3")
