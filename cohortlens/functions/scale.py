@@ -68,8 +68,12 @@ def small_side(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, store: b
     ``store=False`` skips the storing where computing ``df`` again is cheap and exact (integer sums over stored rows).
     """
     stored = cut_lineage(df) if store else df
-    measured = stored.agg(_json_bytes(stored).alias("bytes")).first()["bytes"]
-    return F.broadcast(stored) if measured <= limit_bytes else stored
+    return F.broadcast(stored) if size_bytes(stored) <= limit_bytes else stored
+
+
+def size_bytes(df: DataFrame) -> int:
+    """Size of all rows as JSON text."""
+    return df.agg(_json_bytes(df).alias("bytes")).first()["bytes"]
 
 
 def _json_bytes(df: DataFrame) -> Column:

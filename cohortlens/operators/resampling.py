@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,7 @@ from ..functions import scale
 from ..functions import vectors as vec
 from ..functions.numeric import pick, r6
 from .centroids import mean_vectors
-from .scoring import attach
+from .scoring import attach, held_models
 
 STABLE, MODERATE = 0.99, 0.95  # fixed values
 NULL_SAMPLES, NULL_SEED = 4096, 260623  # fixed values
@@ -143,14 +145,42 @@ def centroid_stability(
     )
 
 
+def _scores_of_all(pairs: list[tuple[np.ndarray, np.ndarray]]):
+    """Kernel: centroid score of a vector against every held model of its width, as (number, score)."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("__m", T.IntegerType()), T.StructField("null_score", T.DoubleType())])))
+    def score(vectors: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        found: list[list[dict]] = [[] for _ in lengths]
+        for width in np.unique(lengths[lengths > 0]):
+            rows = np.flatnonzero(lengths == width)
+            numbers = [i for i, (mean, _) in enumerate(pairs) if len(mean) == width]
+            matrix = vec.flat(vectors.take(pa.array(rows)))[0].reshape(-1, width)
+            norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+            total = 0.0
+            for side in (0, 1):
+                centres = np.stack([pairs[i][side] for i in numbers])
+                total = total + vec.guarded_cosine(matrix @ centres.T, norms, np.sqrt(np.einsum("ij,ij->i", centres, centres))[None])
+            for row, scores in zip(rows, total / 2.0):
+                found[row] = [{"__m": i, "null_score": s} for i, s in zip(numbers, scores.tolist())]
+        return pa.array(found, pa.list_(pa.struct([("__m", pa.int32()), ("null_score", pa.float64())])))
+
+    return score
+
+
 def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, seed: int = NULL_SEED) -> DataFrame:
     """Centroid scores of random unit vectors against every model: (by, sample, null_score).
 
     A sample's components are Box-Muller normals of two draws each.  All models of one width meet the same samples, so
-    those are drawn once per width and then scored against each model.
+    those are drawn once per width.  Models measured small are held by the kernel: a batch of samples and all models of
+    their width are two matrix products.  Otherwise samples and models meet in a join.
     """
-    centres = scale.small_side(models.select(
-        *by, F.size("mean_embedding").alias("__d"), F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
+    side, pairs = held_models(models, by)
+    widths = [len(mean) for mean, _ in pairs or []]
+    if pairs is not None:
+        centres = models.sparkSession.createDataFrame([(w,) for w in sorted(set(widths))], "__d int")
+    else:
+        centres = side.withColumn("__d", F.size("__mean"))
     tasks = max(models.sparkSession.sparkContext.defaultParallelism, 1)
     rows = (
         centres.select("__d").distinct()
@@ -164,7 +194,11 @@ def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, s
         v = draw(F.lit(seed), F.col("sample"), k, F.lit("v")) / top
         return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * 3.141592653589793 * v)
 
-    drawn = rows.withColumn("__x", F.transform(F.sequence(F.lit(0), F.col("__d") - 1), normal)).join(centres, "__d")
+    drawn = rows.withColumn("__x", F.transform(F.sequence(F.lit(0), F.col("__d") - 1), normal))
+    if pairs is not None:
+        scored = drawn.select("sample", F.explode(_scores_of_all(pairs)(F.col("__x"))).alias("s")).select("sample", "s.*")
+        return scored.join(F.broadcast(side), "__m").select(*by, "sample", "null_score")
+    drawn = drawn.join(centres, "__d")
     cosines = drawn.withColumns({"__a": vec.cosine("__x", "__mean"), "__b": vec.cosine("__x", "__median")})
     return cosines.select(*by, "sample", ((F.col("__a") + F.col("__b")) / 2.0).alias("null_score"))
 

@@ -18,44 +18,72 @@ from ..functions.numeric import r6
 SCORE_COLUMNS = ["cosine_to_mean", "cosine_to_median", "euclidean_to_mean", "euclidean_to_median", "centroid_score"]
 
 
-def _fixed_model_scores(mean: np.ndarray, median: np.ndarray):
-    """Kernel scoring a vector column against one fixed centroid pair; only the item vectors travel to Python."""
+HELD_MODELS_BYTES = 16 * 1024 * 1024  # models a kernel may hold; more meet their items in a join
+
+
+def _against(matrix: np.ndarray, mean: np.ndarray, median: np.ndarray) -> list[np.ndarray]:
+    """The score columns of item rows against one centroid pair."""
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    columns = [vec.guarded_cosine(matrix @ centre, norms, np.sqrt(centre @ centre)) for centre in (mean, median)]
+    for centre in (mean, median):
+        delta = matrix - centre
+        columns.append(np.sqrt(np.einsum("ij,ij->i", delta, delta)))
+    return [*columns, (columns[0] + columns[1]) / 2.0]
+
+
+def _held_model_scores(pairs: list[tuple[np.ndarray, np.ndarray]]):
+    """Kernel scoring a vector column against centroid pairs it holds, each row against the pair of its number.
+
+    Only the item vectors and the numbers travel to Python; a batch is one matrix product per pair present in it.
+    """
 
     @F.arrow_udf(vec.doubles(SCORE_COLUMNS))
-    def score(vectors: pa.Array) -> pa.Array:
-        ok = vectors.is_valid().to_numpy(zero_copy_only=False)
-        same = pc.equal(pc.list_value_length(vectors), len(mean)).to_numpy(zero_copy_only=False)
-        ok &= np.where(ok, same, False).astype(bool)
-        values, starts = vec.flat(vectors.filter(pa.array(ok)))
-        matrix = values.reshape(-1, len(mean))
-        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-        columns = []
-        for centre in (mean, median):
-            columns.append(vec.guarded_cosine(matrix @ centre, norms, np.sqrt(centre @ centre)))
-        for centre in (mean, median):
-            delta = matrix - centre
-            columns.append(np.sqrt(np.einsum("ij,ij->i", delta, delta)))
-        columns.append((columns[0] + columns[1]) / 2.0)
-        return vec.scatter(pa.StructArray.from_arrays([pa.array(c) for c in columns], SCORE_COLUMNS), ok)
+    def score(vectors: pa.Array, numbers: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        which = pc.fill_null(numbers, -1).to_numpy(zero_copy_only=False)
+        out, ok = np.zeros((len(SCORE_COLUMNS), len(lengths))), np.zeros(len(lengths), bool)
+        for number in np.unique(which[which >= 0]):
+            mean, median = pairs[number]
+            rows = np.flatnonzero((which == number) & (lengths == len(mean)))
+            if len(rows):
+                values, _ = vec.flat(vectors.take(pa.array(rows)))
+                out[:, rows] = _against(values.reshape(-1, len(mean)), mean, median)
+                ok[rows] = True
+        return vec.scatter(pa.StructArray.from_arrays([pa.array(c[ok]) for c in out], SCORE_COLUMNS), ok)
 
     return score
 
 
+def held_models(models: DataFrame, by: list[str], limit_bytes: int = HELD_MODELS_BYTES) -> tuple[DataFrame, list | None]:
+    """Models stored with a number each, and their centroid pairs by number if all are proven to fit ``limit_bytes``."""
+    stored = scale.cut_lineage(models.select(*by, F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
+    if scale.size_bytes(stored) > limit_bytes:
+        return stored, None
+    rows = stored.collect()  # at most ``limit_bytes``
+    pairs = [(np.array(r["__mean"], float), np.array(r["__median"], float)) for r in rows]
+    named = [tuple(r[c] for c in by) + (i,) for i, r in enumerate(rows)]
+    schema = T.StructType([*stored.select(*by).schema.fields, T.StructField("__m", T.IntegerType())])
+    return models.sparkSession.createDataFrame(named, schema), pairs
+
+
 def score_items(items: DataFrame, models: DataFrame, by: list[str] | None = None, vector: str = "embedding") -> DataFrame:
     """Two cosines, two distances and ``centroid_score`` (mean of the cosines) for every item.
 
     With ``by`` the item is scored against the model of its own group.  The models are stored and measured first: a
-    small set is broadcast, a large one is joined by shuffle.  Without ``by`` there is one model (one row, fitted once),
-    which is carried inside the scoring function, so the scan is map-only.  Vectors travel as stored (float32 stays
-    float32 on the way) and are widened in the kernel.
+    small set is held by the kernel and found by its number, a large one is joined by shuffle.  Without ``by`` there is
+    one model (one row, fitted once).  Where the kernel holds the models the scan is map-only.  Vectors travel as stored
+    (float32 stays float32 on the way) and are widened in the kernel.
     """
     if not by:
         model = models.select("mean_embedding", "median_embedding").first()
-        score = _fixed_model_scores(np.array(model["mean_embedding"]), np.array(model["median_embedding"]))
-        scored = items.withColumn("__s", score(F.col(vector)))
+        score = _held_model_scores([(np.array(model["mean_embedding"], float), np.array(model["median_embedding"], float))])
+        scored = items.withColumn("__s", score(F.col(vector), F.lit(0)))
         return scored.select("*", *[F.col(f"__s.{c}").alias(c) for c in SCORE_COLUMNS]).drop("__s")
-    centres = scale.small_side(models.select(*by, F.col("mean_embedding").alias("__mean"), F.col("median_embedding").alias("__median")))
-    joined = items.join(centres, by)
+    side, pairs = held_models(models, by)
+    if pairs is not None:
+        scored = items.join(F.broadcast(side), by).withColumn("__s", _held_model_scores(pairs)(F.col(vector), F.col("__m")))
+        return scored.select(*items.columns, *[F.col(f"__s.{c}").alias(c) for c in SCORE_COLUMNS])
+    joined = items.join(side, by)
     measured = joined.withColumns(
         {"__a": vec.pair_metrics(vector, "__mean"), "__b": vec.pair_metrics(vector, "__median")}
     )
