@@ -122,7 +122,7 @@ def evidence_totals(evidence: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-# Issue code, severity, backlog item.
+# Issue code, severity, backlog item (named in this library's own words).
 ISSUES = [
     ("subject_count_low", "warning", "expand-real-subject-set"),
     ("subject_image_imbalance", "warning", "subject-balanced-centroid"),

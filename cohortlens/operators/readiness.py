@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
 
-# Check, required, next action, in check order.
+# Checks in order: check, required, next action (the texts are this library's own).
 CHECKS = [
     ("model_profile", True, "Build a centroid model with its profile"),
     ("centroid_vectors", True, "Build mean and median centroid vectors"),
