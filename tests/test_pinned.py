@@ -267,3 +267,24 @@ def test_candidates_with_several_keys_are_counted_once(spark):
     gate = spark.createDataFrame([("r", "g", "/work/out/a.png", True, "fine")], "run string, item_id string, path string, qa_pass boolean, reason string")
     got = runs.candidate_table(*(runs.with_keys(f, bases) for f in (scores, styles, gate)), ["run"]).orderBy("path").collect()
     assert [(r["path"], r["centroid_score"], r["style_score"], r["qa_pass"]) for r in got] == [("out/a.png", 0.4, 0.6, True), ("out/b.png", None, 0.1, None)]
+
+
+def test_models_held_or_joined_score_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(str(i), f"p{i}", "ab"[i % 2], rng.normal(size=5).tolist()) for i in range(30)] + [("x", "px", "a", None), ("y", "py", "b", [1.0])]
+    items = spark.createDataFrame(rows, "item_id string, path string, g string, embedding array<double>")
+    models = centroids.centroid_models(items.where("size(embedding) = 5"), ["g"])
+
+    def answers():
+        scored = scoring.score_items(items, models, ["g"]).select("item_id", *scoring.SCORE_COLUMNS).orderBy("item_id").collect()
+        nulls = resampling.null_scores(models, ["g"], samples=20).orderBy("g", "sample").collect()
+        return [tuple(r)[1:] for r in scored], [r["null_score"] for r in nulls]
+
+    held = answers()
+    real = scoring.held_models
+    for module in (scoring, resampling):
+        monkeypatch.setattr(module, "held_models", lambda m, by: real(m, by, -1))
+    joined = answers()
+    assert [[v is None for v in r] for r in held[0]] == [[v is None for v in r] for r in joined[0]]
+    flat = lambda rows: [v for r in rows for v in r if v is not None]
+    assert np.allclose(flat(held[0]), flat(joined[0])) and np.allclose(held[1], joined[1]) and len(held[1]) == 40
