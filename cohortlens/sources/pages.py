@@ -165,17 +165,17 @@ def body_text(page: Column) -> Column:
     return F.regexp_replace(page, r"(?s)<[^>]*>", " ")
 
 
+def _profile_columns() -> list[Column]:
+    """name and birthdate of a page with its meta pairs in ``__m``."""
+    title = F.nullif(F.regexp_extract(shown(F.col("html")), r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit(""))
+    dates = [iso_date(last_meta(F.col("__m"), "description")), iso_date(last_meta(F.col("__m"), "og:description")), iso_date(body_text(shown(F.col("html"))))]
+    name = clean_name(unescape(F.coalesce(last_meta(F.col("__m"), "og:title"), F.trim(title))))
+    return [name.alias("name"), F.coalesce(*dates).alias("birthdate")]
+
+
 def profiles(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Name (social title, else page title), and the first date in description, social description, body, in that order."""
-    parsed = with_markup(pages).withColumn("__m", metas(F.col("__clean"))).withColumn(
-        "__title", F.nullif(F.regexp_extract(shown(F.col("html")), r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit(""))
-    )
-    dates = [iso_date(last_meta(F.col("__m"), "description")), iso_date(last_meta(F.col("__m"), "og:description")), iso_date(body_text(shown(F.col("html"))))]
-    return parsed.select(
-        *keys,
-        clean_name(unescape(F.coalesce(last_meta(F.col("__m"), "og:title"), F.trim("__title")))).alias("name"),
-        F.coalesce(*dates).alias("birthdate"),
-    )
+    return with_markup(pages).withColumn("__m", metas(F.col("__clean"))).select(*keys, *_profile_columns())
 
 
 def is_media(url: Column) -> Column:
@@ -184,8 +184,11 @@ def is_media(url: Column) -> Column:
     return lowered.rlike(MEDIA_PATTERN) & F.contains(lowered, F.lit(MEDIA_FOLDER)) & ~denied
 
 
-def media_candidates(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, media_url, kind, alt): social images, then image sources, then links to images; each address once."""
+def media_candidates(pages: DataFrame, keys: list[str], with_profile: bool = False) -> DataFrame:
+    """(keys, pos, media_url, kind, alt): social images, then image sources, then links to images; each address once.
+
+    ``with_profile`` adds url, name and birthdate from the same parse of the page.
+    """
     page = F.col("__clean")
     entry = lambda url, kind, alt: F.struct(url.alias("raw"), F.lit(kind).alias("kind"), alt.alias("alt"))
     nothing = F.lit(None).cast("string")
@@ -196,14 +199,16 @@ def media_candidates(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
     targets = F.filter(F.transform(tag_attributes(page, "a"), lambda a: attribute(a, "href")), lambda h: h.rlike(MEDIA_PATTERN))
     links = F.transform(targets, lambda h: entry(h, "link", nothing))
+    profile = _profile_columns() if with_profile else []
     found = with_markup(pages).withColumn("__m", metas(page)).select(
-        *keys, "url", F.posexplode(F.concat(social, images, links)).alias("pos", "e")
+        *keys, "url", *profile, F.posexplode(F.concat(social, images, links)).alias("pos", "e")
     )
     first = F.trim(F.substring_index(F.trim(F.substring_index("e.raw", ",", 1)), " ", 1))
+    kept = ["url", "name", "birthdate"] if with_profile else []
     rows = (
         found.where(F.col("e.raw").isNotNull())
         .withColumn("media_url", resolve_url(F.col("url"), first))
-        .select(*keys, "pos", "media_url", F.col("e.kind").alias("kind"), unescape("e.alt").alias("alt"))
+        .select(*keys, *kept, "pos", "media_url", F.col("e.kind").alias("kind"), unescape("e.alt").alias("alt"))
         .where(is_media(F.col("media_url")))
     )
     return first_seen(rows, keys, "media_url")
@@ -233,7 +238,7 @@ def candidate_manifest(
     retrieved_at: Column | None = None,
 ) -> DataFrame:
     """One row per (page, media) with the page's name, date, age and eligibility; ``retrieved_at`` is the time of the job unless given."""
-    rows = media_candidates(pages, [key]).join(profiles(pages, [key, "url"]), key)
+    rows = media_candidates(pages, [key], with_profile=True)
     aged = rows.withColumn("age_as_of", age_on(F.col("birthdate"), as_of))
     eligible, reason = eligibility(F.col("age_as_of"), min_age, include_all)
     return aged.select(
