@@ -18,7 +18,8 @@ from .components import components
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75  # similarity of a link, in percent
-BUCKET_BLOCK = 1_024  # members of a bucket compared in one go
+BUCKET_BLOCK = 8_192  # members of a bucket compared by sketch in one go
+LINK_BLOCK = 2_048  # members of a cluster compared by full sets in one go
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,13 @@ class Signature:
     A pair that differs in at most ``chunks * (errors + 1) - 1`` slots has, by pigeonhole, a chunk with at most ``errors``
     differences, so it meets in a bucket: that is a guarantee.  A pair at 75 % similarity differs in 13.5 of 54 slots on
     average; that it meets nowhere has probability 1e-7, and less for closer pairs.  Pairs that met are compared by their
-    sizes, slot by slot up to ``reach`` differences (a pair at 75 % lies beyond with probability 1e-8) and by a sketch of
-    ``bins`` one-permutation values (within ``sigmas`` standard errors of the similarity) before the full sets decide.
+    sizes and by a sketch of ``bins`` one-permutation values (within ``sigmas`` standard errors of the similarity) before
+    the full sets decide.
     """
 
     chunks: int = 9
     slots: int = 6
     errors: int = 2
-    reach: int = 33
     seed: int = 7
     bins: int = 256
     sigmas: float = 5.5
@@ -72,11 +72,10 @@ def bin_sketch(grams: np.ndarray, config: Signature) -> np.ndarray:
     return sketch
 
 
-def plausible(na, nb, sa, sb, ba, bb, config: Signature, percent: int) -> np.ndarray:
-    """Which pairs of (size, signature, bins) may be links: row by row, or one first row against many."""
+def plausible(na, nb, ba, bb, config: Signature, percent: int) -> np.ndarray:
+    """Which pairs of (size, bins) may be links: row by row, or one first row against many."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
     keep = 100 * low >= percent * high  # even as a subset a smaller set could not reach the similarity
-    keep &= (sa != sb).sum(axis=-1) <= config.reach
     rows = np.flatnonzero(keep)
     a, b = ba if ba.ndim == 1 else ba[rows], bb[rows]
     filled = ((a > 0) | (b > 0)).sum(axis=-1)
@@ -135,45 +134,43 @@ def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
     return shared.where(F.col("n") > 1)
 
 
-_SKETCH = ["n", "signature", "bins"]
+_SKETCH = ["n", "bins"]
 
 
 def _arrays(columns, config: Signature) -> list[np.ndarray]:
-    """Sizes, signatures and bins of a batch as arrays."""
-    n, signs, bins = columns
-    size = len(n)
-    return [
-        n.to_numpy(zero_copy_only=False) if isinstance(n, pa.Array) else n.to_numpy(),
-        np.frombuffer(b"".join(signs.to_pylist()), np.uint16).reshape(size, config.size),
-        np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(size, config.bins),
-    ]
+    """Sizes and bins of a batch as arrays."""
+    n, bins = columns
+    sizes = n.to_numpy(zero_copy_only=False) if isinstance(n, pa.Array) else n.to_numpy()
+    return [sizes, np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(len(sizes), config.bins)]
 
 
 def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes, signatures and bins let them be links."""
+    """The pairs (a, b) whose sizes and bins let them be links."""
     side = lambda end: classes.select(F.col("id").alias(end), *[F.col(c).alias(c + end) for c in _SKETCH])
     sided = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
-        (na, sa, ba), (nb, sb, bb) = (_arrays([batch.column(c + end) for c in _SKETCH], config) for end in "ab")
-        near = plausible(na, nb, sa, sb, ba, bb, config, percent)
+        (na, ba), (nb, bb) = (_arrays([batch.column(c + end) for c in _SKETCH], config) for end in "ab")
+        near = plausible(na, nb, ba, bb, config, percent)
         yield {name: batch.column(name).to_numpy(zero_copy_only=False)[near] for name in "ab"}
 
     return texts.map_batches(sided, kernel, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity.  Only documents in a pair are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = documents.select(F.col("doc_id").cast("long"), "text").join(small_side(ids), "doc_id", "left_semi")
+def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """id and full shingle set of the documents in ``ids``, read again from their texts."""
+    wanted = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids.distinct()), "id", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {
-            "id": batch.column(0),
-            "grams": [texts.shingles(t.as_py(), WIDTH).tobytes() for t in batch.column(1)],
-        }
+        yield {"id": batch.column(0), "grams": [texts.shingles(t.as_py(), WIDTH).tobytes() for t in batch.column(1)]}
+
+    return texts.map_batches(wanted, sets, "id long, grams binary")
 
-    grams = texts.map_batches(wanted, sets, "id long, grams binary")
+
+def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity.  Only documents in a pair are read again."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    grams = _sets(ids, documents)
     sided = pairs.join(grams.withColumnsRenamed({"id": "b", "grams": "gb"}), "b").join(
         grams.withColumnsRenamed({"id": "a", "grams": "ga"}), "a"
     )
@@ -192,42 +189,116 @@ def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return texts.map_batches(sided.select("a", "b", "ga", "gb"), kernel, "a long, b long").distinct()
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
-    """Pairs within reach that share a bucket but not yet a component.
+def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
+    """Pairs of components (a, b) that may be linked: some members share a bucket and their sketches allow a link.
 
-    Buckets whose members are all connected are done.  In the others every pair across components is compared by
-    sketch in the task; a bucket is dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so no task holds more
-    than two blocks of it.  Only pairs within reach leave the task.
+    Buckets whose members are all connected are done.  In the others members of different components are compared by sketch
+    inside the task; components found close are one from there on, so a bucket gives fewer pairs than it has members.  A
+    bucket is dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so no task holds more than two blocks of it.
     """
     labelled = buckets.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
     labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
     )
-    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
     members = labelled.join(mixed, "key").join(classes.select("id", *_SKETCH), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = members.withColumn("mine", block).withColumn("other", F.explode(others))
-    dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    dealt = dealt.select("key", "i", "j", "mine", "id", "component", *_SKETCH)
-
-    def compare(key, table):
-        mine, ids, comp = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
-        n, signs, bins = _arrays([table.column(c) for c in _SKETCH], config)
-        i, j = key[1].as_py(), key[2].as_py()
+    dealt = _block_pairs(members, "key", "id").select("key", "i", "j", "mine", "component", *_SKETCH)
+    schema, arrow = texts.schemas("a long, b long")
+
+    def one(i, j, mine, comp, n, bins):
+        """Pairs of components of one group of rows."""
+        label = comp.copy()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
         for row in left:
             other = right[right > row] if i == j else right
-            other = other[comp[other] != comp[row]]
-            other = other[plausible(n[row], n[other], signs[row], signs[other], bins[row], bins[other], config, percent)]
-            a.append(np.minimum(ids[row], ids[other]))
-            b.append(np.maximum(ids[row], ids[other]))
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+            other = other[label[other] != label[row]]
+            if len(other) == 0:
+                continue
+            near = other[plausible(n[row], n[other], bins[row], bins[other], config, percent)]
+            for found in near:
+                if label[found] != label[row]:
+                    yield min(comp[row], comp[found]), max(comp[row], comp[found])
+                    label[label == label[found]] = label[row]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            groups = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            yield _pairs(table.slice(0, last), groups[:last], np.concatenate(([0], cuts)))
+            rest = table.slice(last)
+        if rest is not None:
+            groups = np.stack([rest.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            yield _pairs(rest, groups, np.array([0, rest.num_rows]))
+
+    def _pairs(table, groups, cuts):
+        found: set[tuple[int, int]] = set()
+        if table.num_rows:
+            mine, comp = table.column("mine").to_numpy(), table.column("component").to_numpy()
+            n, bins = _arrays([table.column(c) for c in _SKETCH], config)
+            for at, end in zip(cuts[:-1], cuts[1:]):
+                found.update(one(groups[at, 1], groups[at, 2], *(x[at:end] for x in (mine, comp, n, bins))))
+        columns = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(columns[:, k]) for k in (0, 1)], schema=arrow)
+
+    keys = ["key", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
+
+
+def _block_pairs(members: DataFrame, group: str, member: str) -> DataFrame:
+    """Every member once per pair of blocks (i, j) of its group that holds its own block (``mine``); ``blocks`` tells how many."""
+    block = F.pmod(F.xxhash64(group, member), F.col("blocks")).cast("int")
+    dealt = members.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+
+
+def _links_across(open_components: DataFrame, labels: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that may be linked, decided on full shingle sets where both sets are at hand.
+
+    Components that hang together over open pairs are a cluster.  A cluster is dealt out in pairs of blocks of its members;
+    a task counts common shingles through an inverted index of its two blocks and reports a link only where it connects
+    components that the task has not connected yet, so links leave it, not pairs.
+    """
+    touched = components(open_components).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    known = labels.select(F.col("node").alias("id"), "component")
+    alone = touched.select(F.col("component").alias("id"), "component").join(known.select("id"), "id", "left_anti")
+    members = cut_lineage(known.unionByName(alone).join(touched, "component").select("id", "component", "cluster"))
+    sized = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
+    dealt = _block_pairs(members.join(sized, "cluster"), "cluster", "id").join(_sets(members.select("id"), documents), "id")
+
+    def link(key, table):
+        mine, ids, label = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
+        label, i, j = label.copy(), key[1].as_py(), key[2].as_py()
+        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        sizes = np.array([len(g) for g in sets])
+        owners = np.repeat(np.arange(len(sets)), sizes)
+        gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        posted = owners[np.argsort(gram, kind="stable")]  # documents of each gram, gram by gram
+        ends = np.cumsum(np.bincount(gram))
+        starts, first = np.concatenate(([0], ends[:-1])), np.cumsum(sizes) - sizes
+        a, b = [], []
+        for row in np.flatnonzero(mine == i):
+            other = mine == j
+            other[: row + 1] &= i != j
+            other &= (label != label[row]) & (100 * np.minimum(sizes, sizes[row]) >= percent * np.maximum(sizes, sizes[row]))
+            if not other.any():
+                continue
+            mine_grams = gram[first[row] : first[row] + sizes[row]]
+            widths = ends[mine_grams] - starts[mine_grams]
+            at = np.arange(widths.sum()) + np.repeat(starts[mine_grams] - (np.cumsum(widths) - widths), widths)
+            common = np.bincount(posted[at], minlength=len(sets))
+            for found in np.flatnonzero(other & (100 * common >= percent * (sizes + sizes[row] - common))):
+                if label[found] != label[row]:
+                    a.append(ids[row])
+                    b.append(ids[found])
+                    label[label == label[found]] = label[row]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature = Signature()) -> DataFrame:
@@ -240,8 +311,8 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature
     that links with what any of them links with; rows without doc_id have no component and stay.  Other columns are ignored.
 
     The links are found in two rounds: every member of a bucket is checked against the bucket's smallest id, which
-    connects a group of any size with a few pairs each; then, in buckets whose members are still apart, all pairs across
-    components within signature reach are checked.  A pair left out is one already connected, so groups lose no link.
+    connects a group of any size with a few pairs each; then components that share a bucket and are still apart, though
+    their sketches allow a link, are compared member by member.  A pair left out is one already connected.
     """
     sketches = cut_lineage(_sketches(documents, config))
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
@@ -256,8 +327,8 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature
     held = named.join(repeated, "doc_id", "left_semi").join(classes.select("id", "digest"), "digest")
     links = links.unionByName(held.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     labels = components(links)
-    rest = cut_lineage(_open_pairs(buckets, labels, classes, config, percent).join(first, ["a", "b"], "left_anti"))
-    second = _confirm(rest, documents, percent)
+    still_open = cut_lineage(_open_components(buckets, labels, classes, config, percent))
+    second = _links_across(still_open, labels, documents, percent)
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     final = components(joined)
     owners = named.select("doc_id", "digest").distinct().join(classes.select("id", "digest"), "digest")

@@ -81,12 +81,12 @@ def test_chains_and_families_against_brute_force(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()}
     assert got == brute(rows)
-    blocks = minhash.BUCKET_BLOCK
-    try:  # buckets dealt out in blocks give the same groups
-        minhash.BUCKET_BLOCK = 3
+    blocks = minhash.BUCKET_BLOCK, minhash.LINK_BLOCK
+    try:  # buckets and clusters dealt out in blocks give the same groups
+        minhash.BUCKET_BLOCK = minhash.LINK_BLOCK = 3
         assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()} == got
     finally:
-        minhash.BUCKET_BLOCK = blocks
+        minhash.BUCKET_BLOCK, minhash.LINK_BLOCK = blocks
 
 
 def test_pigeonhole_guarantee():
@@ -112,7 +112,7 @@ def test_links_at_the_threshold_survive_the_sketches():
         a, b = np.sort(np.concatenate((common, extra[:side]))), np.sort(np.concatenate((common, extra[side : 2 * side])))
         if 100 * len(common) < 75 * (len(common) + 2 * side):
             continue
-        args = [x for f in (lambda g: np.array([len(g)]), lambda g: minhash.signature(g, config)[None], lambda g: minhash.bin_sketch(g, config)[None]) for x in (f(a), f(b))]
+        args = [x for f in (lambda g: np.array([len(g)]), lambda g: minhash.bin_sketch(g, config)[None]) for x in (f(a), f(b))]
         lost += not minhash.plausible(*args, config, 75)[0]
     assert lost == 0
 
