@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ LENGTH = 50  # bytes of a string that counts as repeated
 ANCHOR = 24  # bytes of the gram that strings are found by
 BATCH = 65_536  # entries sorted into the family at once
 BUCKET_BYTES = 16 * 1024 * 1024  # text whose entries one task holds
+KERNEL_BYTES = 16 * 1024 * 1024  # text whose entries a kernel gathers before it deals them out
 SLICE = 2**19  # bytes hashed in one go
 _PLACE = U64(2**20 - 1)  # low bits of an ordered hash that hold its place in the slice
 
@@ -226,6 +228,15 @@ def _scanned(dealt: DataFrame, look_for_risk: bool) -> DataFrame:
 
 def _stretches(documents: DataFrame, buckets: int) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
+        sizes = np.cumsum(pc.binary_length(batch.column(2).cast(pa.large_string())).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(sizes, np.arange(KERNEL_BYTES, sizes[-1] + KERNEL_BYTES, KERNEL_BYTES)) + 1 if len(sizes) else []
+        at = 0
+        for end in cuts:
+            if end > at:
+                yield from of_documents(batch.slice(at, end - at))
+            at = max(at, end)
+
+    def of_documents(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         parts = []
         for piece in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
@@ -298,6 +309,7 @@ def repeated_stretches(documents: DataFrame) -> DataFrame:
     buckets = max(1, -(-size // BUCKET_BYTES))
     path = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
     _scanned(_stretches(keyed, buckets), look_for_risk=True).write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # nothing refers to that job's shuffle any more: let Spark's cleaner remove its files
     found = spark.read.schema(_FOUND).parquet(path)
     risky = keyed.join(_by_document(found.where("risky")), ["doc", "row"]).select("doc", "row", "text", "stretches")
     single = _scanned(_single_strings(risky, buckets), look_for_risk=False)
