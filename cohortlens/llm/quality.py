@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,10 +138,15 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     the driver receives at most ``train_rows * train_chars`` characters.  Rows without text, doc_id or a 0/1 label teach nothing.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
-    order = [F.char_length("text") > train_chars, F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
-    narrow = rows.select("doc_id", "quality", F.substring("text", 1, train_chars).alias("text"), F.struct(*order).alias("place"))
-    sample = narrow.orderBy("place", "text").limit(train_rows).collect()
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    place = F.struct((F.char_length("text") > train_chars).alias("long"), F.xxhash64("doc_id").alias("hash"))
+    labelled = texts.select("doc_id", place.alias("place")).join(known, "doc_id")
+    n = labelled.count()
+    if n > 2 * train_rows:  # by hash, about twice the sample is enough to choose from
+        labelled = labelled.where(F.pmod("place.hash", F.lit(1_000_000)) < math.ceil(2_000_000 * train_rows / n))
+    chosen = labelled.orderBy("place", "doc_id", "quality").limit(train_rows)  # ids and labels only
+    taken = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "place", F.substring("text", 1, train_chars).alias("text"))
+    sample = taken.orderBy("place", "doc_id", "quality", "text").collect()
     return train([r["text"] for r in sample], [r["quality"] for r in sample])
 
 
