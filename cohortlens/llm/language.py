@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .texts import bound_batches
+
 UNDETERMINED = "und"
 TRAIN_SYMBOLS = 40_000  # symbols of labelled text learned per language
 TRAIN_ROWS = 100  # labelled rows sampled per language
 TRAIN_CHARS = 8_000  # rows longer than this are sampled only where shorter ones are lacking
 BLOCK = 4_096  # symbols parsed in one go; a phrase does not reach over the end of a block
-LANES = 8_192  # blocks parsed side by side
+LANES = 4_096  # blocks parsed side by side
 
 _SEPARATOR, _UNKNOWN = 1, 0  # symbol of a run of non-letters, symbol of a letter no language was learned with
 _STEP = 28  # a transition holds the target in its low bits and the phrases it closes above
@@ -201,6 +203,7 @@ def with_language(documents: DataFrame, model: LanguageModel, text: str = "text"
             names, score = classify([t if isinstance(t, str) else None for t in part], model)
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
+    bound_batches(documents)
     return documents.withColumn(name, predict(F.col(text)))
 
 

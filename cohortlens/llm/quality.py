@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
-from .texts import U64, mix
+from .texts import U64, bound_batches, mix
 
 BUCKETS = 2**17  # hashed features
 DIMENSIONS = 8
@@ -161,5 +161,6 @@ def scored(documents: DataFrame, model: QualityModel) -> DataFrame:
         for part in parts:
             yield pd.Series(model.score([t if isinstance(t, str) else None for t in part]))
 
+    bound_batches(documents)
     rows = documents.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-CACHE_WORDS = 300_000  # words a task remembers the hash of; beyond it the memory starts anew
+BATCH_BYTES = 16 * 1024 * 1024  # Arrow data a kernel is given at once
+CACHE_WORDS = 100_000  # words a task remembers the hash of; beyond it the memory starts anew
 U64 = np.uint64
 
 
@@ -61,14 +63,24 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(rolled(hashes, min(width, len(hashes))))
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``: texts are long, and workers share memory."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = re.sub(r"\D", "", conf.get(name))
+    if not now or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where the kernel turns a batch into column dictionaries (arrays or lists), in the schema's order."""
+    bound_batches(df)
     spark_schema, arrow = schemas(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in kernel(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 JSON_PATH = public_tokenizers.path("byte_bpe_50k.json")  # both must be readable on every executor
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SLICE_BYTES = 8 * 1024 * 1024  # text encoded in one go
-CACHE_PIECES = 400_000  # pieces a task remembers the ids of; beyond it the memory starts anew
+SLICE_BYTES = 4 * 1024 * 1024  # text encoded in one go
+CACHE_PIECES = 200_000  # pieces a task remembers the ids of; beyond it the memory starts anew
 
 # The tokenizer never joins what a single space or line feed parts, so texts with no other white space are looked up in
 # pieces cut there.  Runs of white space, other kinds of it, and NUL (the mark of a cut) send the whole text to the tokenizer.
