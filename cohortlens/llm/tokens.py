@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 JSON_PATH = public_tokenizers.path("byte_bpe_50k.json")  # both must be readable on every executor
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SLICE_BYTES = 4 * 1024 * 1024  # text encoded in one go
-CACHE_PIECES = 200_000  # pieces a task remembers the ids of; beyond it the memory starts anew
+CACHE_PIECES = 100_000  # pieces a task remembers the ids of; beyond it the memory starts anew
 
 # The tokenizer never joins what a single space or line feed parts, so texts with no other white space are looked up in
 # pieces cut there.  Runs of white space, other kinds of it, and NUL (the mark of a cut) send the whole text to the tokenizer.
@@ -26,14 +27,22 @@ class Encoder:
     """Ids of texts as ``tokenizers`` gives them with ``add_special_tokens=False``."""
 
     def __init__(self, json_path: str = JSON_PATH, ranks_path: str = RANKS_PATH):
-        self._whole = Tokenizer.from_file(json_path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._json_path, self._loaded = json_path, None
+        with open(json_path, encoding="utf-8") as file:
+            self._special = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._known: dict[str, bytes] = {}
         self._line_feed = int(self._ranks.encode_single_token("\n"))
 
+    @property
+    def _whole(self) -> Tokenizer:
+        """The tokenizer itself, loaded when the first text needs it: workers share little memory."""
+        if self._loaded is None:
+            self._loaded = Tokenizer.from_file(self._json_path)
+        return self._loaded
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text in order, as unsigned 32-bit integers; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
