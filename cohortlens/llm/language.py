@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ TRAIN_ROWS = 100  # labelled rows sampled per language
 TRAIN_CHARS = 8_000  # rows longer than this are sampled only where shorter ones are lacking
 BLOCK = 4_096  # symbols parsed in one go; a phrase does not reach over the end of a block
 LANES = 4_096  # blocks parsed side by side
+WIDE_LANES = 1_024  # the same where symbols take four bytes
 
 _SEPARATOR, _UNKNOWN = 1, 0  # symbol of a run of non-letters, symbol of a letter no language was learned with
 _STEP = 28  # a transition holds the target in its low bits and the phrases it closes above
@@ -27,12 +28,17 @@ _STEP = 28  # a transition holds the target in its low bits and the phrases it c
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Learned symbols and, per language, its training text in these symbols."""
+    """Learned symbols and, per language, its training text in these symbols (``symbol_type`` of the letters)."""
 
     letters: str
     texts: tuple[tuple[str, bytes], ...]
 
 
+def symbol_type(letters: str) -> np.dtype:
+    """One byte a symbol while all letters fit, four for larger scripts: no learned letter is left out."""
+    return np.dtype(np.uint8 if len(letters) + 2 <= 256 else np.uint32)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents nothing is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -57,7 +63,7 @@ def fit(
     by_language: dict[str, list[str]] = {}
     for row in rows:
         by_language.setdefault(row["lang"], []).append(row["text"].lower())
-    letters = "".join(sorted({c for texts in by_language.values() for t in texts for c in t if c.isalpha()}))[:250]
+    letters = "".join(sorted({c for texts in by_language.values() for t in texts for c in t if c.isalpha()}))
     table = symbol_table(letters)
     learned = []
     for lang, texts in sorted(by_language.items()):
@@ -69,7 +75,7 @@ def fit(
 
 def symbol_table(letters: str) -> np.ndarray:
     """Symbol of every code point: learned letters from 2 up, other letters unknown, all else a separator."""
-    table = np.full(0x110000, _SEPARATOR, np.uint8)
+    table = np.full(0x110000, _SEPARATOR, symbol_type(letters))
     table[[i for i in range(0x110000) if chr(i).isalpha()]] = _UNKNOWN
     for i, letter in enumerate(letters):
         table[ord(letter)] = i + 2
@@ -83,7 +89,7 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return codes[~(gap & np.concatenate(([False], gap[:-1])))]
 
 
-def suffix_automaton(codes: bytes) -> list[dict[int, int]]:
+def suffix_automaton(codes: Sequence[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that reads exactly the substrings of ``codes``; state 0 reads nothing yet."""
     moves, link, length, last = [{}], [-1], [0], 0
     for c in codes:
@@ -112,13 +118,21 @@ def suffix_automaton(codes: bytes) -> list[dict[int, int]]:
     return moves
 
 
-def transitions(codes: bytes, n_symbols: int) -> np.ndarray:
+def _moves(codes: Sequence[int]) -> list[dict[int, int]]:
+    """The automaton's transitions without those of the unknown symbol, which stands for many letters and equals none."""
+    moves = suffix_automaton(codes)
+    for row in moves:
+        row.pop(_UNKNOWN, None)
+    return moves
+
+
+def transitions(codes: Sequence[int], n_symbols: int) -> np.ndarray:
     """The automaton with phrase ends built in: entry [state, symbol] is (phrases closed << 28) + next state * n_symbols.
 
     A symbol that does not extend the phrase closes it and starts the next one; a symbol the language never shows is a
     phrase of its own.
     """
-    moves = suffix_automaton(codes)
+    moves = _moves(codes)
     start = np.full(n_symbols, 1 << _STEP, np.int32)  # at the root an unseen symbol is a phrase of its own
     for c, target in moves[0].items():
         start[c] = target * n_symbols
@@ -130,28 +144,78 @@ def transitions(codes: bytes, n_symbols: int) -> np.ndarray:
     return table.ravel()
 
 
-_prepared: dict[LanguageModel, tuple[np.ndarray, list[np.ndarray]]] = {}
+class SparseTransitions:
+    """The same automaton for scripts of any size: a hash table of (state, symbol) with only the transitions there are."""
+
+    def __init__(self, codes: Sequence[int], n_symbols: int):
+        moves = _moves(codes)
+        self.n = n_symbols
+        self.root = np.full(n_symbols, -1, np.int32)
+        for c, target in moves[0].items():
+            self.root[c] = target
+        pairs = [(state * n_symbols + c, target) for state, row in enumerate(moves) for c, target in row.items()]
+        keys, targets = np.array(pairs, np.int64).reshape(-1, 2).T
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.targets = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots[left]] == keys[left]
+            self.targets[slots[left[placed]]] = targets[left[placed]]
+            left = left[~placed]
+            slots[left] = (slots[left] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and the phrases each step closes."""
+        keys = state.astype(np.int64) * self.n + symbol
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        target = np.where(held == keys, self.targets[slots], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            target[left[hit]] = self.targets[slots[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        missed = np.flatnonzero(target < 0)
+        root, closed = self.root[symbol[missed]], np.zeros(len(state), np.int32)
+        closed[missed] = (state[missed] > 0).astype(np.int32) + (root < 0)
+        target[missed] = np.maximum(root, 0)
+        return target, closed
+
+
+_prepared: dict[LanguageModel, tuple[np.ndarray, list[np.ndarray | SparseTransitions]]] = {}
 
 
 def _prepare(model: LanguageModel):
     if model not in _prepared:
         _prepared.clear()
-        n = len(model.letters) + 2
-        _prepared[model] = symbol_table(model.letters), [transitions(codes, n) for _, codes in model.texts]
+        n, kind = len(model.letters) + 2, symbol_type(model.letters)
+        build = transitions if kind.itemsize == 1 else SparseTransitions
+        _prepared[model] = symbol_table(model.letters), [build(np.frombuffer(codes, kind).tolist(), n) for _, codes in model.texts]
     return _prepared[model]
 
 
-def count_phrases(blocks: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+def count_phrases(blocks: list[np.ndarray], table: np.ndarray | SparseTransitions) -> np.ndarray:
     """Phrases of every block; ``blocks`` run from long to short and are parsed side by side, one symbol at a time."""
     lengths = np.array([len(b) for b in blocks])
     steps = int(lengths[0])
-    matrix = np.zeros((steps, len(blocks)), np.uint8)
+    matrix = np.zeros((steps, len(blocks)), blocks[0].dtype)
     for i, block in enumerate(blocks):
         matrix[: len(block), i] = block
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # blocks longer than the step
     state, phrases, mask = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32), (1 << _STEP) - 1
     for step in range(steps):
         k = active[step]
+        if isinstance(table, SparseTransitions):
+            state[:k], closed = table.step(state[:k], matrix[step, :k])
+            phrases[:k] += closed
+            continue
         moved = table[state[:k] + matrix[step, :k]]
         phrases[:k] += moved >> _STEP
         state[:k] = moved & mask
@@ -163,7 +227,7 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
     table, automata = _prepare(model)
     owners, blocks, sizes, seen = [], [], np.zeros(len(texts)), np.zeros(len(texts), bool)
     for i, text in enumerate(texts):
-        codes = symbols(text, table) if text else np.empty(0, np.uint8)
+        codes = symbols(text, table) if text else np.empty(0, table.dtype)
         if len(codes) == 0 or not (codes != _SEPARATOR).any():
             continue
         seen[i], sizes[i] = True, len(codes)
@@ -175,13 +239,14 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     order = sorted(range(len(blocks)), key=lambda j: -len(blocks[j]))
     rates = np.zeros((len(names), len(texts)))
-    for at in range(0, len(order), LANES):
-        lane = order[at : at + LANES]
+    lanes = LANES if table.dtype.itemsize == 1 else WIDE_LANES
+    for at in range(0, len(order), lanes):
+        lane = order[at : at + lanes]
         group, owner = [blocks[j] for j in lane], [owners[j] for j in lane]
         for k, automaton in enumerate(automata):
             np.add.at(rates[k], owner, count_phrases(group, automaton))
     for k, (_, codes) in enumerate(model.texts):  # phrases a symbol, weighed by the bits that point into the training text
-        rates[k] *= math.log2(len(codes) + 1) / np.maximum(sizes, 1)
+        rates[k] *= math.log2(len(codes) // table.dtype.itemsize + 1) / np.maximum(sizes, 1)
     best = rates.argmin(axis=0)  # equal rates: the first name
     lowest = rates.min(axis=0)
     others = np.where(np.arange(len(names))[:, None] == best, np.inf, rates).min(axis=0)

@@ -68,3 +68,40 @@ def test_long_texts_are_read_whole(length):
     fitted = language.LanguageModel("ab", (("a", bytes([2] * 50)), ("b", bytes([3] * 50))))
     names, _ = language.classify(["a" * 100 + "b" * length, "b" * 100 + "a" * length], fitted)
     assert names == ["b", "a"]
+
+
+def test_sparse_parse_against_brute_force():
+    rng = np.random.default_rng(2)
+    values = np.concatenate(([0, 1], rng.integers(2, 70_000, 5)))
+    training = rng.choice(values, 400).tolist()
+    table = language.SparseTransitions(training, 70_000)
+    blocks = sorted((rng.choice(np.append(values, 9), int(n)).astype(np.uint32) for n in rng.integers(1, 90, 60)), key=len, reverse=True)
+    runs = {tuple(training[a:b]) for a in range(400) for b in range(a + 1, min(a + 30, 401)) if 0 not in training[a:b]}
+
+    def naive(block):
+        at = n = 0
+        while at < len(block):
+            width = 0
+            while at + width < len(block) and tuple(block[at : at + width + 1]) in runs:
+                width += 1
+            at, n = at + max(1, width), n + 1
+        return n
+
+    assert language.count_phrases(blocks, table).tolist() == [naive(b.tolist()) for b in blocks]
+
+
+def test_letters_of_large_scripts_are_all_learned(spark):
+    rng = np.random.default_rng(3)
+    spans = {"han": (0x4E00, 400), "hangul_a": (0xAC00, 300), "hangul_b": (0xB400, 300), "latin": (0x61, 26)}
+    text = lambda lang: " ".join("".join(chr(spans[lang][0] + int(i)) for i in rng.integers(0, spans[lang][1], 4)) for _ in range(60))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(spans) * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language.fit(docs)
+    assert len(fitted.letters) == sum(n for _, n in spans.values())
+    got = language.identify(docs, fitted).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_unknown_letters_do_not_match_each_other():
+    table = language.transitions(bytes([0] * 50), 3)
+    assert language.count_phrases([np.zeros(20, np.uint8)], table).tolist() == [20]
