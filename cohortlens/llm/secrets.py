@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from . import texts
 MIN_TOKEN = 20  # characters of the shortest token the battery tests
 FALSE_DISCOVERIES = 0.05  # share of reported tokens that may be no random ones
 BINS = 100  # bins of the histogram of p-values
+LEVEL = 0.05  # level of the tests that a stratum's tokens hold more false ones than the rate allows
+EXACT = 1_000  # tokens up to which binomial tails are summed, not approximated
 
 # The kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -48,6 +52,7 @@ def _members(characters: str) -> np.ndarray:
 
 _HEX = _members(ENCODINGS["hex"])
 _TOKEN = _members(ENCODINGS["base64"] + "-_")
+_WITHIN = [_members(ENCODINGS["base64"]), _members(ENCODINGS["base64url"]), _members(ENCODINGS["base64"].replace("/", ""))]
 
 
 def _runs(data: np.ndarray, members: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -130,6 +135,27 @@ def battery(token: str) -> tuple[int, float] | None:
     return None
 
 
+def candidates(data: np.ndarray) -> list[tuple[int, int]]:
+    """Byte runs the battery tests: whole runs of token characters, and in them the longest runs of the base64 alphabet, of
+    the base64url alphabet, and between the signs that also join words, so a key behind a path or a label is tested alone."""
+    found = set()
+    for s, e in _runs(data, _TOKEN, MIN_TOKEN):
+        found.add((s, e))
+        for members in _WITHIN:
+            found.update((s + a, s + b) for a, b in _runs(data[s:e], members, MIN_TOKEN))
+    return sorted(found)
+
+
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans without those that overlap a longer one."""
+    chosen: list[tuple[int, int, int]] = []
+    for s, e, k in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        at = bisect.bisect(chosen, (s, e, k))
+        if (at == 0 or chosen[at - 1][1] <= s) and (at == len(chosen) or e <= chosen[at][0]):
+            chosen.insert(at, (s, e, k))
+    return chosen
+
+
 def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed patterns, ends exclusive, in code points."""
     found = []
@@ -160,22 +186,28 @@ def _stratum(code: int, length: int) -> int:
     return code * 16 + min(15, int(math.log2(length / MIN_TOKEN)) if length > MIN_TOKEN else 0)
 
 
+def _signed(token: bytes) -> int:
+    """Hash of a token as a signed number: copies of a token say no more about the p-values than one of them."""
+    value = xxhash.xxh64_intdigest(token)
+    return value - 2**64 if value >= 2**63 else value
+
+
 def _scan(documents: DataFrame) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
-        names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "starts", "ends", "kinds", "token_starts", "token_ends", "strata", "bins")
+        names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "starts", "ends", "kinds", "token_starts", "token_ends", "strata", "bins", "tokens")
         out: dict[str, list] = {name: [] for name in names}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = text or ""
             data = text.encode("utf-8", "surrogatepass")
             spans = base_spans(text, data)
             tested = []
-            for s, e in _runs(np.frombuffer(data, np.uint8), _TOKEN, MIN_TOKEN):
+            for s, e in candidates(np.frombuffer(data, np.uint8)):
                 if (result := battery(data[s:e].decode())) is not None:
-                    tested.append((*_points(text, data, s, e), _stratum(result[0], e - s), min(BINS - 1, int(result[1] * BINS))))
+                    tested.append((*_points(text, data, s, e), _stratum(result[0], e - s), min(BINS - 1, int(result[1] * BINS)), _signed(data[s:e])))
             kinds = [k for _, _, k in spans]
             values = (
                 doc, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(spans).encode()).hexdigest(),
-                [s for s, _, _ in spans], [e for _, e, _ in spans], kinds, *([t[i] for t in tested] for i in range(4)),
+                [s for s, _, _ in spans], [e for _, e, _ in spans], kinds, *([t[i] for t in tested] for i in range(5)),
             )
             for name, value in zip(names, values):
                 out[name].append(value)
@@ -183,27 +215,50 @@ def _scan(documents: DataFrame) -> DataFrame:
 
     schema = (
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, starts array<int>, ends array<int>, "
-        "kinds array<int>, token_starts array<int>, token_ends array<int>, strata array<int>, bins array<int>"
+        "kinds array<int>, token_starts array<int>, token_ends array<int>, strata array<int>, bins array<int>, "
+        "tokens array<long>"
     )
     return texts.map_batches(documents.select(F.col("doc_id").cast("long"), "text"), kernel, schema)
 
 
+def binomial_tail(n: int, p: float, k: int) -> float:
+    """P(X >= k) of n draws with chance p: summed for few draws, by the normal curve for many."""
+    if k <= 0:
+        return 1.0
+    if k > n or p <= 0:
+        return 0.0
+    if p >= 1:
+        return 1.0
+    if n > EXACT:
+        return math.erfc((k - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p))) / 2
+    whole = math.lgamma(n + 1)
+    terms = (whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1))
+    return min(1.0, sum(map(math.exp, terms)))
+
+
 def thresholds(histogram: dict[int, dict[int, int]], rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
     """Per stratum the lowest bin of p-values that is reported; strata where nothing can be reported are left out.
 
-    P-values of random tokens are uniform, those of words pile up near zero.  The upper half therefore tells how many random
-    tokens there are; tokens from a bin up that exceed the number expected of those count as false discoveries, and the
-    lowest bin with a share of at most ``rate`` is taken.
+    P-values of random tokens are uniform, those of words pile up at the low end of every range.  Bins from b up may be
+    reported if their tokens agree with that: of n tokens at most ``rate`` (rounded down) are false, the others uniform.
+    No range may then hold more at its low end than these false ones and a binomial share of the others; every split of the
+    range is tested, all together at ``LEVEL``, with exact tails for few tokens.  The lowest b that no split speaks against is taken.  A
+    token alone in its stratum is reported from p = ``LEVEL`` up; so few tokens cannot show their share of false ones.
     """
     chosen = {}
     for stratum, counts in histogram.items():
-        random = 2 * sum(n for b, n in counts.items() if b >= BINS // 2)
-        reported = 0
-        for b in range(BINS - 1, -1, -1):
-            reported += counts.get(b, 0)
-            expected = random * (BINS - b) / BINS
-            if reported and (reported - expected) / reported <= rate:
+        filled = sorted(b for b, n in counts.items() if n)
+        for b in range(filled[-1] + 1 if filled else 0):
+            n = sum(counts[x] for x in filled if x >= b)
+            false, low, agrees = int(rate * n), 0, True
+            level = LEVEL / max(1, sum(b <= x < BINS - 1 for x in filled))
+            for x in filled:
+                if x >= b and agrees and x + 1 < BINS:
+                    low += counts[x]
+                    agrees = binomial_tail(n - false, (x + 1 - b) / (BINS - b), low - false) >= level
+            if agrees:
                 chosen[stratum] = b
+                break
     return chosen
 
 
@@ -211,14 +266,16 @@ def scan(documents: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """Secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random.
 
     The fixed patterns give spans of kinds assign, access and hex.  Every run of 20 or more token characters is tested as
-    well: in the narrowest alphabet that holds it, are its symbols uniform, do they change halves as often as chance has
-    it, are neighbours uncorrelated?  Tokens that pass at the false-discovery ``rate`` of their encoding and length class
-    are spans of kind random.  The p-values' histogram over all documents (at most 8,000 counts) sets the thresholds.
+    well, whole if one alphabet holds it, and its longest runs in one alphabet or between joining signs: in the narrowest
+    alphabet, are the symbols uniform, do they change halves as often as chance has it, are neighbours uncorrelated?
+    Tokens that pass at the false-discovery ``rate`` of their encoding and length class are spans of kind random; of spans
+    that overlap the longest stays.  The p-values' histogram over all different tokens (at most 8,000 counts) sets the thresholds.
     Null text counts as empty: no spans, empty strings' digest.  Repeated rows and rows without doc_id come back as given;
     other columns are ignored; an empty table gives an empty result.
     """
     scanned = cut_lineage(_scan(documents))
-    pairs = scanned.select(F.explode(F.arrays_zip("strata", "bins")).alias("t")).groupBy("t.strata", "t.bins").count()
+    distinct = scanned.select(F.explode(F.arrays_zip("strata", "bins", "tokens")).alias("t")).select("t.*").distinct()
+    pairs = distinct.groupBy("strata", "bins").count()
     histogram: dict[int, dict[int, int]] = {}
     for row in pairs.collect():
         histogram.setdefault(row["strata"], {})[row["bins"]] = row["count"]
@@ -232,6 +289,7 @@ def scan(documents: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
             random = [
                 (s, e, 3) for s, e, stratum, b in zip(r["token_starts"], r["token_ends"], r["strata"], r["bins"]) if b >= lowest.get(stratum, BINS)
             ]
+            random = apart(random)
             spans.append(joined(base + random))
             n_random.append(len(random))
         yield {name: batch.column(name) for name in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")} | {"spans": spans, "n_random": n_random}

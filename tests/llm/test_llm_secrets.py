@@ -76,3 +76,38 @@ def test_thresholds_hold_the_rate():
     assert secrets.thresholds({1: uniform})[1] == 0
     piled = {**uniform, 0: 5000, 1: 300}
     assert secrets.thresholds({1: piled})[1] >= 2 and secrets.thresholds({1: {0: 50}}) == {}
+
+
+def test_keys_joined_to_paths_and_labels_are_found(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(200):
+        url, plain = ("".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(38)) for name in ("base64url", "base64"))
+        rows.append((i, f"see hooks/v1/x_{url} here") if i % 2 else (i, f"see my_label-{plain[:20]}/+{plain[20:]} here"))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_random"] >= 1 for r in got) >= 180
+    for r in got:
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random"))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_thresholds_of_few_tokens_and_of_falling_counts():
+    assert secrets.thresholds({1: {30: 1}})[1] <= 30  # a lone key
+    assert secrets.thresholds({1: {0: 1}}) == {} and secrets.thresholds({1: {}}) == {}
+    falling = {b: 200 - 2 * b for b in range(secrets.BINS)}  # no bin's upper half is taken as random unseen
+    assert secrets.thresholds({1: falling})[1] > 50
+
+
+@pytest.mark.parametrize("n,p,k", [(10, 0.3, 4), (400, 0.05, 30), (5, 0.5, 0), (5, 0.5, 6)])
+def test_binomial_tail(n, p, k):
+    want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    assert math.isclose(secrets.binomial_tail(n, p, k), want, abs_tol=1e-9)
+    assert math.isclose(secrets.binomial_tail(5000, 0.1, 530), 0.0824, abs_tol=0.003)
+
+
+def test_copies_of_a_lone_key_are_one_token(spark):
+    rng = random.Random(11)
+    key = next(k for k in iter(lambda: "".join(rng.choice("0123456789abcdef") for _ in range(44)), "") if 0.2 < secrets.battery(k)[1] < 0.4)
+    rows = [(i, f"see {key} here") for i in range(30)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_random"] for r in got] == [1] * 30
