@@ -77,3 +77,47 @@ def test_template_is_reversible(turns):
 @given(st.text(alphabet="<|\\n\nim_startend>x", max_size=40))
 def test_escape_hides_marks(text):
     assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
+
+
+def whole_conversation(roles, sizes, budget, history):
+    """(first new turn, leading turns repeated, turns shown) of every window, from all turns' sums at once."""
+    n, sums, made, new = len(roles), [0], [], 0
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    while new < n:
+        fixed = int(new > 0 and roles[0] == "system")
+        room = budget - sums[fixed]
+        back = new
+        while back > fixed and sums[new] - sums[back - 1] < min(history, room - sizes[new]):
+            back -= 1
+        if back > fixed and sums[new] - sums[back - 1] == min(history, room - sizes[new]):
+            back -= 1
+        end = new + 1
+        while end < n and sums[end + 1] - sums[back] <= room:
+            end += 1
+        made.append((new, fixed + new - back, fixed + end - back))
+        new = end
+    return made
+
+
+@given(st.lists(st.integers(8, 90), max_size=40), st.booleans(), st.integers(1, 200), st.integers(0, 100))
+def test_streamed_windows_equal_those_of_the_whole_conversation(sizes, system, budget, history):
+    roles = ["system" if system and i == 0 else "assistant" for i in range(len(sizes))]
+    made = chat.stream(((r, f"t{i}", n) for i, (r, n) in enumerate(zip(roles, sizes))), budget, history)
+    assert [(w.first_turn, w.repeated, w.n_turns) for w in made] == whole_conversation(roles, sizes, budget, history)
+
+
+def test_a_long_conversation_is_never_held():
+    taken = 0
+
+    def turns():
+        nonlocal taken
+        for i in range(200_000):
+            taken += 1
+            yield ("user", "assistant")[i % 2], "x", 10
+
+    made, seen = chat.stream(turns(), budget=100, history=40), 0
+    for window in made:
+        seen += window.n_turns - window.repeated
+        assert taken - seen <= 12 and len(made.gi_frame.f_locals["held"]) <= 20
+    assert seen == taken == 200_000
