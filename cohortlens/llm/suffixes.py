@@ -1,10 +1,10 @@
-"""Removal of byte strings seen in earlier documents, by a logarithmic family of sparse suffix arrays.
+"""Removal of byte strings seen in earlier documents, by hashed anchors in a logarithmic family of sorted levels.
 
 A string of ``LENGTH`` bytes is reached from its anchor, the smallest ``ANCHOR``-byte gram in it: equal strings have equal
-anchors at equal places, so only suffixes at anchors (7 % of all) are indexed.  Neighbouring strings with one anchor are a
+anchors at equal places, so only places of anchors (7 % of all) are indexed.  Neighbouring strings with one anchor are a
 stretch, and a stretch is one index entry.  Entries are dealt by anchor to tasks.  A task takes its entries in batches of
-rising doc_id: each batch is sorted into a suffix array of its own, merge-scanned against the levels that are already
-there, and levels of equal size merge, so n entries lie in log n levels.  Where stretches share an anchor and differ,
+rising doc_id: each batch is sorted by content hash, looked up in the levels that are already there, and levels of equal
+size merge, so n entries lie in log n levels.  No suffix is sorted, and equal hashes count as equal bytes.  Where stretches share an anchor and differ,
 their single strings go the same way in a second pass, dealt by string.
 """
 
