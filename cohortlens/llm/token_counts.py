@@ -39,12 +39,15 @@ def counted(documents: DataFrame, json_path: str = tokens.JSON_PATH, ranks_path:
 
 
 def provisional(documents: DataFrame, chars_per_token: int = 4) -> DataFrame:
-    """The same rows guessed from n_chars alone, to be revised when the text has been counted."""
+    """The same rows guessed from n_chars alone, to be revised when the text has been counted.
+
+    Documents without doc_id are left to ``revise``, which adds their counts: no later batch could tell whose guess to take back.
+    """
     chars = F.greatest(F.coalesce(F.col("n_chars").cast("long"), F.lit(0)), F.lit(0))
     versions = F.explode(F.array(F.lit(BPE), F.lit(WORDS))).alias("tokenizer")
     rows = documents.select(F.col("doc_id").cast("long"), "source", "lang", versions, chars.alias("chars"))
     guess = F.ceil(F.col("chars") / chars_per_token).cast("long")
-    return rows.select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), guess.alias("tokens"), "chars")
+    return rows.where("doc_id IS NOT NULL").select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), guess.alias("tokens"), "chars")
 
 
 class Rollup:
@@ -69,7 +72,7 @@ class Rollup:
         self._commit(batch_id, self._present(batch_id, doc_ids, -1))
 
     def revise(self, batch_id: int, rows: DataFrame) -> None:
-        """Replace the counts of the documents in ``rows``; documents not known yet are inserted."""
+        """Replace the counts of the documents in ``rows``; documents not known yet and rows without id are inserted."""
         self._commit(batch_id, self._present(batch_id, rows, -1).unionByName(rows))
 
     def totals(self) -> DataFrame:

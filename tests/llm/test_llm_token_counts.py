@@ -73,3 +73,10 @@ def test_edges(spark, rollup):
     assert totals(rollup) == brute([(r[0], r[1], r[2], r[3]) for r in llm_cases.rows()])
     guessed = token_counts.provisional(docs).agg({"tokens": "min", "chars": "min"}).first()
     assert min(guessed) == 0  # null and negative n_chars
+
+
+def test_documents_without_id_are_counted_once(spark, rollup):
+    docs = llm_cases.documents(spark)
+    rollup.insert(1, token_counts.provisional(docs))
+    rollup.revise(2, token_counts.counted(docs))
+    assert totals(rollup) == brute([(r[0], r[1], r[2], r[3]) for r in llm_cases.rows()])
