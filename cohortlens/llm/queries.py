@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, exact, language, minhash, packing, quality, secrets, suffixes
+from . import chat, decontaminate, divergence, exact, language, minhash, packing, quality, secrets, suffixes
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,31 @@ def quality_classifier(table):
 @query("op8_suffix_array_dedup")
 def suffix_array_dedup(table):
     return suffixes.remove_repeats(table("documents"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    found AS (SELECT lang, source, r, unnest(terms) AS term FROM texts),
+    kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+    groups AS (SELECT DISTINCT lang, source FROM texts),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+    filled AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+    shares AS (SELECT *, 1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p FROM filled WINDOW g AS (PARTITION BY lang, source)),
+    langs AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM filled GROUP BY ALL),
+    whole AS (SELECT *, 1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS q FROM langs WINDOW g AS (PARTITION BY lang)),
+    distances AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0)::BIGINT AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares JOIN whole USING (lang, term)
+      WHERE shares.n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+)
+def source_divergence(table):
+    return divergence.divergence(table("documents"))
