@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, divergence, exact, language, minhash, packing, quality, secrets, suffixes
+from . import chat, decontaminate, divergence, exact, language, minhash, packing, quality, secrets, suffixes, topk
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,20 @@ def suffix_array_dedup(table):
     return suffixes.remove_repeats(table("documents"))
 
 
+@query(
+    "op12_exact_topk",
+    """WITH taken AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, lambda x: isnan(x::DOUBLE) OR isinf(x::DOUBLE))) = 0),
+    scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM taken q JOIN taken c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+)
+def exact_topk(table):
+    return topk.top_products(table("embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query(
     "op13_source_divergence",
     r"""WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
