@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, decontaminate, divergence, exact, language, minhash, packing, quality, secrets, suffixes, topk
+from . import alignment, chat, decontaminate, divergence, exact, language, minhash, packing, quality, secrets, suffixes, topk
 from . import token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,14 @@ def suffix_array_dedup(table):
     return suffixes.remove_repeats(table("documents"))
 
 
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(table):
+    documents = table("documents")
+    pairs = alignment.pair_counts(documents)
+    rare = pairs.count() > alignment.HEAD_PAIRS
+    return alignment.with_tail(alignment.digest(alignment.grouped(documents, pairs)), pairs, rare)
+
+
 @query(
     "op12_exact_topk",
     """WITH taken AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
