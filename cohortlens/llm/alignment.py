@@ -1,9 +1,9 @@
 """Tokens of two tokenizers over the same texts, aligned by their bytes, and how often their ids are linked corpus-wide.
 
-Texts are cut where neither tokenizer can join (a single space or line feed between other characters), so a piece that was
-seen before is not aligned again.  A task aligns all its new pieces in one go: intervals of all tokens of both tokenizers
-are sorted by start, a group ends where the next start reaches the running maximum of the ends, and the overlaps inside
-groups are expanded to links.
+Texts are cut where neither tokenizer can join (a single space or line feed between other characters).  A task takes some
+megabytes of text at once and aligns all their distinct pieces in one go: intervals of all tokens of both tokenizers are
+sorted by start, a group ends where the next start reaches the running maximum of the ends, and the overlaps inside groups
+are expanded to links.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,13 +29,13 @@ from . import texts
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")  # both must be readable on every executor
 MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
 SLICE_BYTES = 2 * 1024 * 1024  # text aligned in one go
-CACHE_PIECES = 60_000  # pieces a task remembers; beyond it the memory starts anew
+ENCODED = 50_000  # pieces the model is given at once
 HELD_PAIRS = 1_000_000  # id pairs a task counts before it passes them on
 HEAD_PAIRS = 1_000_000  # most frequent id pairs sent to all tasks; the others are looked up by a join
 
 _ODD = r"[ \n][ \n]|^ ?$|[ \n]$|[\x00\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = re.compile(r"(?<=\S) (?=\S)")  # \S is narrower here than for either tokenizer, so a cut is always safe
-_WORD = re.compile(r" ?\S+")
+_SHAPE = r"[\x00\t\n\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|. |^ ?$"  # pieces that are no words
 
 
 def coalesce(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +68,14 @@ def _gather(blob: np.ndarray, widths: np.ndarray, index: np.ndarray) -> np.ndarr
 
 
 class Slice:
-    """Texts cut into pieces: ``entries`` of the distinct pieces, their numbers in text order, pieces per text (none if invalid)."""
+    """Texts cut into pieces: what is known of the distinct pieces, their numbers in text order, pieces per text (none if invalid).
 
-    def __init__(self, entries: list[tuple], index: np.ndarray, counts: np.ndarray):
-        self.entries, self.index, self.counts = entries, index, counts
+    ``runs`` holds, for each of ``A_IDS`` to ``KEYS``, the values of all distinct pieces one after the other, and how many
+    each piece has.
+    """
 
-    def runs(self, field: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-        """What a field holds for all distinct pieces, and how many items per piece."""
-        items = [e[field] for e in self.entries]
-        size = np.dtype(dtype).itemsize
-        return np.frombuffer(b"".join(items), dtype), np.fromiter(map(len, items), np.int64, len(items)) // size
+    def __init__(self, runs: list[tuple[np.ndarray, np.ndarray]], index: np.ndarray, counts: np.ndarray):
+        self.runs, self.index, self.counts = runs, index, counts
 
     def per_text(self, per_piece: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(per_piece[self.index])))
@@ -88,20 +87,20 @@ class Slice:
 
     def lists(self, field: int) -> pa.ListArray:
         """The ids of every text."""
-        blob, widths = self.runs(field, "<i4")
-        return pa.ListArray.from_arrays(pa.array(self.offsets(widths)), pa.array(_gather(blob, widths, self.index)))
+        values, widths = self.runs[field]
+        return pa.ListArray.from_arrays(pa.array(self.offsets(widths)), pa.array(_gather(values, widths, self.index).astype(np.int32)))
 
     def ends(self, field: int, tokens: int) -> pa.ListArray:
         """Where groups end, in tokens of the text."""
-        blob, widths = self.runs(field, "<i4")
-        n = self.runs(tokens, "<i4")[1]
-        before = np.cumsum(n[self.index]) - n[self.index]
-        text = np.repeat(np.cumsum(self.per_text(n)) - self.per_text(n), self.counts)
-        values = _gather(blob, widths, self.index) + np.repeat(before - text, widths[self.index])
+        values, widths = self.runs[field]
+        n = self.runs[tokens][1]
+        before, own = np.cumsum(n[self.index]) - n[self.index], self.per_text(n)
+        text = np.repeat(np.cumsum(own) - own, self.counts)
+        values = _gather(values, widths, self.index) + np.repeat(before - text, widths[self.index])
         return pa.ListArray.from_arrays(pa.array(self.offsets(widths)), pa.array(values.astype(np.int32)))
 
 
-A_IDS, B_IDS, A_ENDS, B_ENDS, KEYS, VALID = range(6)  # what is remembered of a piece
+A_IDS, B_IDS, A_ENDS, B_ENDS, KEYS = range(5)  # what is known of a piece
 
 
 class Aligner:
@@ -121,7 +120,6 @@ class Aligner:
         self._lengths = [np.array(list(map(len, table)), np.int64) for table in (self._bytes_a, self._bytes_b)]
         self._line_feed = self._a.encode_single_token("\n")
         self._lead = self._b.encode("\n")  # the model begins with a space of its own; a line feed keeps it from the piece
-        self._known: dict[str, tuple] = {}
 
     def slices(self, column: pa.Array) -> Iterator[tuple[int, Slice]]:
         """Texts in order, as many at once as ``SLICE_BYTES`` holds: how many, and their pieces."""
@@ -153,61 +151,68 @@ class Aligner:
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         index, counts = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds)
         distinct = pieces.dictionary.to_pylist()
+        words = pc.invert(pc.match_substring_regex(pieces.dictionary, _SHAPE)).to_pylist()
         for row, text in sorted(uncut.items(), reverse=True):  # such a text has one empty piece so far
             index[bounds[row]] = len(distinct)
             distinct.append(text)
-        entries = self._entries(distinct)
-        valid = np.fromiter((e[VALID] for e in entries), bool, len(entries))
+            words.append(False)
+        valid, runs = self._align(distinct, np.array(words, bool))
         bad = np.concatenate(([0], np.cumsum(~valid[index])))
         sound = bad[bounds[1:]] == bad[bounds[:-1]]
-        return Slice(entries, index[np.repeat(sound, counts)], np.where(sound, counts, 0))
-
-    def _entries(self, pieces: list[str]) -> list[tuple]:
-        if len(self._known) > CACHE_PIECES:
-            self._known.clear()
-        new = [p for p in pieces if p not in self._known]
-        if new:
-            self._known.update(zip(new, self._align(new), strict=True))
-        return [self._known[p] for p in pieces]
-
-    def _ids_a(self, pieces: list[str]) -> list[list[int]]:
-        """Ids by the first tokenizer: one call over all words, a line each, and one for every piece of another shape."""
-        lines = [k for k, p in enumerate(pieces) if _WORD.fullmatch(p)]
-        ids = self._a.encode_ordinary("\n".join([pieces[k] for k in lines]))
-        cuts = [-1, *np.flatnonzero(np.array(ids, np.int64) == self._line_feed).tolist(), len(ids)]
-        found: list = [None] * len(pieces)
-        for k, x, y in zip(lines, cuts[:-1], cuts[1:]):
-            found[k] = ids[x + 1 : y]
-        return [self._a.encode_ordinary(p) if f is None else f for p, f in zip(pieces, found)]
-
-    def _align(self, pieces: list[str]) -> list[tuple]:
-        ids_a = self._ids_a(pieces)
-        ids_b = self._b.encode(["\n" + p for p in pieces], num_threads=1)
-        lead, joined = len(self._lead), []
-        for k, piece in enumerate(pieces):
-            if ids_b[k][:lead] != self._lead:
+        return Slice(runs, index[np.repeat(sound, counts)], np.where(sound, counts, 0))
+
+    def _ids_a(self, pieces: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has: one call over all words, a line each, one for every piece of another shape."""
+        at = np.flatnonzero(words)
+        ids = self._a.encode_to_numpy("\n".join([pieces[k] for k in at]), disallowed_special=()).astype(np.int64)
+        feeds = ids == self._line_feed
+        n = np.zeros(len(pieces), np.int64)
+        n[at] = np.diff(np.flatnonzero(np.concatenate(([True], feeds, [True])))) - 1 if len(at) else 0
+        others = {int(k): self._a.encode_ordinary(pieces[k]) for k in np.flatnonzero(~words)}
+        n[list(others)] = list(map(len, others.values()))
+        result = np.empty(int(n.sum()), np.int64)
+        result[np.repeat(words, n)] = ids[~feeds]
+        result[np.repeat(~words, n)] = np.fromiter(chain.from_iterable(others.values()), np.int64)
+        return result, n
+
+    def _ids_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids_a`` by the model; ids of the lead before each piece are taken off."""
+        parts, widths, lead = [], [], len(self._lead)
+        for at in range(0, len(pieces), ENCODED):
+            ids = self._b.encode(["\n" + p for p in pieces[at : at + ENCODED]], num_threads=1)
+            widths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.fromiter(chain.from_iterable(ids), np.int64, int(widths[-1].sum())))
+        flat, n = np.concatenate([np.empty(0, np.int64), *parts]), np.concatenate([np.empty(0, np.int64), *widths])
+        keep, first = np.ones(len(flat), bool), np.cumsum(n) - n
+        for k, token in enumerate(self._lead):
+            if (flat[first + k] != token).any():
                 raise ValueError("the model joins a line feed with what follows")
-            ids_b[k] = ids_b[k][lead:]
-            raw = piece.encode()
-            a, b = b"".join(map(self._bytes_a.__getitem__, ids_a[k])), b"".join(map(self._bytes_b.__getitem__, ids_b[k]))
-            joined.append(a == raw and b == raw)
-            if not joined[-1]:
-                ids_a[k] = ids_b[k] = []
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for row in ids for i in row], np.int64) for ids in (ids_a, ids_b))
+            keep[first + k] = False
+        return flat[keep], n - lead
+
+    def _align(self, pieces: list[str], words: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which pieces both tokenizers give back byte by byte, and ids, group ends and links of all pieces."""
+        (a, n_a), (b, n_b) = self._ids_a(pieces, words), self._ids_b(pieces)
+        raw = list(map(str.encode, pieces))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        valid = np.ones(len(pieces), bool)
+        for ids, n, table, lengths in ((a, n_a, self._bytes_a, self._lengths[0]), (b, n_b, self._bytes_b, self._lengths[1])):
+            piece = np.repeat(np.arange(len(pieces)), n)
+            valid &= np.bincount(piece, lengths[ids], len(pieces)).astype(np.int64) == sizes
+            if b"".join(map(table.__getitem__, ids.tolist())) != b"".join(raw):  # only then piece by piece
+                cuts = np.concatenate(([0], np.cumsum(n))).tolist()
+                listed = ids.tolist()
+                valid &= [b"".join(map(table.__getitem__, listed[x:y])) == r for x, y, r in zip(cuts[:-1], cuts[1:], raw)]
+        if not valid.all():
+            a, b = a[np.repeat(valid, n_a)], b[np.repeat(valid, n_b)]
+            n_a, n_b = np.where(valid, n_a, 0), np.where(valid, n_b, 0)
         group_a, group_b, left, right = coalesce(np.cumsum(self._lengths[0][a]), np.cumsum(self._lengths[1][b]))
         first = np.flatnonzero(np.diff(group_a, prepend=-1))
         piece = np.repeat(np.arange(len(pieces)), n_a)
         n_groups, n_links = np.bincount(piece[first], minlength=len(pieces)), np.bincount(piece[left], minlength=len(pieces))
         total = int(n_groups.sum())
         ends = [np.cumsum(np.bincount(g, minlength=total)) - np.repeat(np.cumsum(n) - n, n_groups) for g, n in ((group_a, n_a), (group_b, n_b))]
-        keys = a[left] * self.size_b + b[right]
-        columns = []
-        for values, widths, dtype in ((a, n_a, "<i4"), (b, n_b, "<i4"), (ends[0], n_groups, "<i4"), (ends[1], n_groups, "<i4"), (keys, n_links, "<i8")):
-            blob, size = values.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-            cuts = np.concatenate(([0], np.cumsum(widths) * size)).tolist()
-            columns.append([blob[x:y] for x, y in zip(cuts[:-1], cuts[1:])])
-        return list(zip(*columns, joined))
+        return valid, [(a, n_a), (b, n_b), (ends[0], n_groups), (ends[1], n_groups), (a[left] * self.size_b + b[right], n_links)]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -239,10 +244,10 @@ def pair_counts(documents: DataFrame, ranks_path: str = RANKS_PATH, model_path:
 
         for batch in batches:
             for _, part in aligner(ranks_path, model_path).slices(batch.column(0)):
-                blob, widths = part.runs(KEYS, "<i8")
-                keys.append(blob)
+                links, widths = part.runs[KEYS]
+                keys.append(links)
                 counts.append(np.repeat(np.bincount(part.index, minlength=len(widths)), widths))
-                held += len(blob)
+                held += len(links)
                 if held > HELD_PAIRS:
                     distinct, total = merged()
                     keys, counts, held = [distinct], [total], len(distinct)
@@ -279,7 +284,7 @@ def grouped(documents: DataFrame, pairs: DataFrame, head_pairs: int = HEAD_PAIRS
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         at = 0
         for rows, part in aligner(ranks_path, model_path).slices(batch.column(1)):
-            keys, widths = part.runs(KEYS, "<i8")
+            keys, widths = part.runs[KEYS]
             place = np.minimum(np.searchsorted(sent.value["key"], keys), max(len(sent.value["key"]) - 1, 0))
             known = sent.value["key"][place] == keys if len(sent.value["key"]) else np.zeros(len(keys), bool)
             piece = np.repeat(np.arange(len(widths)), widths)

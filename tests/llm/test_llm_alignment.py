@@ -114,7 +114,7 @@ def test_hard_texts_and_rare_pairs(spark, tools, monkeypatch):
     for limit in (alignment.HEAD_PAIRS, 20, 0):
         got = alignment.with_tail(alignment.digest(alignment.grouped(docs, pairs, limit)), pairs, pairs.count() > limit)
         assert sorted((tuple(r) for r in got.select(*COLUMNS).collect()), key=str) == want
-    for name, value in (("SLICE_BYTES", 50), ("CACHE_PIECES", 3), ("HELD_PAIRS", 5)):
+    for name, value in (("SLICE_BYTES", 50), ("ENCODED", 3), ("HELD_PAIRS", 5)):
         monkeypatch.setattr(alignment, name, value)
     pairs = alignment.pair_counts(docs)
     got = alignment.digest(alignment.grouped(docs, pairs)).drop("tail")
