@@ -28,7 +28,7 @@ from . import texts
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")  # both must be readable on every executor
 MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
-SLICE_BYTES = 2 * 1024 * 1024  # text aligned in one go
+SLICE_BYTES = 4 * 1024 * 1024  # text aligned in one go
 ENCODED = 50_000  # pieces the model is given at once
 HELD_PAIRS = 1_000_000  # id pairs a task counts before it passes them on
 HEAD_PAIRS = 1_000_000  # most frequent id pairs sent to all tasks; the others are looked up by a join
