@@ -1,13 +1,14 @@
 """Centroid stability by bootstrap, null calibration of scores, and the model audit row.
 
-Draws are functions of md5(seed | ...), not of a generator's state: any engine and any partitioning gives the same ones.
+Draws are functions of the seed and their place, not of a generator's state: any engine and any partitioning gives the same ones.
 They therefore differ from the stream of a numpy generator with the same seed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -34,9 +35,9 @@ def draw(*parts) -> Column:
 
 
 def unit_templates(items: DataFrame, by: list[str], subject: str | None, vector: str = "embedding") -> DataFrame:
-    """Bootstrap units: normalised subject means if ``subject`` is given, else the items themselves."""
+    """Bootstrap units: normalised subject means if ``subject`` is given, else the items themselves; null vectors are none."""
     if subject is None:
-        return items.select(*by, F.col("item_id").cast("string").alias("unit"), vec.as_vector(vector).alias("template"))
+        return items.select(*by, F.col("item_id").cast("string").alias("unit"), vec.as_vector(vector).alias("template")).where("template IS NOT NULL")
     means = mean_vectors(items, [*by, subject], vector, "template")
     return means.select(*by, F.col(subject).cast("string").alias("unit"), vec.l2_normalise("template").alias("template"))
 
@@ -47,70 +48,126 @@ def stability_band(mean_cosine: Column, units: Column) -> Column:
     )
 
 
-def resample_weights(indexed: DataFrame, by: list[str], resamples: int, seed: int) -> DataFrame:
-    """(by, resample, index, weight): how often each unit is drawn in each resample.
-
-    Every unit row is one slot of every resample, so the draws are spread like the units; repeated draws of one unit are
-    counted before anything is joined.
-    """
-    slots = indexed.select(*by, "index", "units", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    picked = slots.withColumn("pick", draw(F.lit(seed), F.col("resample"), F.col("index")) % F.col("units"))
-    return picked.groupBy(*by, "resample", F.col("pick").alias("index")).agg(F.count(F.lit(1)).alias("weight"))
+BUCKET_UNITS = 4096  # units of a bucket, about; a bucket is one task's work at a time
+_U = np.uint64
 
 
-_FLUSH_BYTES = 64 * 1024 * 1024
+def words(seed: int, resample, node, count) -> np.ndarray:
+    """64 random bits for every (resample, node, count): one round of splitmix64 over their weighted sum."""
+    parts = [np.asarray(x).astype(_U) for x in (resample, node, count)]
+    factors = [_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15)]
+    x = sum(part * factor for part, factor in zip(parts, factors)) + _U(seed) * _U(0xA0761D6478BD642F)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _weighted_sums(by: list[str], resamples: int):
-    """Per task: sums[resample] += weight * template as one matrix product per Arrow batch and group."""
+_SMALL_FACTORIALS = np.array([math.lgamma(k + 1.0) for k in range(64)])
 
-    def run(frames):
-        sums: dict[tuple, np.ndarray] = {}
 
-        def drain():
-            for key, total in sums.items():
-                rows = pd.DataFrame([key] * resamples, columns=by) if by else pd.DataFrame(index=range(resamples))
-                yield rows.assign(resample=range(resamples), total=list(total))
-            sums.clear()
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    big = np.maximum(x, 64.0)
+    stirling = big * np.log(big) - big + 0.5 * np.log(2 * np.pi * big) + 1 / (12 * big) - 1 / (360 * big**3) + 1 / (1260 * big**5)
+    return np.where(x < 64, _SMALL_FACTORIALS[np.minimum(x, 63).astype(int)], stirling)
 
-        for frame in frames:
-            groups = frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]
-            for key, part in groups:
-                templates = np.stack(part["template"].to_list())
-                weights = np.zeros((len(part), resamples))
-                for row, (drawn, times) in enumerate(zip(part["resamples"], part["weights"])):
-                    weights[row, drawn] = times
-                key = key if isinstance(key, tuple) else (key,)
-                total = sums.setdefault(key, np.zeros((resamples, templates.shape[1])))
-                total += weights.T @ templates
-            if sum(t.nbytes for t in sums.values()) > _FLUSH_BYTES:
-                yield from drain()
-        yield from drain()
 
-    return run
+def binomial(draws: np.ndarray, share: float, uniform: np.ndarray) -> np.ndarray:
+    """How many of ``draws`` fall to a side that holds ``share`` of the units: the distribution inverted at ``uniform``.
 
-
-def resampled_cosines(units: DataFrame, by: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
+    Only counts within twelve standard deviations are looked at; what lies beyond is less likely than a uniform number can tell.
+    """
+    if share in (0.0, 1.0):
+        return draws * int(share)
+    spread = 12 * np.sqrt(draws * share * (1 - share)) + 30
+    low = np.maximum(np.floor(draws * share - spread), 0)
+    k = low[:, None] + np.arange(int(2 * spread.max()) + 2)
+    left = draws[:, None] - k
+    inside = left >= 0
+    left = np.maximum(left, 0)
+    chance = _log_factorial(draws[:, None].astype(float)) - _log_factorial(k) - _log_factorial(left)
+    chance = np.where(inside, np.exp(chance + k * math.log(share) + left * math.log1p(-share)), 0.0)
+    return np.minimum((low + (np.cumsum(chance, axis=1) < uniform[:, None]).sum(axis=1)).astype(np.int64), draws)
+
+
+def bucket_draws(sizes: DataFrame, by: list[str], bits: int, resamples: int, seed: int) -> DataFrame:
+    """(by, __bucket, draws): how many draws of each resample fall into each bucket, a multinomial over the bucket sizes.
+
+    ``sizes`` holds (by, __bucket, n).  A group's draws are as many as its units; at each of ``bits`` levels a node's draws
+    are split in two by a binomial, so there is a row per node with one number per resample, and no row per draw.
+    """
+    sized = lambda level: sizes.groupBy(*by, F.shiftright("__bucket", bits - level).alias("__node")).agg(F.sum("n").alias("n"))
+    nodes = sized(0).select(*by, "__node", F.array_repeat("n", resamples).alias("draws"))
+    schema = T.StructType(
+        [*sizes.select(*by).schema.fields, T.StructField("__node", T.LongType()), T.StructField("draws", T.ArrayType(T.LongType()))]
+    )
+    for level in range(bits):
+        right = F.col("__node").bitwiseAND(1) == 1
+        halves = sized(level + 1).groupBy(*by, F.shiftright("__node", 1).alias("__node")).agg(
+            F.sum(F.when(right, 0).otherwise(F.col("n"))).alias("__left"), F.sum("n").alias("__all")
+        )
+
+        def split(batches, level=level):
+            for batch in batches:
+                node, lower, whole = (batch.column(c).to_numpy() for c in ("__node", "__left", "__all"))
+                draws = batch.column("draws").flatten().to_numpy().reshape(len(node), resamples)
+                rows, names, found = [], [], []
+                for i in range(len(node)):
+                    uniform = (words(seed, np.arange(resamples), (1 << level) + node[i], 0) >> _U(11)) / 2.0**53
+                    taken = binomial(draws[i], lower[i] / whole[i], uniform)
+                    for side, part in ((0, taken), (1, draws[i] - taken)):
+                        if (lower[i], whole[i] - lower[i])[side]:
+                            rows.append(i)
+                            names.append(2 * node[i] + side)
+                            found.append(part)
+                flat = np.concatenate(found) if found else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * resamples), pa.array(flat))
+                kept = batch.select(by).take(pa.array(rows, pa.int64())).columns if by else []
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.int64()), lists], names=schema.names)
+
+        nodes = scale.null_safe_keys(nodes, halves, [*by, "__node"]).select(*by, "__node", "__left", "__all", "draws").mapInArrow(split, schema)
+    return nodes.withColumnRenamed("__node", "__bucket")
+
+
+def resampled_cosines(units: DataFrame, by: list[str], resamples: int = 200, seed: int = 0, bits: int | None = None) -> DataFrame:
     """(by, units, resample, cosine): cosine of every resampled centroid to the full one.
 
-    Units are numbered by key only.  Each template then meets the list of resamples that drew it (at most ``resamples``
-    entries) in one join, and a task reduces its rows to one vector per resample, so neither the drawn rows nor the
-    units x resamples x width values of the textbook form exist.
+    A unit lies in the bucket that the first ``bits`` bits of its hash name (as many as make buckets of about
+    ``BUCKET_UNITS`` units of the largest group, if not given).  A group's draws are first split over its buckets; a task
+    then draws for the units of a bucket, in their order, and adds up one vector per resample as a matrix product.  Units
+    move once, to their bucket; neither drawn rows nor units x resamples rows exist.  ``unit`` names a unit: rows that
+    share it lie in one bucket.
     """
-    names = scale.settle(units, [*by, "unit"])
-    counts = names.groupBy(*by).agg(F.count(F.lit(1)).alias("units"))
-    placed = scale.row_numbers(names, by, [F.col("unit")], "__rn")
-    indexed = attach(placed, counts, by, rows=True).withColumn("index", F.col("__rn") - 1).drop("__rn")
-    weights = resample_weights(indexed, by, resamples, seed)
-    drawn = weights.groupBy(*by, "index").agg(
-        F.collect_list("resample").alias("resamples"), F.collect_list("weight").alias("weights")
-    )
-    keyed = scale.null_safe_keys(indexed, drawn, [*by, "index"]).where(F.col("resamples").isNotNull()).select(*by, "unit", "resamples", "weights")
-    matched = scale.null_safe_keys(units, keyed, [*by, "unit"]).where(F.col("resamples").isNotNull())
+    if bits is None:
+        largest = units.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+        bits = max(0, math.ceil(math.log2(largest / BUCKET_UNITS)))
+    placed = units.withColumn("__bucket", F.shiftright(draw(F.lit("bucket"), F.col("unit")), 4 * _HEX - bits))
+    sizes = scale.cut_lineage(placed.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("n")))
+    counts = sizes.groupBy(*by).agg(F.sum("n").alias("units"))
+    draws = bucket_draws(sizes, by, bits, resamples, seed)
     schema = T.StructType(
         [*units.select(*by).schema.fields, T.StructField("resample", T.IntegerType()), T.StructField("total", vec.VECTOR)]
     )
-    sums = matched.select(*by, "template", "resamples", "weights").mapInPandas(_weighted_sums(by, resamples), schema)
+
+    def add_up(key, members: pa.Table, drawn: pa.Table) -> pa.Table:
+        bucket, members = key[-1].as_py(), members.sort_by("unit")
+        n, times = members.num_rows, drawn.column("draws").combine_chunks().flatten().to_numpy()
+        templates = members.column("template").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        totals = np.zeros((resamples, templates.shape[1]))
+        for at in range(0, resamples, 32):  # draws of some resamples at once
+            part = times[at : at + 32]
+            resample = np.repeat(np.arange(at, at + len(part)), part)
+            count = np.arange(len(resample)) - np.repeat(np.cumsum(part) - part, part)
+            picked = ((words(seed, resample, (1 << bits) + bucket, count) >> _U(11)) % _U(n)).astype(np.int64)
+            weights = np.bincount((resample - at) * n + picked, minlength=len(part) * n).reshape(len(part), n)
+            totals[at : at + len(part)] = weights @ templates
+        keys = [pa.array([k.as_py()] * resamples, k.type) for k in key[:-1]]
+        return pa.Table.from_arrays(
+            [*keys, pa.array(np.arange(resamples, dtype=np.int32)), vec.list_array(totals.ravel(), np.arange(resamples + 1) * templates.shape[1])],
+            names=schema.names,
+        )
+
+    members = placed.select(*by, "__bucket", "unit", "template").groupBy(*by, "__bucket")
+    sums = members.cogroup(draws.groupBy(*by, "__bucket")).applyInArrow(add_up, schema)
     centres = sums.groupBy(*by, "resample").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("__centre"))
     full = mean_vectors(units, by, "template", "__full")
     joined = attach(attach(centres, full, by), counts, by)
@@ -118,7 +175,8 @@ def resampled_cosines(units: DataFrame, by: list[str], resamples: int = 200, see
 
 
 def centroid_stability(
-    items: DataFrame, by: list[str], subject: str | None = None, resamples: int = 200, ci: float = 0.95, seed: int = 0
+    items: DataFrame, by: list[str], subject: str | None = None, resamples: int = 200, ci: float = 0.95, seed: int = 0,
+    bits: int | None = None,
 ) -> DataFrame:
     """Bootstrap self-similarity of the centroid per group: mean, interval, spread and band.
 
@@ -127,7 +185,7 @@ def centroid_stability(
     if resamples < 1 or not 0.0 < ci < 1.0:
         raise ValueError("resamples must be positive and ci between 0 and 1")
     units = unit_templates(items, by, subject)
-    cosines = scale.settle(resampled_cosines(units, by, resamples, seed))
+    cosines = scale.settle(resampled_cosines(units, by, resamples, seed, bits))
     stats = cosines.groupBy(*by, "units").agg(F.avg("cosine").alias("__mean"), F.stddev_pop("cosine").alias("__std"))
     limits = scale.exact_percentiles(cosines, by, "cosine", {"__low": (1 - ci) / 2, "__high": (1 + ci) / 2})
     joined = attach(stats, limits, by)

@@ -13,21 +13,48 @@ from .score_queries import scored
 from .vector_queries import items, long_vector
 
 RESAMPLES = 200
+BITS = 3  # so that a few hundred units lie in several buckets
 
 
 def _hash(*parts):
     return "('0x' || substr(md5(" + " || '|' || ".join(f"cast({p} AS string)" for p in parts) + "), 1, 13))::BIGINT"
 
 
+def _word(resample, node, count, seed=0):
+    """Select items that end in ``word``, 64 random bits of (resample, node, count)."""
+    wrap = "18446744073709551616::UHUGEINT"
+    total = " + ".join(f"{x}::UHUGEINT * {f}::UHUGEINT" for x, f in ((resample, 0x9FB21C651E98DF25), (node, 0xD6E8FEB86659FD93), (count, 0x9E3779B97F4A7C15), (seed, 0xA0761D6478BD642F)))
+    return f"""({total}) % {wrap} AS w0, (xor(w0, w0 >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {wrap} AS w1,
+  (xor(w1, w1 >> 27) * {0x94D049BB133111EB}::UHUGEINT) % {wrap} AS w2, xor(w2, w2 >> 31) AS word"""
+
+
 def stability_sql(units, keys, group):
-    """Bootstrap over ``units`` (keys, unit, v): resampled cosines as ``cosines``."""
-    on = " AND ".join(["i.ix = w.ix", *[f"i.{k} = w.{k}" for k in group]])
-    part = f"PARTITION BY {', '.join(group)}" if group else ""
+    """Bootstrap over ``units`` (keys, unit, v): resampled cosines as ``cosines``.
+
+    Draws are split over 2^BITS buckets level by level, each by a binomial found in its summed probabilities.
+    """
+    same = lambda a, b, *more: " AND ".join(f"{a}.{k} = {b}.{k}" for k in [*group, *more]) or "true"
+    part = lambda *more: f"PARTITION BY {', '.join([*group, *more])}" if group or more else ""
     keyed = "".join(f"i.{k}, " for k in group)
-    full_on = " AND ".join([f"c.{k} = f.{k}" for k in group]) or "true"
-    return f"""ix AS (SELECT {keys} v, row_number() OVER ({part} ORDER BY unit) - 1 AS ix, count(*) OVER ({part}) AS n FROM ({units})),
-wt AS (SELECT {keys} rep, {_hash(0, 'rep', 'ix')} % n AS ix, count(*) AS w FROM (SELECT *, unnest(range({RESAMPLES})) AS rep FROM ix) GROUP BY ALL),
-wpos AS (SELECT {keyed} w.rep, i.n, w.w, unnest(i.v) AS x, generate_subscripts(i.v, 1) AS pos FROM ix i JOIN wt w ON {on}),
+    full_on = same("c", "f")
+    levels = "".join(
+        f"""s{x} AS (SELECT {keys} bucket >> {BITS - x} AS node, count_if((bucket >> {BITS - x - 1}) & 1 = 0)::BIGINT AS low, count(*) AS whole FROM ix GROUP BY ALL),
+u{x} AS (SELECT i.*, s.low, s.whole, CASE WHEN low IN (0, whole) THEN 0.5e0 ELSE low / whole END AS p, {_word('i.rep', f'({2 ** x} + i.node)', 0)}, (word >> 11)::DOUBLE / {2 ** 53}e0 AS u FROM d{x} i JOIN s{x} s ON {same('i', 's', 'node')}),
+k{x} AS (SELECT {keys} rep, node, m, low, whole, u, p, unnest(range(m + 1)) AS k FROM u{x}),
+c{x} AS (SELECT *, sum(exp(lgamma(m + 1e0) - lgamma(k + 1e0) - lgamma(m - k + 1e0) + k * ln(p) + (m - k) * ln(1 - p))) OVER ({part('rep', 'node')} ORDER BY k) AS reached FROM k{x}),
+t{x} AS (SELECT {keys} rep, node, m, CASE WHEN low = 0 THEN 0 WHEN low = whole THEN m ELSE count_if(reached < u)::BIGINT END AS taken FROM c{x} GROUP BY {keys} rep, node, m, low, whole),
+d{x + 1} AS (SELECT {keys} rep, 2 * node AS node, taken AS m FROM t{x} UNION ALL SELECT {keys} rep, 2 * node + 1, m - taken FROM t{x}),
+"""
+        for x in range(BITS)
+    )
+    return f"""un AS (SELECT *, {_hash("'bucket'", 'unit')} >> {52 - BITS} AS bucket FROM ({units})),
+ix AS (SELECT {keys} v, bucket, row_number() OVER ({part('bucket')} ORDER BY unit) - 1 AS ix, count(*) OVER ({part('bucket')}) AS nb, count(*) OVER ({part()}) AS n FROM un),
+d0 AS (SELECT DISTINCT {keys} unnest(range({RESAMPLES})) AS rep, 0 AS node, n AS m FROM ix),
+{levels}sz AS (SELECT DISTINCT {keys} bucket, nb FROM ix),
+dr AS (SELECT {keyed} i.rep, i.node AS bucket, nb, unnest(range(m)) AS j FROM d{BITS} i JOIN sz ON {same('i', 'sz')} AND i.node = sz.bucket),
+pk AS (SELECT *, {_word('rep', f'({2 ** BITS} + bucket)', 'j')} FROM dr),
+wt AS (SELECT {keys} rep, bucket, (word >> 11)::BIGINT % nb AS ix, count(*) AS w FROM pk GROUP BY ALL),
+wpos AS (SELECT {keyed} w.rep, i.n, w.w, unnest(i.v) AS x, generate_subscripts(i.v, 1) AS pos FROM ix i JOIN wt w ON {same('i', 'w', 'bucket', 'ix')}),
 centre AS (SELECT {keys} rep, n, list(m ORDER BY pos) AS c FROM (SELECT {keys} rep, n, pos, sum(w * x) / sum(w) AS m FROM wpos GROUP BY ALL) GROUP BY ALL),
 whole AS (SELECT {keys} list(m ORDER BY pos) AS f FROM (SELECT {keys} pos, avg(x) AS m FROM ({positions('ix', keys)}) GROUP BY ALL) GROUP BY ALL),
 cosines AS (SELECT {''.join(f'c.{k}, ' for k in group)} n, {cos('c', 'f')} AS cosine FROM centre c JOIN whole f ON {full_on}),
@@ -40,12 +67,12 @@ _STAB = "unit_count, resamples, self_cosine_mean, self_cosine_low, self_cosine_h
 
 @query("d13_stability_by_run", f"WITH {ITEM_ROWS}, {stability_sql('SELECT run, cast(item_id AS string) AS unit, v FROM items', 'run,', ['run'])} SELECT run, 'item' AS unit, {_STAB}, {BAND} AS band FROM stab")
 def d13(t):
-    return rs.centroid_stability(items(t), ["run"], resamples=RESAMPLES)
+    return rs.centroid_stability(items(t), ["run"], resamples=RESAMPLES, bits=BITS)
 
 
 @query("d13_stability_of_subjects", f"WITH {ITEM_ROWS}, subj AS ({mean_only('items', 'subject,')}), {stability_sql('SELECT subject AS unit, v FROM subj', '', [])} SELECT 'subject' AS unit, {_STAB}, {BAND} AS band FROM stab")
 def d13_subjects(t):
-    return rs.centroid_stability(items(t), [], subject="subject", resamples=RESAMPLES)
+    return rs.centroid_stability(items(t), [], subject="subject", resamples=RESAMPLES, bits=BITS)
 
 
 @query("d14_stability_band", f"WITH {ITEM_ROWS} SELECT item_id, CASE WHEN item_id % 5 < 2 THEN 'insufficient_units' WHEN 1 - abs(v[1]) / 4 >= 0.99 THEN 'stable' WHEN 1 - abs(v[1]) / 4 >= 0.95 THEN 'moderate' ELSE 'unstable' END AS band FROM items")
@@ -60,7 +87,7 @@ AUDIT = f"{ITEM_ROWS}, cen AS ({model('items', 'cohort,')}), sizes AS (SELECT co
 @query("d15_model_audit", f"WITH {AUDIT}, d AS (SELECT *, list_transform(list_zip(mean_v, med_v), lambda z: abs(z[1] - z[2])) AS ad FROM cen) SELECT d.cohort, item_count, len(mean_v) AS embedding_dim, round(sqrt(list_inner_product(mean_v, mean_v)), 6) AS mean_l2_norm, round(sqrt(list_inner_product(med_v, med_v)), 6) AS median_l2_norm, round({cos('mean_v', 'med_v')}, 6) AS mean_median_cosine, round(list_distance(mean_v, med_v), 6) AS mean_median_euclidean, round(list_avg(ad), 6) AS mean_median_mean_abs_delta, round(list_max(ad), 6) AS mean_median_max_abs_delta, unit_count, self_cosine_mean, {BAND} AS band FROM d JOIN sizes USING (cohort) JOIN stab USING (cohort)")
 def d15(t):
     rows = items(t)
-    audit = rs.model_audit(cen.centroid_models(rows, ["cohort"]), rs.centroid_stability(rows, ["cohort"], resamples=RESAMPLES), ["cohort"])
+    audit = rs.model_audit(cen.centroid_models(rows, ["cohort"]), rs.centroid_stability(rows, ["cohort"], resamples=RESAMPLES, bits=BITS), ["cohort"])
     return audit.drop("mean_digest", "median_digest")
 
 

@@ -78,20 +78,50 @@ def test_stability_cases(spark):
     assert (single["band"], single["self_cosine_mean"], single["resamples"]) == ("insufficient_units", 1.0, 0)
 
 
-def test_bootstrap_matches_a_direct_computation(spark):
-    import hashlib
+def random_word(seed, resample, node, count):
+    """The draws' 64 random bits in whole numbers of any size."""
+    x = resample * 0x9FB21C651E98DF25 + node * 0xD6E8FEB86659FD93 + count * 0x9E3779B97F4A7C15 + seed * 0xA0761D6478BD642F
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x %= 2**64
+        x = (x ^ (x >> shift)) * factor
+    x %= 2**64
+    return x ^ (x >> 31)
+
 
+def test_bootstrap_matches_a_direct_computation(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(12, 4)) + 1
     items = items_of(spark, [(f"{i:02d}", "s", v.tolist()) for i, v in enumerate(vectors)])
     got = {r["resample"]: r["cosine"] for r in resampling.resampled_cosines(resampling.unit_templates(items, [], None), [], 7, 5).collect()}
     full = vectors.mean(axis=0)
     for b in range(7):
-        picks = [int(hashlib.md5(f"5|{b}|{i}".encode()).hexdigest()[:13], 16) % 12 for i in range(12)]
+        picks = [(random_word(5, b, 1, i) >> 11) % 12 for i in range(12)]
         centre = vectors[picks].mean(axis=0)
         assert got[b] == pytest.approx(centre @ full / np.linalg.norm(centre) / np.linalg.norm(full), abs=1e-12)
 
 
+def test_draws_over_buckets_are_a_multinomial(spark):
+    sizes = spark.createDataFrame([("a", 0, 30), ("a", 1, 10), ("a", 5, 60), (None, 2, 7), (None, 3, 0 + 1)], "g string, __bucket long, n long")
+    rows = {(r["g"], r["__bucket"]): np.array(r["draws"]) for r in resampling.bucket_draws(sizes, ["g"], 3, 2000, 1).collect()}
+    assert set(rows) == {("a", 0), ("a", 1), ("a", 5), (None, 2), (None, 3)}
+    assert (rows["a", 0] + rows["a", 1] + rows["a", 5] == 100).all() and (rows[None, 2] + rows[None, 3] == 8).all()
+    for bucket, share in ((0, 0.3), (1, 0.1), (5, 0.6)):
+        draws = rows["a", bucket]
+        assert abs(draws.mean() - 100 * share) < 0.6 and abs(draws.var() - 100 * share * (1 - share)) < 2.5
+    assert abs(np.cov(rows["a", 0], rows["a", 5])[0, 1] + 100 * 0.3 * 0.6) < 2.5
+
+
+def test_binomial_inverts_the_distribution():
+    for n, share in ((1, 0.5), (9, 0.02), (60, 0.7), (500, 0.31)):
+        chances = [math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+        uniform = np.linspace(0.0005, 0.9995, 333)
+        want = [int((np.cumsum(chances) < u).sum()) for u in uniform]
+        assert resampling.binomial(np.full(333, n), share, uniform).tolist() == want
+    large = resampling.binomial(np.full(2, 10**9), 0.25, np.array([0.5, 0.975]))
+    assert abs(large[0] - 2.5e8) < 3 and abs(large[1] - 2.5e8 - 1.95996 * math.sqrt(10**9 * 0.1875)) < 30
+    assert resampling.binomial(np.array([0, 5]), 1.0, np.array([0.1, 0.2])).tolist() == [0, 5]
+
+
 def test_quality_gate_reasons(spark):
     df = spark.createDataFrame([(1, 0.2, 0.1), (4, 0.2, 0.1), (1, 0.7, 0.1), (1, 0.2, 0.4), (1, 0.01, 0.0), (0, None, None)], "n int, ratio double, off double")
     got = [r[0] for r in df.select(gates.gate_reason(F.col("n"), F.col("ratio"), F.col("off"))).collect()]
