@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scale
 from ..functions.numeric import labels_or, mean_of, pick, r6, rescale
+from .scoring import attach
 
 # Axis names, descriptor names, and per descriptor the bounds of its scale and its default if missing.
 AXES = [
@@ -189,25 +190,28 @@ def _principal_axes(frames):
 
 def principal_axes(rows: DataFrame, by: list[str]) -> DataFrame:
     """PCA per group.  Spark reduces the rows to one covariance per group; only those 8x8 matrices meet numpy."""
-    covariance = axis_covariance(rows, by)
+    covariance = axis_covariance(rows, by).where("item_count > 0")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in covariance.schema if f.name != "covariances"]
     added = ["loadings_1 array<double>", "loadings_2 array<double>", "explained array<double>", "unavailable_reason string"]
     return covariance.mapInPandas(_principal_axes, ", ".join(kept + added))
 
 
 def adaptive_projection(rows: DataFrame, by: list[str], item: str = "item_id") -> DataFrame:
-    """Rows projected on their group's two principal axes, each coordinate scaled by the group's largest magnitude."""
-    axes = scale.small_side(principal_axes(rows, by).where(F.col("unavailable_reason").isNull()))
-    joined = rows.select(*by, item, *AXES).join(axes, by)
+    """Rows projected on their group's two principal axes, each coordinate scaled by the group's largest magnitude.
+
+    Rows of a group without two axes are left out.  A null key is a group like others; without ``by`` all rows are one.
+    """
+    axes = principal_axes(rows, by).where(F.col("unavailable_reason").isNull())
+    joined = attach(rows.select(*by, item, *AXES), axes, by, rows=True).where(F.col("loadings_1").isNotNull())
 
     def coordinate(loadings: str) -> Column:
         terms = [(F.col(a) - F.get("axis_means", F.lit(i))) * F.get(loadings, F.lit(i)) for i, a in enumerate(AXES)]
         return mean_of(*terms) * len(AXES)
 
     raw = joined.select(*by, item, coordinate("loadings_1").alias("__x"), coordinate("loadings_2").alias("__y"))
-    spans = scale.small_side(raw.groupBy(*by).agg(F.max(F.abs("__x")).alias("__sx"), F.max(F.abs("__y")).alias("__sy")))
+    spans = raw.groupBy(*by).agg(F.max(F.abs("__x")).alias("__sx"), F.max(F.abs("__y")).alias("__sy"))
     floor = F.lit(1e-12)
-    return raw.join(spans, by).select(
+    return attach(raw, spans, by, rows=True).select(
         *by, item,
         r6(F.col("__x") / F.greatest("__sx", floor)).alias("adaptive_x"),
         r6(F.col("__y") / F.greatest("__sy", floor)).alias("adaptive_y"),
@@ -217,7 +221,7 @@ def adaptive_projection(rows: DataFrame, by: list[str], item: str = "item_id") -
 def flat_axis_table(rows: DataFrame, projection: DataFrame, keys: list[str]) -> DataFrame:
     """One flat row per item for a CSV sink: labels, lists joined with ``;``, projection left-joined by id."""
     return (
-        rows.join(projection, keys, "left")
+        scale.null_safe_keys(rows, projection, keys)
         .withColumn("presentation_flags", F.array_join("presentation_flags", ";"))
         .withColumn("condition_tags", F.array_join("condition_tags", ";"))
         .select(

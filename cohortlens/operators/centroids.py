@@ -28,7 +28,7 @@ def median_vectors(df: DataFrame, by: list[str], vector: str, name: str) -> Data
 
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     if by:
-        return left.join(right, by)
+        return scale.null_safe_keys(left, right, by)
     return scale.beside(left, right)
 
 
@@ -91,7 +91,8 @@ def subject_vectors(roster: DataFrame, items: DataFrame, subject: str = "subject
         F.count(vector).alias("item_count"), F.count_if(F.col(vector).isNull()).alias("failed_count")
     )
     centroids = mean_and_median(good, [subject], vector, "mean_embedding", "median_embedding", True)
-    joined = roster.select(subject).distinct().join(counts, subject, "left").join(centroids, subject, "left")
+    named = scale.null_safe_keys(roster.select(subject).distinct(), counts, [subject])
+    joined = scale.null_safe_keys(named, centroids, [subject])
     status = (
         F.when(F.col("item_count") > 0, "ok").when(F.col("failed_count") > 0, "failed").otherwise("empty")
     )

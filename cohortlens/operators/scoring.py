@@ -72,7 +72,8 @@ def score_items(items: DataFrame, models: DataFrame, by: list[str] | None = None
     With ``by`` the item is scored against the model of its own group.  The models are stored and measured first: a
     small set is held by the kernel and found by its number, a large one is joined by shuffle.  Without ``by`` there is
     one model (one row, fitted once).  Where the kernel holds the models the scan is map-only.  Vectors travel as stored
-    (float32 stays float32 on the way) and are widened in the kernel.
+    (float32 stays float32 on the way) and are widened in the kernel.  A null key is a group like others; items of a group
+    without a model stay, with null scores.
     """
     if not by:
         model = models.select("mean_embedding", "median_embedding").first()
@@ -81,9 +82,9 @@ def score_items(items: DataFrame, models: DataFrame, by: list[str] | None = None
         return scored.select("*", *[F.col(f"__s.{c}").alias(c) for c in SCORE_COLUMNS]).drop("__s")
     side, pairs = held_models(models, by)
     if pairs is not None:
-        scored = items.join(F.broadcast(side), by).withColumn("__s", _held_model_scores(pairs)(F.col(vector), F.col("__m")))
+        scored = scale.null_safe_keys(items, F.broadcast(side), by).withColumn("__s", _held_model_scores(pairs)(F.col(vector), F.col("__m")))
         return scored.select(*items.columns, *[F.col(f"__s.{c}").alias(c) for c in SCORE_COLUMNS])
-    joined = items.join(side, by)
+    joined = scale.null_safe_keys(items, side, by)
     measured = joined.withColumns(
         {"__a": vec.pair_metrics(vector, "__mean"), "__b": vec.pair_metrics(vector, "__median")}
     )
@@ -259,7 +260,7 @@ def failed_sample(items: DataFrame, by: list[str], reason: str = "reason", limit
         .groupBy(*by)
         .agg(F.array_sort(F.collect_list("path")).alias("failed_paths"))
     )
-    return counts.join(sample, by) if by else attach(counts, sample, by)
+    return attach(counts, sample, by)
 
 
 def split_failures(items: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:

@@ -349,22 +349,31 @@ def _user_info(parents: tuple[str, ...]):
 
     @F.arrow_udf(T.StringType())
     def user_info(documents: pa.Array) -> pa.Array:
-        def search(node):
-            children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
-            if isinstance(node, dict) and "userInfo" in node:
-                return node["userInfo"]
-            return next((hit for hit in map(search, children) if hit is not None), None)
+        def search(state):
+            """The first entry of that name, parents before children and in the order of the text; its own depth is no limit."""
+            waiting = [state]
+            while waiting:
+                node = waiting.pop()
+                if isinstance(node, dict) and "userInfo" in node:
+                    if node["userInfo"] is not None:
+                        return node["userInfo"]
+                elif isinstance(node, (dict, list)):
+                    waiting.extend(reversed(list(node.values() if isinstance(node, dict) else node)))
+            return None
 
         def read(text):
             if not text:
                 return None
             try:
                 state = json.loads(text)
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than the reader goes
                 return _BROKEN
             known = [state.get(parent) for parent in parents] if isinstance(state, dict) else []
             found = next((k["userInfo"] for k in known if isinstance(k, dict) and k.get("userInfo")), None) or search(state)
-            return json.dumps(found, ensure_ascii=False) if found else None
+            try:
+                return json.dumps(found, ensure_ascii=False) if found else None
+            except RecursionError:
+                return _BROKEN
 
         return pa.array(map(read, documents.to_pylist()), pa.string())
 
