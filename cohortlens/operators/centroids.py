@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scale
 from ..functions import vectors as vec
+from ..functions.medians import element_medians
 from ..functions.numeric import r6
 
 
@@ -20,10 +21,7 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str, name: str, extra: li
 
 def median_vectors(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
     """Element-wise exact median per group (midpoint of the middle two)."""
-    values = df.select(*by, F.posexplode(vec.as_vector(vector)).alias("__pos", "__value"))
-    medians = scale.exact_median(values, [*by, "__pos"], "__value", "__median")
-    ordered = F.array_sort(F.collect_list(F.struct("__pos", "__median")))  # one entry per dimension
-    return medians.groupBy(*by).agg(F.transform(ordered, lambda e: e["__median"]).alias(name))
+    return element_medians(df, by, vector, name)
 
 
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
