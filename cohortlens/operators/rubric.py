@@ -13,12 +13,19 @@ MIN_SCORE, MIN_NULL_PERCENTILE, MIN_GAP = 0.35, 0.95, 0.05
 TOP_LIST = 5  # candidates come from a summary's top list
 
 
-def batch_null_review(batches: DataFrame, percentile: str = "best_percentile", minimum: float = MIN_NULL_PERCENTILE) -> DataFrame:
-    """Whether the best score clears the null baseline; unknown without a calibration."""
-    value = F.col(percentile)
+def batch_null_review(
+    batches: DataFrame, percentile: str = "best_percentile", minimum: float = MIN_NULL_PERCENTILE, available: str | None = None
+) -> DataFrame:
+    """Whether the best score clears the null baseline; unknown without a calibration.
+
+    ``available`` names the column that tells whether there is one; then a missing percentile counts as 0 and fails.
+    Without it a percentile is what tells.
+    """
+    there = F.coalesce(F.col(available), F.lit(False)) if available else F.col(percentile).isNotNull()
+    value = F.when(there, F.coalesce(percentile, F.lit(0.0)))
     return batches.withColumns(
         {
-            "null_available": value.isNotNull(),
+            "null_available": there,
             "null_pass": value >= minimum,
             "null_reason": pick(
                 (value.isNull(), "null calibration unavailable"), (value >= minimum, "best centroid score clears null baseline"),
@@ -29,23 +36,27 @@ def batch_null_review(batches: DataFrame, percentile: str = "best_percentile", m
 
 
 def candidate_reviews(candidates: DataFrame, quality: DataFrame, axes: DataFrame, keys: list[str], minimum: float = MIN_SCORE) -> DataFrame:
-    """Three-valued checks per candidate: any failed one rejects, else any unknown one asks for review, else promote."""
-    gate = quality.select(*keys, "qa_pass", F.col("reason").alias("quality_reason"))
-    flags = axes.select(*keys, "presentation_flags")
+    """Three-valued checks per candidate: any failed one rejects, else any unknown one asks for review, else promote.
+
+    A check is unknown where its row is missing, or where the gate row has no result; an axes row without a flag list has
+    no flags.  The reason is the gate row's own, null included.
+    """
+    gate = quality.select(*keys, "qa_pass", F.col("reason").alias("quality_reason"), F.lit(True).alias("__gated"))
+    flags = axes.select(*keys, "presentation_flags", F.lit(True).alias("__seen"))
     joined = candidates.join(gate, keys, "left").join(flags, keys, "left")
     severe = F.array_sort(F.array_intersect(F.coalesce("presentation_flags", F.array().cast("array<string>")), F.array(*map(F.lit, SEVERE_FLAGS))))
     checked = joined.withColumns(
         {
             "score_pass": F.coalesce("centroid_score", F.lit(0.0)) >= minimum,
-            "quality_reason": F.coalesce("quality_reason", F.lit("quality report unavailable")),
+            "quality_reason": F.when(F.col("__gated").isNull(), "quality report unavailable").otherwise(F.col("quality_reason")),
             "severe_flags": severe,
-            "presentation_pass": F.when(F.col("presentation_flags").isNotNull(), F.size(severe) == 0),
+            "presentation_pass": F.when(F.col("__seen"), F.size(severe) == 0),
         }
     )
     names = {"centroid_score": "score_pass", "quality": "qa_pass", "presentation": "presentation_pass"}
     failed = labels(*[(F.col(c) == F.lit(False), n) for n, c in names.items()])
     unknown = F.col("qa_pass").isNull() | F.col("presentation_pass").isNull()
-    return checked.withColumn("failed_checks", failed).withColumn(
+    return checked.drop("__gated", "__seen").withColumn("failed_checks", failed).withColumn(
         "recommendation", pick((F.size("failed_checks") > 0, "reject"), (unknown, "review"), otherwise="promote")
     )
 

@@ -196,18 +196,18 @@ def i6_actions(t):
     return fusion.top_actions(fused(t))
 
 
-@query("g7_cohort_evidence", f"WITH {FUSED}, rc AS (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL), m AS (SELECT * FROM fused WHERE confidence = 'measured') SELECT f.slug, CASE WHEN f.slug = 'c0' THEN 'real_centroid_baseline' WHEN coalesce(n, 0) > 0 THEN 'real_and_generated' ELSE 'hypothesis_and_generated' END AS evidence_type, coalesce(n, 0) AS real_item_count, m.slug IS NOT NULL AS has_generated_score, m.enhancement_score, coalesce(m.quadrant, 'unmeasured') AS quadrant FROM fused f LEFT JOIN rc USING (slug) LEFT JOIN m USING (slug)")
+@query("g7_cohort_evidence", f"WITH {FUSED}, rc AS (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) FILTER (o_totalprice > 300000) AS n FROM orders GROUP BY ALL), m AS (SELECT * FROM fused WHERE confidence = 'measured') SELECT f.slug, CASE WHEN f.slug = 'c0' THEN 'real_centroid_baseline' WHEN coalesce(n, 0) > 0 THEN 'real_and_generated' ELSE 'hypothesis_and_generated' END AS evidence_type, coalesce(n, 0) AS real_item_count, m.slug IS NOT NULL AS has_generated_score, m.enhancement_score, coalesce(m.quadrant, 'unmeasured') AS quadrant FROM fused f LEFT JOIN rc USING (slug) LEFT JOIN m USING (slug)")
 def g7(t):
     return evidence(t)
 
 
 def evidence(t, rows=None):
-    real = t.orders.where("o_totalprice > 300000").groupBy(F.concat(F.lit("c"), "o_custkey").alias("slug")).agg(F.count(F.lit(1)).alias("real_item_count"))
+    real = t.orders.groupBy(F.concat(F.lit("c"), "o_custkey").alias("slug")).agg(F.count_if(F.col("o_totalprice") > 300000).alias("real_item_count"))
     measured = (fused(t) if rows is None else rows).where("confidence = 'measured'")
     return audit.cohort_evidence(cohort_config(t).select("slug"), real, measured, "c0")
 
 
-@query("g7_evidence_totals", f"WITH {FUSED}, rc AS (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL) SELECT count(*) AS cohort_count, count(*) FILTER (slug = 'c0') AS real_centroid_baseline, count(*) FILTER (slug <> 'c0' AND n > 0) AS real_and_generated, count(*) FILTER (slug <> 'c0' AND n IS NULL) AS hypothesis_and_generated, count(*) FILTER (confidence <> 'measured') AS unscored_count, count(DISTINCT quadrant) FILTER (confidence = 'measured') AS unique_quadrants FROM fused LEFT JOIN rc USING (slug)")
+@query("g7_evidence_totals", f"WITH {FUSED}, rc AS (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) FILTER (o_totalprice > 300000) AS n FROM orders GROUP BY ALL) SELECT count(*) AS cohort_count, count(*) FILTER (slug = 'c0') AS real_centroid_baseline, count(*) FILTER (slug <> 'c0' AND n > 0) AS real_and_generated, count(*) FILTER (slug <> 'c0' AND coalesce(n, 0) = 0) AS hypothesis_and_generated, count(*) FILTER (confidence <> 'measured') AS unscored_count, count(DISTINCT quadrant) FILTER (confidence = 'measured') AS unique_quadrants FROM fused LEFT JOIN rc USING (slug)")
 def g7_totals(t):
     return audit.evidence_totals(evidence(t))
 
@@ -289,15 +289,16 @@ def j6_first(t):
     return calibration.regenerate_first(calibrated(t)).select("slug", "rank")
 
 
-@query("j7_cohort_pages", f"""WITH {GAPS}, ev AS (SELECT slug, CASE WHEN slug = 'c0' THEN 'real_centroid_baseline' ELSE 'real_and_generated' END AS evidence_type, n AS real_item_count FROM (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY ALL))
+@query("j7_cohort_pages", f"""WITH {GAPS}, ev AS (SELECT CASE WHEN n > 0 THEN slug ELSE 'old-' || slug END AS slug, CASE WHEN slug = 'c0' THEN 'real_centroid_baseline' ELSE 'real_and_generated' END AS evidence_type, n AS real_item_count FROM (SELECT 'c' || cast(o_custkey AS string) AS slug, count(*) FILTER (o_totalprice > 300000) AS n FROM orders GROUP BY ALL))
 SELECT c.slug, c.enhancement_score, c.confidence, c.segment, c.contrast AS average_contrast, c.priority, coalesce(ev.evidence_type, 'unverified') AS evidence_type, coalesce(ev.real_item_count, 0) AS real_item_count, 'unknown' AS quality_risk, 'assets/' || c.slug || '.png' AS image FROM cal c LEFT JOIN ev USING (slug)""")
 def j7(t):
     rows = scale.settle(fused(t))
+    named = F.when(F.col("real_item_count") > 0, F.col("slug")).otherwise(F.concat(F.lit("old-"), "slug"))  # the others have none
     pages = fusion.cohort_pages(
         rows.select("slug", "enhancement_score", "confidence"),
         cohort_config(t).select("slug", "segment"),
         averages(t).select("slug", F.col("contrast").alias("average_contrast")),
         calibration.add_gaps(rows).select("slug", "priority"),
-        evidence(t, rows).where("real_item_count > 0").select("slug", "evidence_type", "real_item_count"),
+        evidence(t, rows).select(named.alias("slug"), "evidence_type", "real_item_count"),
     )
     return pages

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scale
 from ..functions.numeric import r6
 from ..operators import drift, gates, readiness, rubric, runs
 from ..operators import scoring as sc
@@ -13,12 +14,13 @@ from .score_queries import scored, style_scores
 # Paths as the tools wrote them: relative to a run folder for one score file, absolute and unclean for the other.
 REL = "CASE WHEN item_id % 3 = 0 THEN 'imgs/../out/Item_' ELSE '/Runs/' || run || '//out/./item_' END || cast(item_id AS string) || '.PNG'"
 _ITEM = "'/out/item_' || cast(item_id AS string) || '.png'"
+ELSEWHERE = f"'/elsewhere' || {_ITEM}"
 CLEAN, EVALUATED, AT_WORK = f"'/runs/' || run || {_ITEM}", f"'/runs/' || run || '/evaluation' || {_ITEM}", f"'/work' || {_ITEM}"
 BOTH = f"""{SCORED}, halves AS (SELECT item_id, run, path, v[33:64] AS v FROM items), hc AS ({model('halves')}),
 sty AS (SELECT item_id, run, ({cos('v', 'mean_v')} + {cos('v', 'med_v')}) / 2 AS style_score FROM halves, hc),
-a AS (SELECT item_id, run, {REL} AS path, {CLEAN} AS path_key, CASE WHEN item_id % 3 = 0 THEN {EVALUATED} ELSE {CLEAN} END AS shown, centroid_score FROM scored WHERE item_id % 10 <> 9),
-b AS (SELECT item_id + 1000000 AS item_id, run, {CLEAN} AS path_key, CASE WHEN item_id % 2 = 0 THEN {EVALUATED} ELSE {CLEAN} END AS shown, style_score FROM sty WHERE item_id % 8 <> 7),
-q AS (SELECT run, {CLEAN} AS path_key, item_id % 5 < 2 AS qa_pass, CASE WHEN item_id % 5 < 2 THEN 'single centered face' ELSE 'detected face is off center' END AS reason FROM items WHERE item_id % 6 <> 5)"""
+a AS (SELECT item_id, run, {REL} AS path, {CLEAN} AS path_key, CASE WHEN item_id % 3 = 0 THEN {EVALUATED} ELSE {CLEAN} END AS shown, CASE WHEN item_id % 10 <> 9 THEN centroid_score END AS centroid_score FROM scored),
+b AS (SELECT item_id + 1000000 AS item_id, run, CASE WHEN item_id % 8 = 7 THEN {ELSEWHERE} ELSE {CLEAN} END AS path_key, CASE WHEN item_id % 2 = 0 THEN {EVALUATED} WHEN item_id % 8 = 7 THEN {ELSEWHERE} ELSE {CLEAN} END AS shown, CASE WHEN run <> 'r3' THEN style_score END AS style_score FROM sty),
+q AS (SELECT run, CASE WHEN item_id % 6 = 5 THEN {ELSEWHERE} ELSE {CLEAN} END AS path_key, CASE WHEN run <> 'r2' THEN item_id % 5 < 2 END AS qa_pass, CASE WHEN item_id % 5 < 2 THEN 'single centered face' ELSE 'detected face is off center' END AS reason FROM items)"""
 
 
 def _bases():
@@ -32,22 +34,30 @@ def _rel(every=3):
     return F.concat(F.when(F.col("item_id") % every == 0, "imgs/../out/Item_").otherwise(unclean), F.col("item_id"), F.lit(".PNG"))
 
 
+def _elsewhere():
+    return F.concat(F.lit("/Elsewhere//out/./item_"), F.col("item_id"), F.lit(".PNG"))
+
+
 def score_rows(t):
-    rows = scored(t).where("item_id % 10 <> 9").withColumn("path", _rel())
+    """Every item; one in ten could not be scored."""
+    rows = scored(t).withColumns({"path": _rel(), "centroid_score": F.when(F.col("item_id") % 10 != 9, F.col("centroid_score"))})
     return runs.with_keys(rows.select("item_id", "run", "path", "centroid_score"), _bases())
 
 
 def style_rows(t):
-    """Style scores under other ids, so only the path can match them."""
-    rows = style_scores(t).where("item_id % 8 <> 7").withColumn("path", _rel(2))
+    """Style scores under other ids, so only the path can match them; one in eight lies elsewhere, and run r3 has none."""
+    path = F.when(F.col("item_id") % 8 == 7, _elsewhere()).otherwise(_rel(2))
+    rows = style_scores(t).withColumns({"path": path, "style_score": F.when(F.col("run") != "r3", F.col("style_score"))})
     shifted = rows.withColumn("item_id", F.col("item_id") + 1000000)
     return runs.with_keys(shifted.select("item_id", "run", "path", "style_score"), _bases())
 
 
 def quality_rows(t):
-    ok = F.col("item_id") % 5 < 2
-    rows = t.sql("SELECT vec_id AS item_id, 'r' || cast(vec_id % 4 AS string) AS run FROM {embeddings}").where("item_id % 6 <> 5").withColumn("path", _rel())
-    reason = F.when(ok, "single centered face").otherwise("detected face is off center")
+    """Gate results; one in six lies elsewhere, and run r2 is undecided."""
+    ok = F.when(F.col("run") != "r2", F.col("item_id") % 5 < 2)
+    rows = t.sql("SELECT vec_id AS item_id, 'r' || cast(vec_id % 4 AS string) AS run FROM {embeddings}")
+    rows = rows.withColumn("path", F.when(F.col("item_id") % 6 == 5, _elsewhere()).otherwise(_rel()))
+    reason = F.when(F.col("item_id") % 5 < 2, "single centered face").otherwise("detected face is off center")
     return runs.with_keys(rows.withColumns({"qa_pass": ok, "reason": reason}), _bases())
 
 
@@ -56,12 +66,12 @@ def k2(t):
     return score_rows(t).select("item_id", "path", "path_key")
 
 
-@query("k3_best_quality_score", f"WITH {BOTH}, p AS (SELECT a.* FROM a WHERE (run, path_key) IN (SELECT (run, path_key) FROM q WHERE qa_pass)) SELECT run, arg_max(item_id, centroid_score) AS best_qa_item_id, arg_max(path, centroid_score) AS best_qa_path, round(max(centroid_score), 6) AS best_qa_score FROM p GROUP BY run")
+@query("k3_best_quality_score", f"WITH {BOTH}, p AS (SELECT a.* FROM a WHERE (run, path_key) IN (SELECT (run, path_key) FROM q WHERE qa_pass) AND centroid_score IS NOT NULL) SELECT run, arg_max(item_id, centroid_score) AS best_qa_item_id, arg_max(path, centroid_score) AS best_qa_path, round(max(centroid_score), 6) AS best_qa_score FROM p GROUP BY run")
 def k3(t):
     return runs.best_quality(score_rows(t), quality_rows(t), ["run"]).withColumn("best_qa_score", r6("best_qa_score"))
 
 
-COMBINED = f"{BOTH}, ab AS (SELECT a.*, (centroid_score + style_score) / 2 AS combined FROM a JOIN b USING (run, path_key))"
+COMBINED = f"{BOTH}, ab AS (SELECT a.*, (centroid_score + style_score) / 2 AS combined FROM a JOIN b USING (run, path_key) WHERE centroid_score + style_score IS NOT NULL)"
 
 
 @query("k4_best_combined_score", f"WITH {COMBINED} SELECT run, arg_max(item_id, combined) AS best_combined_item_id, arg_max(path, combined) AS best_combined_path, round(max(combined), 6) AS best_combined_score FROM ab GROUP BY run")
@@ -89,23 +99,22 @@ def k6(t):
 
 
 CONFIG = "SELECT 'r' || cast(n_nationkey AS string) AS run, 'local' AS provider, CASE WHEN n_nationkey = 3 THEN '' WHEN n_nationkey % 2 = 0 THEN 'mean' ELSE 'median' END AS centroid_kind, ' portrait  of ' || n_name || ' ' AS prompt, CASE WHEN n_nationkey = 1 THEN NULL ELSE 512 + n_nationkey END AS width, 640 AS height FROM {nation}"
-REVIEWS = f"""{COMBINED}, cfg AS ({CONFIG}), qs AS (SELECT run, count(*) AS q_count, count(*) FILTER (qa_pass) AS pass_count FROM q WHERE run <> 'r2' GROUP BY run),
-sums AS (SELECT run, count(*) AS item_count, cast(0 AS bigint) AS failed_count, arg_max(item_id, centroid_score) AS best_item_id, round(max(centroid_score), 6) AS best_centroid_score, round(avg(centroid_score), 6) AS mean_centroid_score FROM a GROUP BY run),
-cs AS (SELECT run, arg_max(item_id, combined) AS best_combined_item_id, max(combined) AS best_combined_score FROM ab WHERE run <> 'r3' GROUP BY run),
-bq AS (SELECT run, arg_max(item_id, centroid_score) AS best_qa_item_id, max(centroid_score) AS best_qa_score FROM a WHERE run <> 'r2' AND (run, path_key) IN (SELECT (run, path_key) FROM q WHERE qa_pass) GROUP BY run),
+REVIEWS = f"""{COMBINED}, cfg AS ({CONFIG}), qs AS (SELECT run, count(*) AS q_count, count(*) FILTER (qa_pass) AS pass_count FROM q GROUP BY run),
+sums AS (SELECT run, count(centroid_score) AS item_count, count(*) - count(centroid_score) AS failed_count, arg_max(item_id, centroid_score) AS best_item_id, round(max(centroid_score), 6) AS best_centroid_score, round(avg(centroid_score), 6) AS mean_centroid_score FROM a GROUP BY run),
+cs AS (SELECT run, arg_max(item_id, combined) AS best_combined_item_id, max(combined) AS best_combined_score FROM ab GROUP BY run),
+bq AS (SELECT run, arg_max(item_id, centroid_score) AS best_qa_item_id, max(centroid_score) AS best_qa_score FROM a WHERE (run, path_key) IN (SELECT (run, path_key) FROM q WHERE qa_pass) GROUP BY run),
 ss AS (SELECT run, round(max(style_score), 6) AS best_style_score FROM b GROUP BY run),
 rv AS (SELECT s.*, cfg.* EXCLUDE (run), ss.best_style_score, qs.pass_count, cs.best_combined_item_id, cs.best_combined_score, bq.best_qa_item_id, bq.best_qa_score, len(regexp_split_to_array(trim(prompt), '\\s+')) AS prompt_words, coalesce(cast(width AS string) || 'x' || cast(height AS string), '') AS size
   FROM sums s LEFT JOIN cfg USING (run) LEFT JOIN ss USING (run) LEFT JOIN qs USING (run) LEFT JOIN cs USING (run) LEFT JOIN bq USING (run))"""
 
 
 def run_reviews(t):
-    scores, styles = score_rows(t), style_rows(t)
-    quality = quality_rows(t).where("run <> 'r2'")
+    scores, styles, quality = (scale.settle(rows) for rows in (score_rows(t), style_rows(t), quality_rows(t)))  # read by several parts
     style_best = styles.groupBy("run").agg(r6(F.max("style_score")).alias("best_style_score"))
     return runs.review_runs(
         t.sql(CONFIG), sc.score_summary(runs.smallest_key(scores), ["run"], tie="path_key"), style_best,
         gates.gate_summary(runs.smallest_key(quality), ["run"]).select("run", "pass_count"),
-        runs.best_combined(scores.where("run <> 'r3'"), styles, ["run"]), runs.best_quality(scores, quality, ["run"]),
+        runs.best_combined(scores, styles, ["run"]), runs.best_quality(scores, quality, ["run"]),
     )
 
 
@@ -155,8 +164,8 @@ def r2(t):
 BATCH = "cohort || '-' || run"
 RUBRIC = f"""{SCORED}, gsrc AS ({GAPPY}), gax AS ({axes_sql('gsrc', 'item_id')}), dist AS ({distribution_sql('gax')}),
 top AS (SELECT * FROM (SELECT {BATCH} AS batch, item_id, round(centroid_score * 2, 6) AS centroid_score, row_number() OVER (PARTITION BY {BATCH} ORDER BY centroid_score DESC, path) AS rank FROM scored) WHERE rank <= 5),
-gate AS (SELECT item_id, item_id % 4 <> 0 AS qa_pass FROM items WHERE item_id % 7 <> 0), fl AS (SELECT item_id, flags FROM dist WHERE item_id % 9 <> 0),
-chk AS (SELECT top.*, top.centroid_score >= 0.35 AS score_pass, qa_pass, list_sort(list_intersect(flags, {rubric.SEVERE_FLAGS!r})) AS severe, flags IS NOT NULL AS has_axes FROM top LEFT JOIN gate USING (item_id) LEFT JOIN fl USING (item_id)),
+gate AS (SELECT CASE WHEN item_id % 14 = 0 THEN -1 - item_id ELSE item_id END AS item_id, CASE WHEN item_id % 7 <> 0 THEN item_id % 4 <> 0 END AS qa_pass FROM items), fl AS (SELECT CASE WHEN item_id % 18 = 0 THEN -1 - item_id ELSE item_id END AS item_id, CASE WHEN item_id % 9 <> 0 THEN flags END AS flags, true AS present FROM dist),
+chk AS (SELECT top.*, top.centroid_score >= 0.35 AS score_pass, qa_pass, list_sort(list_intersect(flags, {rubric.SEVERE_FLAGS!r})) AS severe, present IS NOT NULL AS has_axes FROM top LEFT JOIN gate USING (item_id) LEFT JOIN fl USING (item_id)),
 rec AS (SELECT *, list_filter([CASE WHEN NOT score_pass THEN 'centroid_score' END, CASE WHEN NOT qa_pass THEN 'quality' END, CASE WHEN has_axes AND len(severe) > 0 THEN 'presentation' END], lambda c: c IS NOT NULL) AS failed FROM chk),
 cr AS (SELECT *, CASE WHEN len(failed) > 0 THEN 'reject' WHEN qa_pass IS NULL OR NOT has_axes THEN 'review' ELSE 'promote' END AS recommendation FROM rec),
 bt AS (SELECT batch, CASE WHEN batch LIKE 'c0%' THEN NULL WHEN batch LIKE 'c1%' THEN 0.94e0 ELSE 0.95e0 + max(centroid_score) / 100 END AS p FROM top GROUP BY batch)"""
@@ -173,9 +182,11 @@ def null_batches(t):
 
 
 def rubric_reviews(t):
-    quality = t.sql("SELECT vec_id AS item_id FROM {embeddings}").where("item_id % 7 <> 0").select(
-        "item_id", (F.col("item_id") % 4 != 0).alias("qa_pass"), F.lit("detected face is off center").alias("reason"))
-    flags = axis_rows(t).where("item_id % 9 <> 0")
+    """Some candidates without a gate row or an axes row, some with an undecided gate or no flag list."""
+    other = lambda every: F.when(F.col("item_id") % every == 0, -1 - F.col("item_id")).otherwise(F.col("item_id")).alias("item_id")
+    quality = t.sql("SELECT vec_id AS item_id FROM {embeddings}").select(
+        other(14), F.when(F.col("item_id") % 7 != 0, F.col("item_id") % 4 != 0).alias("qa_pass"), F.lit("detected face is off center").alias("reason"))
+    flags = axis_rows(t).select(other(18), F.when(F.col("item_id") % 9 != 0, F.col("presentation_flags")).alias("presentation_flags"))
     return rubric.candidate_reviews(batches(t), quality, flags, ["item_id"])
 
 
@@ -184,7 +195,7 @@ def q1(t):
     return null_batches(t).drop("best_percentile")
 
 
-@query("q2_candidate_checks", f"WITH {RUBRIC} SELECT batch, item_id, rank, centroid_score, score_pass, qa_pass, CASE WHEN has_axes THEN len(severe) = 0 END AS presentation_pass, array_to_string(coalesce(severe, []), ';') AS severe_flags, array_to_string(failed, ';') AS failed_checks, recommendation FROM cr")
+@query("q2_candidate_checks", f"WITH {RUBRIC} SELECT batch, item_id, rank, centroid_score, score_pass, qa_pass, CASE WHEN has_axes THEN coalesce(len(severe), 0) = 0 END AS presentation_pass, array_to_string(coalesce(severe, []), ';') AS severe_flags, array_to_string(failed, ';') AS failed_checks, recommendation FROM cr")
 def q2(t):
     rows = rubric_reviews(t).withColumns({c: F.array_join(c, ";") for c in ("severe_flags", "failed_checks")})
     return rows.select("batch", "item_id", "rank", "centroid_score", "score_pass", "qa_pass", "presentation_pass", "severe_flags", "failed_checks", "recommendation")
@@ -222,7 +233,7 @@ CURRENT = f"""SELECT 'c' || cast(c_custkey AS string) AS slug, c_name || ' é\"x
   'https://a.example/' || cast(c_custkey AS string) AS url_1, 'https://b.example/' || cast(c_nationkey AS string) AS url_2, c_mktsegment AS example_1, c_acctbal, c_mktsegment FROM {{customer}} LEFT JOIN ({RETRIEVED}) r ON o_custkey = c_custkey"""
 _JSON = "sha256(to_json({{'name': name, 'public_examples': [example_1], 'retrieved_at': retrieved_at, 'slug': slug, 'source_urls': [{url}, url_2]}})::VARCHAR)"
 SNAPSHOTS = f"""cur AS (SELECT *, {_JSON.format(url='url_1')} AS fp FROM ({CURRENT})),
-prev AS (SELECT slug, {_JSON.format(url="CASE WHEN c_mktsegment = 'BUILDING' THEN 'https://old.example/' ELSE url_1 END")} AS fp0 FROM cur WHERE c_acctbal >= 0),
+prev AS (SELECT CASE WHEN c_acctbal >= 0 THEN slug ELSE 'old-' || slug END AS slug, {_JSON.format(url="CASE WHEN c_mktsegment = 'BUILDING' THEN 'https://old.example/' ELSE url_1 END")} AS fp0 FROM cur),
 tasks AS (SELECT slug, CASE WHEN fp0 IS NULL THEN 'baseline_missing' ELSE 'source_fingerprint_changed' END AS reason, NULL::INTEGER AS age_days FROM cur LEFT JOIN prev USING (slug) WHERE fp0 IS NULL OR fp0 <> fp
   UNION ALL SELECT slug, 'retrieval_stale', age FROM (SELECT slug, date_diff('day', try_cast(substr(retrieved_at, 1, 10) AS date), date '1999-01-31') AS age FROM cur) WHERE age > 90)"""
 
@@ -238,7 +249,8 @@ def current(t):
 
 def previous(t):
     old = F.when(F.col("c_mktsegment") == "BUILDING", "https://old.example/").otherwise(F.col("url_1"))
-    return drift.snapshot(_roster(t, old)).where("c_acctbal >= 0")
+    kept = F.col("c_acctbal") >= 0  # the others were known by another name
+    return drift.snapshot(_roster(t, old)).withColumn("slug", F.when(kept, F.col("slug")).otherwise(F.concat(F.lit("old-"), "slug")))
 
 
 def tasks(t):

@@ -261,6 +261,19 @@ def test_rubric_decisions(spark):
     assert pairs == {("x", "y"): "clear_win", ("x", "z"): "clear_win", ("y", "z"): "too_close"}
 
 
+def test_rubric_rows_with_missing_parts(spark):
+    candidates = spark.createDataFrame([("b", x, 0.5, i) for i, x in enumerate("vwxyz", 1)], "batch string, item_id string, centroid_score double, rank int")
+    quality = spark.createDataFrame([("v", True, None), ("w", None, "undecided"), ("x", True, "ok"), ("y", True, "ok")], "item_id string, qa_pass boolean, reason string")
+    flags = spark.createDataFrame([("v", None), ("w", []), ("x", None), ("z", [])], "item_id string, presentation_flags array<string>")
+    got = {r["item_id"]: r for r in rubric.candidate_reviews(candidates, quality, flags, ["item_id"]).collect()}
+    assert {k: r["recommendation"] for k, r in got.items()} == {"v": "promote", "w": "review", "x": "promote", "y": "review", "z": "review"}
+    assert {k: r["quality_reason"] for k, r in got.items()} == {"v": None, "w": "undecided", "x": "ok", "y": "ok", "z": "quality report unavailable"}
+    assert {k: r["presentation_pass"] for k, r in got.items()} == {"v": True, "w": True, "x": True, "y": None, "z": True}
+    batches = spark.createDataFrame([("a", True, None), ("b", False, 0.99), ("c", True, 0.95), ("d", None, None)], "batch string, calibrated boolean, best_percentile double")
+    rows = {r["batch"]: (r["null_available"], r["null_pass"]) for r in rubric.batch_null_review(batches, available="calibrated").collect()}
+    assert rows == {"a": (True, False), "b": (False, None), "c": (True, True), "d": (False, None)}
+
+
 def test_drift_reasons(spark):
     base = "slug string, name string, retrieved_at string, source_urls array<string>, public_examples array<string>"
     before = drift.snapshot(spark.createDataFrame([("a", "A", "2026-06-15", ["u"], ["x"]), ("gone", "G", None, [], [])], base))
