@@ -77,10 +77,13 @@ _MERGED = ["handle", "followers", "posts", "total_engagement", "engagement_rate"
 
 
 def existing(t):
-    return engagement(t).withColumn("fetch_status", F.when(F.col("followers").isNotNull(), "ok").otherwise("partial")).select("subject", "channel", *_MERGED)
+    """Engagement of before: what is a twitter row now was on a channel of its own."""
+    channel = F.when(F.col("channel") == "twitter", "photoblog").otherwise(F.col("channel"))
+    status = F.when(F.col("followers").isNotNull(), "ok").otherwise("partial")
+    return engagement(t).withColumns({"fetch_status": status, "channel": channel}).select("subject", "channel", *_MERGED)
 
 
-EXISTING = f"{ENG}, old AS (SELECT subject, channel, {', '.join(c for c in _MERGED if c != 'fetch_status')}, CASE WHEN followers IS NOT NULL THEN 'ok' ELSE 'partial' END AS fetch_status FROM eng WHERE channel <> 'twitter')"
+EXISTING = f"{ENG}, old AS (SELECT subject, CASE WHEN channel = 'twitter' THEN 'photoblog' ELSE channel END AS channel, {', '.join(c for c in _MERGED if c != 'fetch_status')}, CASE WHEN followers IS NOT NULL THEN 'ok' ELSE 'partial' END AS fetch_status FROM eng)"
 
 
 def _merge_sql(order):
@@ -90,12 +93,12 @@ def _merge_sql(order):
 
 @query("n4_merge_overwrite", _merge_sql("fresh DESC, seq DESC"))
 def n4(t):
-    return eng.merge_engagement(existing(t).where("channel != 'twitter'"), imported(t).select("subject", "channel", *_MERGED))
+    return eng.merge_engagement(existing(t), imported(t).select("subject", "channel", *_MERGED))
 
 
 @query("n4_merge_keep", _merge_sql("fresh, seq"))
 def n4_keep(t):
-    return eng.merge_engagement(existing(t).where("channel != 'twitter'"), imported(t).select("subject", "channel", *_MERGED), overwrite=False)
+    return eng.merge_engagement(existing(t), imported(t).select("subject", "channel", *_MERGED), overwrite=False)
 
 
 ROSTER = "SELECT 'u' || cast(user_id AS string) AS subject, max('User ' || cast(user_id AS string)) AS name FROM {events} GROUP BY user_id"
@@ -109,7 +112,7 @@ def handle_roster(t):
 
 
 MERGE_CHANNELS = f"""WITH {ENG}, roster AS ({ROSTER}), ig AS (SELECT subject, CASE WHEN seq % 2 = 0 THEN handle END AS handle, followers, CASE WHEN seq % 3 = 0 THEN 'blocked' END AS status FROM eng WHERE channel = 'instagram'),
-tw AS (SELECT * FROM eng WHERE channel = 'twitter' AND seq % 5 <> 0), tk AS (SELECT subject, CASE WHEN seq % 2 = 1 THEN handle END AS handle, followers, posts, total_engagement AS hearts FROM eng WHERE channel = 'tiktok')
+tw AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN 'x' ELSE '' END || subject AS subject) FROM eng WHERE channel = 'twitter'), tk AS (SELECT subject, CASE WHEN seq % 2 = 1 THEN handle END AS handle, followers, posts, total_engagement AS hearts FROM eng WHERE channel = 'tiktok')
 SELECT subject, name, 'instagram' AS channel, coalesce(handle, 'ig_' || subject) AS handle, followers, NULL::BIGINT AS posts, NULL::BIGINT AS total_engagement, NULL::DOUBLE AS engagement_rate, CASE WHEN followers IS NOT NULL THEN 'ok' ELSE coalesce(status, 'partial') END AS fetch_status FROM roster JOIN ig USING (subject)
 UNION ALL SELECT subject, roster.name, 'twitter', handle, followers, posts, total_engagement, engagement_rate, 'ok' FROM roster JOIN tw USING (subject)
 UNION ALL SELECT subject, name, 'tiktok', coalesce(handle, 'tk_' || subject), followers, posts, hearts, {RATE.replace('total_engagement', 'hearts')}, CASE WHEN followers IS NOT NULL THEN 'ok' ELSE 'partial' END FROM roster JOIN tk USING (subject)"""
@@ -118,9 +121,10 @@ UNION ALL SELECT subject, name, 'tiktok', coalesce(handle, 'tk_' || subject), fo
 @query("n5_merge_channels", MERGE_CHANNELS)
 def n5(t):
     rows = engagement(t)
+    stranger = F.concat(F.when(F.col("seq") % 5 == 0, "x").otherwise(""), "subject")  # one in five is not on the roster
     photo = rows.where("channel = 'instagram'").select(
         "subject", F.when(F.col("seq") % 2 == 0, F.col("handle")).alias("handle"), "followers", F.when(F.col("seq") % 3 == 0, "blocked").alias("status"))
-    text = rows.where("channel = 'twitter' AND seq % 5 <> 0").withColumn("fetch_status", F.lit("ok")).drop("name", "channel")
+    text = rows.where("channel = 'twitter'").withColumns({"fetch_status": F.lit("ok"), "subject": stranger}).drop("name", "channel")
     video = rows.where("channel = 'tiktok'").select(
         "subject", F.when(F.col("seq") % 2 == 1, F.col("handle")).alias("handle"), "followers", "posts",
         F.col("total_engagement").alias("hearts"), F.lit(None).cast("string").alias("status"))
@@ -156,7 +160,7 @@ def n7(t):
     return eng.cache_lookup(t.sql(REQUESTS), cache(t), as_of(), _HOURS).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-FETCHED = f"SELECT {CHANNEL} AS channel, 'h' || cast(user_id AS string) || '_' || event_type AS handle, event_id % 900 AS followers, ts + INTERVAL 1 DAY AS fetched_at, 'ok' AS fetch_status FROM {{events}} WHERE value > 100"
+FETCHED = f"SELECT {CHANNEL} AS channel, CASE WHEN value > 100 THEN 'h' || cast(user_id AS string) || '_' || event_type ELSE 'new_' || cast(event_id AS string) END AS handle, event_id % 900 AS followers, ts + INTERVAL 1 DAY AS fetched_at, 'ok' AS fetch_status FROM {{events}}"
 
 
 @query("n8_cache_upsert", f"WITH {CACHE}, u AS (SELECT channel, lower(handle) AS handle, followers, fetched_at, fetch_status FROM cache UNION ALL SELECT * FROM ({FETCHED})) SELECT channel, handle, followers, fetch_status, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY channel, handle ORDER BY u.fetched_at DESC) AS rn FROM u) WHERE rn = 1")
