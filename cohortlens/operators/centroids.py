@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scale
 from ..functions import vectors as vec
 from ..functions.medians import element_medians
-from ..functions.numeric import r6
+from ..functions.numeric import pick, r6
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str, name: str, extra: list | None = None) -> DataFrame:
@@ -174,14 +176,24 @@ def map_rows(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.select(*keys, F.explode(column).alias("name", "value"))
 
 
-def export_rows(models: DataFrame, keys: list[str], vectors: list[str]) -> DataFrame:
-    """Vectors as long rows (vector, index, value, shape, dtype, l2_norm, digest), ready for a CSV or JSON sink."""
+def export_rows(models: DataFrame, keys: list[str], vectors: list[str], shapes: dict[str, list[int]] | None = None) -> DataFrame:
+    """Vectors as long rows (vector, index, value, shape, dtype, l2_norm, digest), ready for a CSV or JSON sink.
+
+    ``shapes`` names the dimensions of vectors that are grids (an appearance of 64 x 64 x 3), written ``64x64x3``; others are
+    written with their length.  A vector whose length is not that of its shape is an error.
+    """
+    named = [(k, F.lit("x".join(map(str, d))), math.prod(d)) for k, d in (shapes or {}).items()]
+    wrong = lambda k: F.raise_error(F.lit(f"{k} does not have the length of its shape"))
+    shape = pick(
+        *[((F.col("vector") == k), F.when(F.size("values") == n, text).otherwise(wrong(k))) for k, text, n in named],
+        otherwise=F.size("values").cast("string"),
+    ) if named else F.size("values").cast("string")
     long = models.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(v).alias("vector"), F.col(v).alias("values")) for v in vectors])).alias("e")
     ).select(*keys, F.col("e.vector").alias("vector"), F.col("e.values").alias("values"))
     described = long.withColumns(
         {
-            "shape": F.size("values").cast("string"),
+            "shape": shape,
             "dtype": F.lit("float64"),
             "l2_norm": r6(vec.l2_norm("values")),
             "digest": vec.text_digest(F.col("values")),
@@ -192,6 +204,13 @@ def export_rows(models: DataFrame, keys: list[str], vectors: list[str]) -> DataF
     )
 
 
+def grid_position(index, dims) -> Column:
+    """Coordinates of a flat index (from 0) in a grid of ``dims``, last dimension fastest."""
+    index, dims = (F.col(c) if isinstance(c, str) else c for c in (index, dims))
+    behind = lambda i: F.aggregate(F.slice(dims, i + 2, F.size(dims)), F.lit(1), lambda a, d: a * d)
+    return F.transform(dims, lambda d, i: F.floor(index / behind(i)).cast("int") % d)
+
+
 def read_back_export(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Exported rows back to one row per vector: value count, parsed shape (null if it does not parse), norm, digest."""
     parsed = F.filter(F.split("shape", "x"), lambda s: s != "")

@@ -24,6 +24,11 @@ def unit(x: str) -> str:
     return f"CASE WHEN sqrt(list_inner_product({x},{x})) < 1e-12 THEN {x} ELSE list_transform({x}, lambda e: e / sqrt(list_inner_product({x},{x}))) END"
 
 
+def digest(vector):
+    """SQL for the text digest of a vector: sha256 over its values at six decimals."""
+    return f"sha256(array_to_string(list_transform({vector}, lambda x: printf('%.6f', x)), ','))"
+
+
 def cos(a: str, b: str) -> str:
     scale = f"(sqrt(list_inner_product({a},{a})) * sqrt(list_inner_product({b},{b})))"
     return f"CASE WHEN {scale} < 1e-12 THEN 0e0 ELSE list_inner_product({a},{b}) / {scale} END"

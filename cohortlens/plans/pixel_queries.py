@@ -7,7 +7,7 @@ from ..functions.numeric import r6
 from ..operators import centroids as cen
 from ..operators import pixels as px
 from ..operators import resampling as rs
-from .inputs import ITEM_ROWS, ITEMS, SCORED, cos, mean_only, model, positions
+from .inputs import ITEM_ROWS, ITEMS, SCORED, cos, digest, mean_only, model, positions
 from .registry import query
 from .score_queries import scored
 from .vector_queries import items, long_vector
@@ -84,11 +84,10 @@ def d14(t):
 AUDIT = f"{ITEM_ROWS}, cen AS ({model('items', 'cohort,')}), sizes AS (SELECT cohort, count(*) AS item_count FROM items GROUP BY ALL), {stability_sql('SELECT cohort, cast(item_id AS string) AS unit, v FROM items', 'cohort,', ['cohort'])}"
 
 
-@query("d15_model_audit", f"WITH {AUDIT}, d AS (SELECT *, list_transform(list_zip(mean_v, med_v), lambda z: abs(z[1] - z[2])) AS ad FROM cen) SELECT d.cohort, item_count, len(mean_v) AS embedding_dim, round(sqrt(list_inner_product(mean_v, mean_v)), 6) AS mean_l2_norm, round(sqrt(list_inner_product(med_v, med_v)), 6) AS median_l2_norm, round({cos('mean_v', 'med_v')}, 6) AS mean_median_cosine, round(list_distance(mean_v, med_v), 6) AS mean_median_euclidean, round(list_avg(ad), 6) AS mean_median_mean_abs_delta, round(list_max(ad), 6) AS mean_median_max_abs_delta, unit_count, self_cosine_mean, {BAND} AS band FROM d JOIN sizes USING (cohort) JOIN stab USING (cohort)")
+@query("d15_model_audit", f"WITH {AUDIT}, d AS (SELECT *, list_transform(list_zip(mean_v, med_v), lambda z: abs(z[1] - z[2])) AS ad FROM cen) SELECT d.cohort, item_count, len(mean_v) AS embedding_dim, round(sqrt(list_inner_product(mean_v, mean_v)), 6) AS mean_l2_norm, round(sqrt(list_inner_product(med_v, med_v)), 6) AS median_l2_norm, round({cos('mean_v', 'med_v')}, 6) AS mean_median_cosine, round(list_distance(mean_v, med_v), 6) AS mean_median_euclidean, round(list_avg(ad), 6) AS mean_median_mean_abs_delta, round(list_max(ad), 6) AS mean_median_max_abs_delta, {digest('mean_v')} AS mean_digest, {digest('med_v')} AS median_digest, unit_count, self_cosine_mean, {BAND} AS band FROM d JOIN sizes USING (cohort) JOIN stab USING (cohort)")
 def d15(t):
     rows = items(t)
-    audit = rs.model_audit(cen.centroid_models(rows, ["cohort"]), rs.centroid_stability(rows, ["cohort"], resamples=RESAMPLES, bits=BITS), ["cohort"])
-    return audit.drop("mean_digest", "median_digest")
+    return rs.model_audit(cen.centroid_models(rows, ["cohort"]), rs.centroid_stability(rows, ["cohort"], resamples=RESAMPLES, bits=BITS), ["cohort"])
 
 
 TOP = f"{16 ** 13}e0"

@@ -6,7 +6,7 @@ from ..functions import vectors as vec
 from ..functions.numeric import r6
 from ..operators import centroids as cen
 from . import inputs
-from .inputs import ITEM_ROWS, ITEMS, mean_only, model, positions, unit
+from .inputs import ITEM_ROWS, ITEMS, digest, mean_only, model, positions, unit
 from .registry import Tables, query
 
 
@@ -90,10 +90,9 @@ def d7(t):
     return cen.subject_vector_manifest(cen.subject_vectors(roster(t), unreadable_as_null(t)))
 
 
-@query("d7_subject_manifest_rows", f"WITH {SUBJECT_ROWS} SELECT subject, status, item_count, failed_count, embedding_dim, round(sqrt(list_inner_product(mean_v, mean_v)), 6) AS mean_l2_norm FROM sv")
+@query("d7_subject_manifest_rows", f"WITH {SUBJECT_ROWS} SELECT subject, status, item_count, failed_count, embedding_dim, round(sqrt(list_inner_product(mean_v, mean_v)), 6) AS mean_l2_norm, {digest('mean_v')} AS mean_digest, {digest('med_v')} AS median_digest FROM sv")
 def d7_rows(t):
-    rows = cen.subject_vector_rows(cen.subject_vectors(roster(t), unreadable_as_null(t)))
-    return rows.drop("mean_digest", "median_digest")
+    return cen.subject_vector_rows(cen.subject_vectors(roster(t), unreadable_as_null(t)))
 
 
 @query("d8_cohort_centroid", f"WITH {ITEM_ROWS}, member AS ({mean_only('items', 'cohort, subject,')}), cen AS ({model('member', 'cohort,')}) " + MODEL_ROWS.replace("{keys}", "cohort,").replace("mean_embedding", "mean_centroid").replace("median_embedding", "median_centroid"))
@@ -161,18 +160,19 @@ def d12(t):
     return cen.descriptor_delta(right, left, ["run"], keep_missing=True)
 
 
+SHAPES = {"mean_embedding": [8, 8], "median_embedding": [4, 8, 2]}  # the vectors seen as grids
 EXPORT = f"""{ITEM_ROWS}, cen AS ({model('items', 'cohort,')}),
 vx AS (SELECT cohort, 'mean_embedding' AS vector, mean_v AS w FROM cen UNION ALL SELECT cohort, 'median_embedding', med_v FROM cen)"""
 
 
-@query("a9_vector_export", f"WITH {EXPORT} SELECT cohort, vector, unnest(range(len(w))) AS index, round(unnest(w), 6) AS value, cast(len(w) AS string) AS shape, 'float64' AS dtype, round(sqrt(list_inner_product(w, w)), 6) AS l2_norm FROM vx")
+@query("a9_vector_export", f"WITH {EXPORT} SELECT cohort, vector, unnest(range(len(w))) AS index, round(unnest(w), 6) AS value, CASE vector WHEN 'mean_embedding' THEN '8x8' ELSE '4x8x2' END AS shape, 'float64' AS dtype, round(sqrt(list_inner_product(w, w)), 6) AS l2_norm, {digest('w')} AS digest FROM vx")
 def a9(t):
-    rows = cen.export_rows(cen.centroid_models(items(t), ["cohort"]), ["cohort"], ["mean_embedding", "median_embedding"])
-    return rows.withColumn("value", r6("value")).drop("digest")
+    rows = cen.export_rows(cen.centroid_models(items(t), ["cohort"]), ["cohort"], ["mean_embedding", "median_embedding"], SHAPES)
+    return rows.withColumn("value", r6("value"))
 
 
-@query("a10_vector_export_read_back", f"WITH {EXPORT} SELECT cohort, vector, cast(len(w) AS bigint) AS values_count, round(sqrt(list_inner_product(w, w)), 6) AS l2_norm, cast(len(w) AS string) AS dims FROM vx")
+@query("a10_vector_export_read_back", f"WITH {EXPORT} SELECT cohort, vector, cast(len(w) AS bigint) AS values_count, round(sqrt(list_inner_product(w, w)), 6) AS l2_norm, CASE vector WHEN 'mean_embedding' THEN '8x8' ELSE '4x8x2' END AS dims FROM vx")
 def a10(t):
-    rows = cen.export_rows(cen.centroid_models(items(t), ["cohort"]), ["cohort"], ["mean_embedding", "median_embedding"])
+    rows = cen.export_rows(cen.centroid_models(items(t), ["cohort"]), ["cohort"], ["mean_embedding", "median_embedding"], SHAPES)
     back = cen.read_back_export(rows, ["cohort"])
     return back.select("cohort", "vector", "values_count", "l2_norm", F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"))

@@ -63,3 +63,19 @@ def test_plan_has_no_row_per_element(spark):
     df = table(spark, {"a": np.ones((500, 3)).tolist(), "b": [[1.0, 2.0, 3.0]]})
     plan = medians.element_medians(df, ["g"], "v", "m", sample_bytes=1)._jdf.queryExecution().toString()
     assert "Generate" not in plan
+
+
+def test_exported_grids_come_back_with_their_positions(spark):
+    from cohortlens.operators import centroids
+
+    values = [float(x) for x in range(24)]
+    models = spark.createDataFrame([("a", values, [1.0, 2.0])], "g string, appearance array<double>, embedding array<double>")
+    rows = centroids.export_rows(models, ["g"], ["appearance", "embedding"], {"appearance": [2, 4, 3]})
+    back = centroids.read_back_export(rows, ["g"])
+    assert {r["vector"]: r["dims"] for r in back.collect()} == {"appearance": [2, 4, 3], "embedding": [2]}
+    placed = rows.join(back.select("vector", "dims"), "vector").withColumn("at", centroids.grid_position("index", "dims"))
+    cube = np.array(values).reshape(2, 4, 3)
+    found = [r for r in placed.collect() if r["vector"] == "appearance"]
+    assert len(found) == 24 and all(cube[tuple(r["at"])] == r["value"] for r in found)
+    with pytest.raises(Exception, match="length of its shape"):
+        centroids.export_rows(models, ["g"], ["embedding"], {"embedding": [3]}).collect()
