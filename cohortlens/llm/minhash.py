@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -192,18 +192,36 @@ def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
 def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
     """Pairs of components (a, b) that may be linked: some members share a bucket and their sketches allow a link.
 
-    Buckets whose members are all connected are done.  In the others members of different components are compared by sketch
-    inside the task; components found close are one from there on, so a bucket gives fewer pairs than it has members.  A
-    bucket is dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so no task holds more than two blocks of it.
+    Buckets whose members are all connected are done.  In the others most members are often connected already: the others
+    are compared among themselves, bucket by bucket, and with that largest component once, whatever number of buckets
+    they share with it.  Comparing is by sketch, inside the task; components found close are one from there on, so a group
+    of rows gives fewer pairs than it has members.  Groups are dealt out in pairs of blocks of ``BUCKET_BLOCK`` members, so
+    no task holds more than two blocks, and a sketch moves once for each such pair.
     """
     labelled = buckets.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
     labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-    )
-    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(mixed, "key").join(classes.select("id", *_SKETCH), "id")
-    dealt = _block_pairs(members, "key", "id").select("key", "i", "j", "mine", "component", *_SKETCH)
+    shares = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts"))
+    members = cut_lineage(labelled.join(largest.where("parts > 1").drop("parts"), "key"))
+    few = members.where("component <> major")
+    sketched = classes.select("id", *_SKETCH)
+
+    among = few.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    among = among.where("low < high").select("key", _blocks("members").alias("blocks"))
+    dealt = _block_pairs(few.drop("major").join(among, "key").join(sketched, "id"), "key", "id")
+    columns = ["key", "i", "j", "mine", "component", *_SKETCH]
+
+    apart = few.select(F.col("major").alias("key"), "id", "component").distinct()
+    joined = members.where("component = major").select(F.col("major").alias("key"), "id").distinct()
+    count = lambda rows, name: rows.groupBy("key").agg(_blocks(F.count(F.lit(1))).alias(name))
+    sizes = count(apart, "rows").join(count(joined, "columns"), "key")
+    place = lambda n: F.pmod(F.xxhash64("key", "id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = apart.join(sizes, "key").join(sketched, "id").withColumns({"i": place("rows"), "j": each("columns")})
+    side = side.withColumns({"j": -1 - F.col("j"), "mine": F.col("i")})  # blocks of the large component have numbers below 0
+    core = joined.join(sizes, "key").join(sketched, "id").withColumns({"j": -1 - place("columns"), "i": each("rows")})
+    core = core.withColumns({"mine": F.col("j"), "component": F.col("key")})
+    dealt = dealt.select(*columns).unionByName(side.select(*columns)).unionByName(core.select(*columns))
     schema, arrow = texts.schemas("a long, b long")
 
     def one(i, j, mine, comp, n, bins):
@@ -249,6 +267,10 @@ def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame,
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
 
 
+def _blocks(members: Column | str) -> Column:
+    return F.ceil((F.col(members) if isinstance(members, str) else members) / BUCKET_BLOCK).cast("int")
+
+
 def _block_pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     """Every member once per pair of blocks (i, j) of its group that holds its own block (``mine``); ``blocks`` tells how many."""
     block = F.pmod(F.xxhash64(group, member), F.col("blocks")).cast("int")
