@@ -18,8 +18,9 @@ from .components import components
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75  # similarity of a link, in percent
+CELLS = 4_096  # cells of bucket keys counted to find the hot ones
 BUCKET_BLOCK = 8_192  # members of a bucket compared by sketch in one go
-LINK_BLOCK = 2_048  # members of a cluster compared by full sets in one go
+LINK_BLOCK = 262_144  # shingles of a block of a cluster's members, compared by full sets in one go
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,12 @@ def _sketches(documents: DataFrame, config: Signature) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
-    """key, id of every class and bucket, buckets of one member left out, with the bucket's smallest id as hub."""
+    """key, id of every class and bucket, buckets of one member left out, with the bucket's smallest id as hub.
+
+    Keys fall into ``CELLS`` cells whose rows are counted first.  In a cell of ordinary size no bucket is large, so a window
+    over the key serves; cells of more than twice the mean hold the buckets many classes share, which are counted by merged
+    partial counts and joined back, dealt to as many tasks as they need.
+    """
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -129,9 +135,14 @@ def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
             yield {"key": keys.ravel(), "id": np.repeat(ids[at : at + 2_000], keys.shape[1])}
 
     keyed = texts.map_batches(classes.select("id", "signature"), kernel, "key long, id long")
+    cell = F.pmod("key", F.lit(CELLS))
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``CELLS``
+    hot = [c for c, n in counts.items() if n * CELLS > 2 * sum(counts.values())]
     bucket = Window.partitionBy("key")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("id").over(bucket))
-    return shared.where(F.col("n") > 1)
+    cool = keyed.where(~cell.isin(hot)).withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("id").over(bucket))
+    warm = keyed.where(cell.isin(hot))
+    shared = warm.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"))
+    return cool.where("n > 1").select("key", "id", "hub").unionByName(warm.join(shared.where("n > 1"), "key").select("key", "id", "hub"))
 
 
 _SKETCH = ["n", "bins"]
@@ -278,19 +289,36 @@ def _block_pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
 
 
-def _links_across(open_components: DataFrame, labels: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _links_across(open_components: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Links between the components that may be linked, decided on full shingle sets where both sets are at hand.
 
-    Components that hang together over open pairs are a cluster.  A cluster is dealt out in pairs of blocks of its members;
-    a task counts common shingles through an inverted index of its two blocks and reports a link only where it connects
-    components that the task has not connected yet, so links leave it, not pairs.
+    Components that hang together over open pairs are a cluster.  A cluster's largest component is connected already: its
+    blocks meet those of the other members, not one another, and the others meet in pairs of blocks.  Blocks are cut by
+    shingles, so long texts make blocks of few members.  A task counts common shingles through an inverted index of its two
+    blocks and reports a link only where it connects components that it has not connected yet, so links leave it, not pairs.
     """
     touched = components(open_components).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     known = labels.select(F.col("node").alias("id"), "component")
     alone = touched.select(F.col("component").alias("id"), "component").join(known.select("id"), "id", "left_anti")
-    members = cut_lineage(known.unionByName(alone).join(touched, "component").select("id", "component", "cluster"))
-    sized = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
-    dealt = _block_pairs(members.join(sized, "cluster"), "cluster", "id").join(_sets(members.select("id"), documents), "id")
+    sized = classes.groupBy("id").agg(F.sum("n").alias("shingles"))
+    members = known.unionByName(alone).join(touched, "component").join(sized, "id")
+    members = cut_lineage(members.select("id", "component", "cluster", "shingles"))
+    parts = members.groupBy("cluster", "component").agg(F.sum("shingles").alias("shingles"))
+    major = F.max_by("component", F.struct("shingles", "component")).alias("major")
+    clusters = parts.groupBy("cluster").agg(major, F.max("shingles").alias("most"), F.sum("shingles").alias("all"))
+    blocks = lambda shingles: F.greatest(F.ceil(shingles / LINK_BLOCK), F.lit(1)).cast("int")
+    clusters = clusters.select("cluster", "major", blocks(F.col("most")).alias("cores"), blocks(F.col("all") - F.col("most")).alias("blocks"))
+    members = members.drop("shingles").join(clusters, "cluster")
+    others = members.where("component <> major")
+    among = _block_pairs(others, "cluster", "id")
+    place = lambda n: F.pmod(F.xxhash64("cluster", "id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = others.withColumns({"i": place("blocks"), "j": each("cores")})
+    side = side.withColumns({"j": -1 - F.col("j"), "mine": F.col("i")})  # blocks of the largest component have numbers below 0
+    core = members.where("component = major").withColumns({"j": -1 - place("cores"), "i": each("blocks")}).withColumn("mine", F.col("j"))
+    columns = ["cluster", "i", "j", "mine", "id", "component"]
+    dealt = among.select(*columns).unionByName(side.select(*columns)).unionByName(core.select(*columns))
+    dealt = dealt.join(_sets(members.select("id"), documents), "id")
 
     def link(key, table):
         mine, ids, label = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
@@ -350,7 +378,7 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature
     links = links.unionByName(held.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
     labels = components(links)
     still_open = cut_lineage(_open_components(buckets, labels, classes, config, percent))
-    second = _links_across(still_open, labels, documents, percent)
+    second = _links_across(still_open, labels, classes, documents, percent)
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     final = components(joined)
     owners = named.select("doc_id", "digest").distinct().join(classes.select("id", "digest"), "digest")
