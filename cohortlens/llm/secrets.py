@@ -165,16 +165,18 @@ def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
     if b"AKIA" in data:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     view = np.frombuffer(data, np.uint8)
-    found += [(*_points(text, data, s, e), 2) for s, e in _runs(view, _HEX, MIN_HEX)]
+    runs = _runs(view, _HEX, MIN_HEX)
+    found += [(*span, 2) for span in _points(text, data, runs)]
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
-def _points(text: str, data: bytes, start: int, end: int) -> tuple[int, int]:
-    """Code point offsets of an ASCII run at byte offsets."""
-    if len(text) == len(data):
-        return start, end
-    before = len(data[:start].decode("utf-8", "surrogatepass"))
-    return before, before + end - start
+def _points(text: str, data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code point offsets of ASCII runs at byte offsets; lead bytes are counted once for all runs."""
+    if len(text) == len(data) or not runs:
+        return list(runs)
+    before = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int32)
+    starts = [int(before[s]) - 1 for s, _ in runs]  # a run starts on a lead byte, which its own count includes
+    return [(at, at + e - s) for at, (s, e) in zip(starts, runs)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -200,10 +202,11 @@ def _scan(documents: DataFrame) -> DataFrame:
             text = text or ""
             data = text.encode("utf-8", "surrogatepass")
             spans = base_spans(text, data)
-            tested = []
-            for s, e in candidates(np.frombuffer(data, np.uint8)):
-                if (result := battery(data[s:e].decode())) is not None:
-                    tested.append((*_points(text, data, s, e), _stratum(result[0], e - s), min(BINS - 1, int(result[1] * BINS)), _signed(data[s:e])))
+            judged = [(s, e, result) for s, e in candidates(np.frombuffer(data, np.uint8)) if (result := battery(data[s:e].decode())) is not None]
+            places = _points(text, data, [(s, e) for s, e, _ in judged])
+            tested = [
+                (*place, _stratum(code, e - s), min(BINS - 1, int(p * BINS)), _signed(data[s:e])) for place, (s, e, (code, p)) in zip(places, judged)
+            ]
             kinds = [k for _, _, k in spans]
             values = (
                 doc, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(spans).encode()).hexdigest(),

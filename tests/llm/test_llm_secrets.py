@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import llm_cases
 import pytest
@@ -111,3 +112,14 @@ def test_copies_of_a_lone_key_are_one_token(spark):
     rows = [(i, f"see {key} here") for i in range(30)]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["n_random"] for r in got] == [1] * 30
+
+
+def test_long_texts_beyond_ascii():
+    """Offsets count code points, and lead bytes are counted once: time stays in proportion to the text."""
+    key = "0123456789abcdef" * 2
+    text = f"\u00e9\U0001f600 {key} \ud800 " * 60_000
+    data = text.encode("utf-8", "surrogatepass")
+    begun = time.monotonic()
+    spans = secrets.base_spans(text, data)
+    assert time.monotonic() - begun < 10
+    assert len(spans) == 60_000 and all(text[s:e] == key and k == 2 for s, e, k in spans[::997])
