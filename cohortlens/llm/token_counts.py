@@ -54,9 +54,10 @@ class Rollup:
     """Totals in a folder all executors share.
 
     ``changes`` holds every batch's signed rows by document, ``deltas`` the same added up by group.  Sums are all there is,
-    so a total is the sum of deltas and a document's present counts are the sum of its changes.  A batch has an id; its two
-    folders are replaced as a whole, and it counts only once its delta folder is marked as finished, so committing a
-    batch again (a retry, a second run) changes nothing.  A batch is worked out against the batches with smaller ids.
+    so a total is the sum of deltas and a document's present counts are the sum of its changes.  A batch has an id; every
+    attempt to commit it writes two fresh folders, and a marker, made in one step when both are whole, names the attempt.
+    The last marker of a batch counts.  An attempt that dies leaves no marker, so the batch stays as it was published before;
+    committing a batch again (a retry, a second run) changes nothing.  A batch is worked out against those with smaller ids.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
@@ -82,26 +83,45 @@ class Rollup:
 
     def _present(self, batch_id: int, doc_ids: DataFrame, sign: int) -> DataFrame:
         wanted = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-        earlier = self._read("changes", [b for b in self._finished() if b < batch_id]).join(wanted, "doc_id", "left_semi")
+        earlier = self._read("changes", {b: a for b, a in self._finished().items() if b < batch_id}).join(wanted, "doc_id", "left_semi")
         sums = [(sign * F.sum(m)).alias(m) for m in MEASURES]
         return earlier.groupBy("doc_id", *GROUP).agg(*sums).where(" or ".join(f"{m} <> 0" for m in MEASURES))
 
     def _commit(self, batch_id: int, rows: DataFrame) -> None:
-        changes, deltas = self._path("changes", batch_id), self._path("deltas", batch_id)
-        rows.select("doc_id", *GROUP, *MEASURES).write.mode("overwrite").parquet(changes)
-        summed = self.spark.read.parquet(changes).groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        summed.write.mode("overwrite").parquet(deltas)
-
-    def _path(self, table: str, batch_id: int) -> str:
-        return f"{self.folder}/{table}/batch-{batch_id:012d}"
-
-    def _finished(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/deltas/batch-*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(f.getPath().getParent().getName().removeprefix("batch-")) for f in found or [])
-
-    def _read(self, table: str, batches: list[int]) -> DataFrame:
+        attempt = uuid.uuid4().hex
+        changes = self._path("changes", batch_id, attempt)
+        rows.select("doc_id", *GROUP, *MEASURES).write.parquet(changes)
+        self._sum_up(batch_id, attempt)
+        self._publish(batch_id, attempt)
+
+    def _sum_up(self, batch_id: int, attempt: str) -> None:
+        changes = self.spark.read.parquet(self._path("changes", batch_id, attempt))
+        changes.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]).write.parquet(self._path("deltas", batch_id, attempt))
+
+    def _publish(self, batch_id: int, attempt: str) -> None:
+        version = 1 + max((v for b, v, _ in self._markers() if b == batch_id), default=0)
+        path, files = self._on_files(f"{self.folder}/commits/{batch_id:012d}-{version:09d}-{attempt}")
+        files.mkdirs(path)
+
+    def _path(self, table: str, batch_id: int, attempt: str = "") -> str:
+        return f"{self.folder}/{table}/batch-{batch_id:012d}-{attempt}"
+
+    def _on_files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _markers(self) -> list[tuple[int, int, str]]:
+        """(batch, version, attempt) of every published attempt, in that order."""
+        path, files = self._on_files(f"{self.folder}/commits/*")
+        names = [f.getPath().getName().split("-") for f in files.globStatus(path) or []]
+        return sorted((int(batch), int(version), attempt) for batch, version, attempt in names)
+
+    def _finished(self) -> dict[int, str]:
+        """The attempt that counts of every batch."""
+        return {batch: attempt for batch, _, attempt in self._markers()}
+
+    def _read(self, table: str, batches: dict[int, str]) -> DataFrame:
         schema = ("doc_id long, " if table == "changes" else "") + "source string, lang string, tokenizer string, docs long, tokens long, chars long"
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self._path(table, b) for b in batches])
+        return self.spark.read.schema(schema).parquet(*[self._path(table, b, attempt) for b, attempt in batches.items()])

@@ -64,6 +64,26 @@ def test_unfinished_batches_do_not_count(spark, rollup):
     assert totals(rollup) == brute(rows)
 
 
+@pytest.mark.parametrize("step", ["_sum_up", "_publish"])
+def test_a_retry_that_dies_leaves_the_batch_as_published(spark, rollup, monkeypatch, step):
+    schema = "doc_id long, text string, lang string, source string"
+    counted = lambda rows: token_counts.counted(spark.createDataFrame(rows, schema))
+    rows = [(1, "a b c", "en", "s"), (2, "d", "fr", "t")]
+    rollup.insert(1, counted(rows))
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(rollup, step, die)
+        rollup.insert(1, counted([(1, "other words here now", "en", "s")]))
+    assert totals(rollup) == brute(rows)
+    rollup.delete(2, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert totals(rollup) == {}
+    rollup.insert(1, counted(rows))  # the retry done at last
+    assert totals(rollup) == {}
+
+
 def test_edges(spark, rollup):
     docs = llm_cases.documents(spark)
     rollup.insert(1, token_counts.counted(docs))
