@@ -21,10 +21,12 @@ from ..functions import scale
 from ..functions import vectors as vec
 from ..functions.numeric import pick, r6
 from .centroids import mean_vectors
-from .scoring import attach, held_models
+from .scoring import attach
 
 STABLE, MODERATE = 0.99, 0.95  # fixed values
 NULL_SAMPLES, NULL_SEED = 4096, 260623  # fixed values
+NULL_BLOCK = 16_384  # null scores of one model in one array
+MODELS_AT_ONCE, SAMPLES_AT_ONCE = 128, 512  # models and samples of one matrix product
 _HEX = 13  # hex digits of a draw: 52 bits, exact in a double
 
 
@@ -56,10 +58,11 @@ def words(seed: int, resample, node, count) -> np.ndarray:
     """64 random bits for every (resample, node, count): one round of splitmix64 over their weighted sum."""
     parts = [np.asarray(x).astype(_U) for x in (resample, node, count)]
     factors = [_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15)]
-    x = sum(part * factor for part, factor in zip(parts, factors)) + _U(seed) * _U(0xA0761D6478BD642F)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    with np.errstate(over="ignore"):
+        x = sum(part * factor for part, factor in zip(parts, factors)) + _U(seed) * _U(0xA0761D6478BD642F)
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
 
 
 _SMALL_FACTORIALS = np.array([math.lgamma(k + 1.0) for k in range(64)])
@@ -203,79 +206,129 @@ def centroid_stability(
     )
 
 
-def _scores_of_all(pairs: list[tuple[np.ndarray, np.ndarray]]):
-    """Kernel: centroid score of a vector against every held model of its width, as (number, score)."""
+def _normals(samples: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Standard normals, a row per sample: Box-Muller over two words of 52 bits for every component."""
+    u, v = ((words(seed, samples[:, None], np.arange(width)[None], count) >> _U(12)) / 2.0**52 for count in (0, 1))
+    return np.sqrt(-2.0 * np.log(u + 2.0**-52)) * np.cos(2.0 * 3.141592653589793 * v)
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("__m", T.IntegerType()), T.StructField("null_score", T.DoubleType())])))
-    def score(vectors: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-        found: list[list[dict]] = [[] for _ in lengths]
-        for width in np.unique(lengths[lengths > 0]):
-            rows = np.flatnonzero(lengths == width)
-            numbers = [i for i, (mean, _) in enumerate(pairs) if len(mean) == width]
-            matrix = vec.flat(vectors.take(pa.array(rows)))[0].reshape(-1, width)
-            norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-            total = 0.0
-            for side in (0, 1):
-                centres = np.stack([pairs[i][side] for i in numbers])
-                total = total + vec.guarded_cosine(matrix @ centres.T, norms, np.sqrt(np.einsum("ij,ij->i", centres, centres))[None])
-            for row, scores in zip(rows, total / 2.0):
-                found[row] = [{"__m": i, "null_score": s} for i, s in zip(numbers, scores.tolist())]
-        return pa.array(found, pa.list_(pa.struct([("__m", pa.int32()), ("null_score", pa.float64())])))
 
-    return score
+def _scores_of_block(first: int, count: int, means: np.ndarray, medians: np.ndarray, seed: int) -> np.ndarray:
+    """Centroid score of samples ``first`` .. ``first + count - 1`` (columns) against some models of one width (rows)."""
+    scores = np.zeros((len(means), count))
+    for at in range(0, count, SAMPLES_AT_ONCE):
+        drawn = _normals(np.arange(first + at, first + min(count, at + SAMPLES_AT_ONCE)), means.shape[1], seed)
+        lengths = np.sqrt(np.einsum("ij,ij->i", drawn, drawn))[None]
+        for centres in (means, medians):
+            norms = np.sqrt(np.einsum("ij,ij->i", centres, centres))[:, None]
+            scores[:, at : at + len(drawn)] += vec.guarded_cosine(centres @ drawn.T, norms, lengths) / 2.0
+    return scores
 
 
-def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, seed: int = NULL_SEED) -> DataFrame:
-    """Centroid scores of random unit vectors against every model: (by, sample, null_score).
+def _null_arrays(models: DataFrame, by: list[str], samples: int, seed: int, in_order: bool) -> DataFrame:
+    """(by, __first, null_scores): one array per model and block of samples, sorted if ``in_order``, else by sample.
 
-    A sample's components are Box-Muller normals of two draws each.  All models of one width meet the same samples, so
-    those are drawn once per width.  Models measured small are held by the kernel: a batch of samples and all models of
-    their width are two matrix products.  Otherwise samples and models meet in a join.
+    Map-only: a task scores its own models, ``MODELS_AT_ONCE`` of them as one matrix product per block of samples, and
+    draws the samples where it needs them, so neither models nor samples travel.
     """
-    side, pairs = held_models(models, by)
-    widths = [len(mean) for mean, _ in pairs or []]
-    if pairs is not None:
-        centres = models.sparkSession.createDataFrame([(w,) for w in sorted(set(widths))], "__d int")
-    else:
-        centres = side.withColumn("__d", F.size("__mean"))
-    tasks = max(models.sparkSession.sparkContext.defaultParallelism, 1)
-    rows = (
-        centres.select("__d").distinct()
-        .select("__d", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-        .repartition(tasks, "sample")  # few bytes but much arithmetic: a fixed number keeps AQE from merging the tasks
+    rows = models.select(
+        *by, F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(NULL_BLOCK))).alias("__first"),
+        vec.as_vector("mean_embedding").alias("__mean"), vec.as_vector("median_embedding").alias("__median"),
     )
-    top = float(16**_HEX)
+    schema = T.StructType([*rows.select(*by, "__first").schema.fields, T.StructField("null_scores", vec.VECTOR)])
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        means, medians = batch.column("__mean"), batch.column("__median")
+        widths, others = (pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False) for c in (means, medians))
+        widths = np.where((widths == others) & (widths > 0), widths, 0)
+        firsts = batch.column("__first").to_numpy(zero_copy_only=False)
+        counts = np.where(widths > 0, np.minimum(NULL_BLOCK, samples - firsts), 0)
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        values = np.empty(starts[-1])
+        for width, first in sorted(set(zip(widths[widths > 0].tolist(), firsts[widths > 0].tolist()))):
+            same = np.flatnonzero((widths == width) & (firsts == first))
+            centres = [vec.flat(side.take(pa.array(same)))[0].reshape(-1, width) for side in (means, medians)]
+            found = _scores_of_block(first, int(counts[same[0]]), *centres, seed)
+            if in_order:
+                found.sort(axis=1)
+            values[starts[same][:, None] + np.arange(found.shape[1])] = found
+        usable = widths > 0
+        lists = vec.list_array(values, np.concatenate(([0], np.cumsum(counts[usable]))))
+        return pa.RecordBatch.from_arrays([*batch.select([*by, "__first"]).columns, vec.scatter(lists, usable)], names=schema.names)
+
+    def kernel(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, MODELS_AT_ONCE):
+                yield score(batch.slice(at, MODELS_AT_ONCE))
+
+    return rows.mapInArrow(kernel, schema)
+
+
+def null_scores(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, seed: int = NULL_SEED) -> DataFrame:
+    """Centroid scores of random unit vectors against every model, a row each: (by, sample, null_score).
 
-    def normal(k: Column) -> Column:
-        u = (draw(F.lit(seed), F.col("sample"), k, F.lit("u")) + 1) / (top + 1.0)
-        v = draw(F.lit(seed), F.col("sample"), k, F.lit("v")) / top
-        return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * 3.141592653589793 * v)
+    A model without vectors, or whose two vectors differ in width, has no rows.
+    """
+    blocks = _null_arrays(models, by, samples, seed, in_order=False)
+    rows = blocks.select(*by, "__first", F.posexplode("null_scores").alias("__at", "null_score"))
+    return rows.select(*by, (F.col("__first") + F.col("__at")).alias("sample"), "null_score")
 
-    drawn = rows.withColumn("__x", F.transform(F.sequence(F.lit(0), F.col("__d") - 1), normal))
-    if pairs is not None:
-        scored = drawn.select("sample", F.explode(_scores_of_all(pairs)(F.col("__x"))).alias("s")).select("sample", "s.*")
-        return scored.join(F.broadcast(side), "__m").select(*by, "sample", "null_score")
-    drawn = drawn.join(centres, "__d")
-    cosines = drawn.withColumns({"__a": vec.cosine("__x", "__mean"), "__b": vec.cosine("__x", "__median")})
-    return cosines.select(*by, "sample", ((F.col("__a") + F.col("__b")) / 2.0).alias("null_score"))
+
+def null_distribution(models: DataFrame, by: list[str], samples: int = NULL_SAMPLES, seed: int = NULL_SEED) -> DataFrame:
+    """(by, null_scores): the same scores as one sorted array per model, of ``samples`` numbers; null for an unusable model.
+
+    Up to ``NULL_BLOCK`` samples nothing is shuffled; more come as sorted blocks and are merged per model.  ``by`` names a
+    model; null keys are keys like others.
+    """
+    blocks = _null_arrays(models, by, samples, seed, in_order=True)
+    if samples <= NULL_BLOCK:
+        return blocks.drop("__first")
+    merged = F.array_sort(F.flatten(F.collect_list("null_scores")))
+    return blocks.groupBy(*by).agg(F.when(F.count("null_scores") > 0, merged).alias("null_scores"))
+
+
+_NULL_PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+@F.arrow_udf(vec.doubles(["null_mean", "null_std", *_NULL_PROBS]))
+def _distribution_stats(scores: pa.Array) -> pa.Array:
+    ok = scores.is_valid().to_numpy(zero_copy_only=False)
+    values, starts = vec.flat(scores.filter(pa.array(ok)))
+    counts = np.diff(starts)
+    mean = vec.row_sums(values, starts) / counts
+    spread = np.sqrt(vec.row_sums((values - np.repeat(mean, counts)) ** 2, starts) / counts)
+    cuts = []
+    for p in _NULL_PROBS.values():
+        place = p * (counts - 1)
+        low = np.floor(place).astype(np.int64)
+        below, above = values[starts[:-1] + low], values[starts[:-1] + np.minimum(low + 1, counts - 1)]
+        cuts.append(below + (above - below) * (place - low))
+    names = ["null_mean", "null_std", *_NULL_PROBS]
+    return vec.scatter(pa.StructArray.from_arrays([pa.array(c) for c in (mean, spread, *cuts)], names), ok)
+
+
+@F.arrow_udf(T.DoubleType())
+def _share_at_most(scores: pa.Array, observed: pa.Array) -> pa.Array:
+    ok = (scores.is_valid().to_numpy(zero_copy_only=False)) & (observed.is_valid().to_numpy(zero_copy_only=False))
+    keep = pa.array(ok)
+    values, starts = vec.flat(scores.filter(keep))
+    wanted = observed.filter(keep).to_numpy(zero_copy_only=False)
+    below = [np.searchsorted(values[a:b], x, "right") / (b - a) for a, b, x in zip(starts[:-1], starts[1:], wanted)]
+    return vec.scatter(pa.array(np.array(below, float)), ok)
 
 
 def null_summary(nulls: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, spread and p50 / p90 / p95 / p99 of the null scores."""
-    nulls = scale.settle(nulls)
-    moments = nulls.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("sample_count"), r6(F.avg("null_score")).alias("null_mean"), r6(F.stddev_pop("null_score")).alias("null_std")
-    )
-    cuts = scale.exact_percentiles(nulls, by, "null_score", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
-    return attach(moments, cuts, by).withColumns({p: r6(p) for p in ("p50", "p90", "p95", "p99")})
+    """Mean, spread and p50 / p90 / p95 / p99 of every model's sorted null scores (``null_distribution``), looked up in place."""
+    told = nulls.select(*by, F.coalesce(F.array_size("null_scores"), F.lit(0)).cast("bigint").alias("sample_count"), _distribution_stats("null_scores").alias("__s"))
+    return told.select(*by, "sample_count", *[r6(f"__s.{c}").alias(c) for c in ("null_mean", "null_std", *_NULL_PROBS)])
 
 
 def observed_percentiles(nulls: DataFrame, observed: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
-    """Share of null scores at or below each observed score, per group; ``observed`` has one row per group."""
-    joined = attach(nulls, observed.select(*by, *scores), by, rows=True)
-    shares = [r6(F.avg(F.when(F.col(s).isNotNull(), (F.col("null_score") <= F.col(s)).cast("double")))).alias(f"{s}_percentile") for s in scores]
-    return joined.groupBy(*by).agg(*shares)
+    """Share of null scores at or below each observed score, found in the model's sorted scores (``null_distribution``).
+
+    ``observed`` has one row per group; a missing score, or a model without null scores, has a null share.
+    """
+    joined = attach(nulls, observed.select(*by, *scores), by)
+    return joined.select(*by, *[r6(_share_at_most("null_scores", F.col(s).cast("double"))).alias(f"{s}_percentile") for s in scores])
 
 
 def model_audit(models: DataFrame, stability: DataFrame, by: list[str]) -> DataFrame:

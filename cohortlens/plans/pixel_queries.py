@@ -90,14 +90,14 @@ def d15(t):
     return rs.model_audit(cen.centroid_models(rows, ["cohort"]), rs.centroid_stability(rows, ["cohort"], resamples=RESAMPLES, bits=BITS), ["cohort"])
 
 
-TOP = f"{16 ** 13}e0"
 NULLS = f"""{ITEM_ROWS}, cen AS ({model('items', 'cohort,')}), smp AS (SELECT unnest(range(4096)) AS sample), comp AS (SELECT sample, unnest(range(64)) AS k FROM smp),
-gauss AS (SELECT sample, list(sqrt(-2e0 * ln(({_hash(260623, 'sample', 'k', "'u'")} + 1) / ({TOP} + 1))) * cos(2e0 * 3.141592653589793e0 * ({_hash(260623, 'sample', 'k', "'v'")} / {TOP})) ORDER BY k) AS x FROM comp GROUP BY sample),
+ud AS (SELECT sample, k, {_word('sample', 'k', 0, 260623)}, (word >> 12)::DOUBLE / {2 ** 52}e0 AS u FROM comp), vd AS (SELECT sample, k, {_word('sample', 'k', 1, 260623)}, (word >> 12)::DOUBLE / {2 ** 52}e0 AS v FROM comp),
+gauss AS (SELECT sample, list(sqrt(-2e0 * ln(u + 1e0 / {2 ** 52}e0)) * cos(2e0 * 3.141592653589793e0 * v) ORDER BY k) AS x FROM ud JOIN vd USING (sample, k) GROUP BY sample),
 nul AS (SELECT cohort, sample, ({cos('x', 'mean_v')} + {cos('x', 'med_v')}) / 2 AS s FROM cen, gauss)"""
 
 
 def nulls(t):
-    return rs.null_scores(cen.centroid_models(items(t), ["cohort"]), ["cohort"])
+    return rs.null_distribution(cen.centroid_models(items(t), ["cohort"]), ["cohort"])
 
 
 @query("e6_null_calibration", f"WITH {NULLS} SELECT cohort, count(*) AS sample_count, round(avg(s), 6) AS null_mean, round(stddev_pop(s), 6) AS null_std, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99 FROM nul GROUP BY cohort")

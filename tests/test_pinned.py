@@ -320,14 +320,47 @@ def test_models_held_or_joined_score_alike(spark, monkeypatch):
 
     def answers():
         scored = scoring.score_items(items, models, ["g"]).select("item_id", *scoring.SCORE_COLUMNS).orderBy("item_id").collect()
-        nulls = resampling.null_scores(models, ["g"], samples=20).orderBy("g", "sample").collect()
-        return [tuple(r)[1:] for r in scored], [r["null_score"] for r in nulls]
+        return [tuple(r)[1:] for r in scored]
 
     held = answers()
     real = scoring.held_models
-    for module in (scoring, resampling):
-        monkeypatch.setattr(module, "held_models", lambda m, by: real(m, by, -1))
+    monkeypatch.setattr(scoring, "held_models", lambda m, by: real(m, by, -1))
     joined = answers()
-    assert [[v is None for v in r] for r in held[0]] == [[v is None for v in r] for r in joined[0]]
+    assert [[v is None for v in r] for r in held] == [[v is None for v in r] for r in joined]
     flat = lambda rows: [v for r in rows for v in r if v is not None]
-    assert np.allclose(flat(held[0]), flat(joined[0])) and np.allclose(held[1], joined[1]) and len(held[1]) == 40
+    assert np.allclose(flat(held), flat(joined))
+
+
+def test_null_scores_in_blocks_summed_up_and_looked_up(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = {"a": rng.normal(size=(2, 5)), "b": rng.normal(size=(2, 5)), None: rng.normal(size=(2, 3)), "zero": np.zeros((2, 4))}
+    rows = [(g, *v.tolist()) for g, v in vectors.items()] + [("none", None, [1.0]), ("empty", [], []), ("uneven", [1.0, 2.0], [1.0])]
+    models = spark.createDataFrame(rows, "g string, mean_embedding array<double>, median_embedding array<double>")
+    monkeypatch.setattr(resampling, "NULL_BLOCK", 16)
+    monkeypatch.setattr(resampling, "SAMPLES_AT_ONCE", 7)
+
+    def cosine(x, y):
+        return x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) if (y @ y) > 0 else 0.0
+
+    want = {}
+    for g, (mean, median) in vectors.items():
+        samples = resampling._normals(np.arange(50), len(mean), 9)
+        want[g] = [(cosine(x, mean) + cosine(x, median)) / 2 for x in samples]
+    got = resampling.null_scores(models, ["g"], samples=50, seed=9).collect()
+    assert len(got) == 200
+    for row in got:
+        assert abs(row["null_score"] - want[row["g"]][row["sample"]]) < 1e-12
+    for block in (16, 64):  # several merged blocks, one block
+        monkeypatch.setattr(resampling, "NULL_BLOCK", block)
+        nulls = resampling.null_distribution(models, ["g"], samples=50, seed=9)
+        found = {r["g"]: r for r in resampling.null_summary(nulls, ["g"]).collect()}
+        assert len(found) == 7 and found["none"]["sample_count"] == 0 and found["empty"]["p50"] is None and found["uneven"]["null_mean"] is None
+        for g, scores in want.items():
+            expected = [np.mean(scores), np.std(scores), *np.quantile(scores, [0.5, 0.9, 0.95, 0.99])]
+            assert found[g]["sample_count"] == 50 and np.allclose(list(found[g])[2:], expected, atol=1e-6)
+        observed = spark.createDataFrame([("a", 0.1, None), (None, 9.0, -9.0), ("none", 0.0, 0.0)], "g string, s double, t double")
+        shares = {r["g"]: tuple(r)[1:] for r in resampling.observed_percentiles(nulls, observed, ["g"], ["s", "t"]).collect()}
+        assert shares["a"] == (round(np.mean(np.array(want["a"]) <= 0.1), 6), None) and shares[None] == (1.0, 0.0) and shares["none"] == (None, None)
+    assert resampling.null_summary(resampling.null_distribution(models.limit(0), ["g"]), ["g"]).count() == 0
+    drawn = resampling._normals(np.arange(20000), 3, 1)
+    assert abs(drawn.mean()) < 0.02 and abs(drawn.std() - 1) < 0.02
