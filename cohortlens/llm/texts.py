@@ -71,6 +71,14 @@ def bound_batches(df: DataFrame) -> None:
         conf.set(name, str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where the kernel turns a batch into column dictionaries (arrays or lists), in the schema's order."""
     bound_batches(df)

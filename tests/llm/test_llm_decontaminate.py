@@ -1,4 +1,5 @@
 import random
+import time
 
 import llm_cases
 import numpy as np
@@ -100,3 +101,33 @@ def test_marked_words_are_not_used_twice():
     pattern = np.array(words, np.uint64)
     tiles = decontaminate.tile(pattern, np.concatenate((pattern, pattern)), 5)
     assert sum(n for _, _, n in tiles) == 30
+
+
+@pytest.mark.parametrize("gap", [10**9, 50])
+def test_repetitive_texts_take_no_quadratic_steps(gap):
+    def junk(n, breaks):
+        words = np.full(n, 7, np.uint64)
+        words[gap - 1 :: gap] = np.arange(len(words[gap - 1 :: gap])) + breaks
+        return words
+
+    pattern, text = junk(20_000, 1000), junk(20_000, 10**6)
+    started = time.process_time()
+    tiles = decontaminate.tile(pattern, text, 5)
+    assert time.process_time() - started < 5
+    assert sum(n for _, _, n in tiles) == (pattern == 7).sum()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tiling_with_equal_hashes_of_different_words(seed, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_FACTOR", 1)  # sums without places: every reordered run has the same hash
+    rng = np.random.default_rng(seed)
+    pattern, text = (rng.integers(1, 5, int(n)).astype(np.uint64) for n in rng.integers(10, 40, 2))
+    tiles = decontaminate.tile(pattern, text, 3)
+    assert all((pattern[p : p + n] == text[t : t + n]).all() for p, t, n in tiles)
+    assert sum(n for _, _, n in tiles) == naive_tiling(pattern.tolist(), text.tolist(), 3)
+
+
+def test_clashing_names_stay(spark):
+    docs, bench = tables(spark)
+    kept = decontaminate.drop_contaminated(docs.selectExpr("*", "1 AS __bad"), bench)
+    assert kept.columns[-1] == "__bad" and kept.count() == 5
