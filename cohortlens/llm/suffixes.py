@@ -11,7 +11,6 @@ their single strings go the same way in a second pass, dealt by string.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import shared_folder
+from ..functions.scale import cut_lineage
 from . import texts
 from .texts import U64, mix
 
@@ -146,55 +145,80 @@ def _slices(documents: list[bytes]) -> Iterator[_Slice]:
         yield _Slice(held)
 
 
-_COLUMNS = (("key", "<u8"), ("tag", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "u1"))
+_COLUMNS = (("key", "<u8"), ("tag", "<u4"), ("start", "<u4"), ("count", "u1"))
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places where a run of equal rows begins."""
+    change = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(change) + 1)) if len(columns[0]) else np.empty(0, np.int64)
 
 
 def _packed(columns: dict[str, np.ndarray], pick: np.ndarray) -> bytes:
-    """Some entries as one compressed blob, a column after the other; starts as differences."""
-    parts = [np.diff(columns[n][pick].astype(t), prepend=0).astype(t) if n == "start" else columns[n][pick].astype(t) for n, t in _COLUMNS]
+    """Some entries as one compressed blob: every document once with its number of entries, then a column after the other."""
+    doc, row = columns["doc"][pick], columns["row"][pick]
+    heads = _heads(doc, row)
+    parts = [doc[heads].astype("<i8"), row[heads].astype("<i8"), np.diff(np.append(heads, len(pick))).astype("<u4")]
+    for name, kind in _COLUMNS:
+        values = columns[name][pick].astype(kind)
+        parts.append(np.diff(values, prepend=values.dtype.type(0)) if name == "start" else values)
     raw = b"".join(p.tobytes() for p in parts)
-    return len(pick).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(pick).to_bytes(8, "little") + len(heads).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
     sides = []
     width = sum(np.dtype(t).itemsize for _, t in _COLUMNS)
     for blob in blobs:
-        n = int.from_bytes(blob[:8], "little")
-        raw, at, side = pa.decompress(blob[8:], n * width, "zstd", asbytes=True), 0, {}
+        n, heads = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+        raw, at = pa.decompress(blob[16:], n * width + heads * 20, "zstd", asbytes=True), heads * 20
+        times = np.frombuffer(raw, "<u4", heads, heads * 16)
+        side = {name: np.repeat(np.frombuffer(raw, "<i8", heads, i * heads * 8), times) for i, name in enumerate(("doc", "row"))}
         for name, kind in _COLUMNS:
             side[name] = np.frombuffer(raw, kind, n, at)
             at += n * np.dtype(kind).itemsize
         side["start"] = np.cumsum(side["start"], dtype=np.uint32)
         sides.append(side)
-    return {name: np.concatenate([s[name] for s in sides]) for name, _ in _COLUMNS}
+    return {name: np.concatenate([s[name] for s in sides]) for name in ("doc", "row", *(n for n, _ in _COLUMNS))}
 
 
 def _dealt(columns: dict[str, np.ndarray], route: np.ndarray, buckets: int) -> Iterator[dict]:
-    """Blobs by bucket.  An entry whose key the batch has in a smaller doc_id is known to be repeated: it goes to a negative
-    bucket and is not sorted again, so a key sends one document's entries per batch however often it occurs."""
+    """Blobs by bucket.  An entry whose key the batch has in a smaller doc_id is known to be repeated: it goes, without its
+    key, to a negative bucket that its document names and is not looked up again.  So a key sends one document's entries per
+    batch however often it occurs, and no bucket grows with the number of documents that share a passage."""
     if len(columns["key"]) == 0:
         return
     order = np.lexsort((columns["doc"], columns["key"]))
-    keys = columns["key"][order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    lowest = columns["doc"][order][first][np.cumsum(first) - 1]
-    known = np.zeros(len(keys), bool)
+    heads = _heads(columns["key"][order])
+    lowest = np.repeat(columns["doc"][order][heads], np.diff(np.append(heads, len(order))))
+    known = np.zeros(len(order), bool)
     known[order] = columns["doc"][order] > lowest
-    bucket = (route % U64(buckets)).astype(np.int64)
-    bucket[known] = -1 - bucket[known]
+    by_document = (mix(columns["doc"].astype(U64)) % U64(buckets)).astype(np.int64)
+    bucket = np.where(known, -1 - by_document, (route % U64(buckets)).astype(np.int64))
+    columns = columns | {name: np.where(known, 0, columns[name]).astype(columns[name].dtype) for name in ("key", "tag")}
     by_bucket = np.argsort(bucket, kind="stable")
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[by_bucket])) + 1, [len(by_bucket)]))
+    edges = np.append(_heads(bucket[by_bucket]), len(by_bucket))
     for a, b in zip(edges[:-1], edges[1:]):
         yield {"bucket": [bucket[by_bucket[a]]], "entries": [_packed(columns, by_bucket[a:b])]}
 
 
-def _found(columns: dict[str, np.ndarray], pick: np.ndarray, risky: np.ndarray | bool = False) -> dict:
-    found = {n: columns[n][pick].astype(np.int64) for n in ("doc", "row", "start", "count")}
-    return found | {"risky": np.broadcast_to(risky, len(pick))}
+_FOUND = "doc long, row long, found array<long>, risky array<long>"  # stretches as 256 * start + number of strings
 
 
-_FOUND = "doc long, row long, start long, count long, risky boolean"
+def _by_row(columns: dict[str, np.ndarray], found: np.ndarray, risky: np.ndarray) -> dict:
+    """Picked entries, a row per document with two lists of stretches."""
+    pick = np.concatenate((found, risky))
+    order = np.lexsort((columns["row"][pick], columns["doc"][pick]))
+    pick, marked = pick[order], (np.arange(len(pick)) >= len(found))[order]
+    doc, row = columns["doc"][pick], columns["row"][pick]
+    packed = columns["start"][pick].astype(np.int64) * 256 + columns["count"][pick]
+    heads, lists = _heads(doc, row), {}
+    for name, wanted in (("found", ~marked), ("risky", marked)):
+        ends = np.concatenate(([0], np.cumsum(wanted)))[np.append(heads, len(pick))].astype(np.int32)
+        lists[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed[wanted]))
+    return {"doc": doc[heads], "row": row[heads], **lists}
 
 
 def _scanned(dealt: DataFrame, look_for_risk: bool) -> DataFrame:
@@ -203,25 +227,23 @@ def _scanned(dealt: DataFrame, look_for_risk: bool) -> DataFrame:
 
     def bucket_task(key, table):
         columns = _unpacked(table.column("entries").to_pylist())
+        risky = np.empty(0, np.int64)
         if key[0].as_py() < 0:
-            found = _found(columns, np.arange(len(columns["key"])))
+            found = np.arange(len(columns["key"]))
         else:
-            earliest = scan(columns["key"], columns["doc"])
-            repeated = columns["doc"] > earliest
-            pick, risky = np.flatnonzero(repeated), False
+            repeated = columns["doc"] > scan(columns["key"], columns["doc"])
+            found = np.flatnonzero(repeated)
             if look_for_risk:
                 # first holders of stretches whose anchor also has other stretches
                 order = np.lexsort((columns["key"], columns["tag"]))
                 tags, keys = columns["tag"][order], columns["key"][order]
-                group = np.concatenate(([True], tags[1:] != tags[:-1]))
-                at = np.flatnonzero(group)
+                at = _heads(tags)
                 mixed = np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
                 shared = np.zeros(len(keys), bool)
-                shared[order] = mixed[np.cumsum(group) - 1]
-                pick = np.flatnonzero(repeated | shared)
-                risky = ~repeated[pick]
-            found = _found(columns, pick, risky)
-        return pa.table({f.name: pa.array(found[f.name], f.type) for f in arrow}, schema=arrow)
+                shared[order] = np.repeat(mixed, np.diff(np.append(at, len(keys))))
+                risky = np.flatnonzero(shared & ~repeated)
+        rows = _by_row(columns, found, risky)
+        return pa.table([pa.array(rows[f.name], f.type) for f in arrow], schema=arrow)
 
     return dealt.groupBy("bucket").applyInArrow(bucket_task, schema)
 
@@ -255,17 +277,17 @@ def _stretches(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def _single_strings(risky: DataFrame, buckets: int) -> DataFrame:
-    """Every string of the risky stretches as an entry of its own.  ``risky``: doc, row, text and its stretches."""
+    """Every string of the risky stretches as an entry of its own.  ``risky``: doc, row, text and its risky stretches."""
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         parts = []
-        for i, (text, stretches) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            data = text.encode("utf-8", "surrogatepass")
+        for i, (text, stretches) in enumerate(zip(batch.column(2), batch.column(3))):
+            data = text.as_py().encode("utf-8", "surrogatepass")
+            packed = stretches.values.to_numpy()
             wanted = np.zeros(len(data) + 1, np.int64)
-            for s in stretches:
-                wanted[s["start"]] += 1
-                wanted[s["start"] + s["count"]] -= 1
+            np.add.at(wanted, packed >> 8, 1)
+            np.add.at(wanted, (packed >> 8) + (packed & 255), -1)
             strings = np.flatnonzero(np.cumsum(wanted) > 0)
             for base in range(0, max(1, len(data) - LENGTH + 1), SLICE - LENGTH + 1):
                 inside = strings[(strings >= base) & (strings < base + SLICE - LENGTH + 1)]
@@ -284,36 +306,35 @@ def _single_strings(risky: DataFrame, buckets: int) -> DataFrame:
     return texts.map_batches(risky, kernel, "bucket long, entries binary")
 
 
-def _by_document(found: DataFrame) -> DataFrame:
+def _by_document(found: DataFrame, *lists: str) -> DataFrame:
     """Stretches of every document in one row; their number is bounded by the document's length."""
-    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count")).alias("stretches"))
+    return found.groupBy("doc", "row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
 
 
-def covered_spans(stretches: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal byte runs that the strings of some stretches cover."""
-    runs: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["start"] + s["count"] - 1 + LENGTH) for s in stretches or []):
-        if runs and start <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], end))
-        else:
-            runs.append((start, end))
-    return runs
+def covered_spans(stretches: np.ndarray) -> list[list[int]]:
+    """Maximal byte runs [start, end) that the strings of some stretches (256 * start + number of strings) cover."""
+    if len(stretches) == 0:
+        return []
+    ordered = np.sort(stretches)
+    start = ordered >> 8
+    reached = np.maximum.accumulate(start + (ordered & 255) - 1 + LENGTH)
+    first = np.concatenate(([True], start[1:] > reached[:-1]))
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(start) - 1)
+    return np.stack((start[first], reached[last]), axis=1).tolist()
 
 
-def repeated_stretches(documents: DataFrame) -> DataFrame:
-    """doc, row (hash of the text) and stretches of strings that also start in a document with a smaller doc_id."""
-    spark = documents.sparkSession
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
-    keyed = keyed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH))
+def repeated_stretches(keyed: DataFrame) -> DataFrame:
+    """doc, row (hash of the text) and stretches of strings that also start in a document with a smaller doc_id.
+
+    ``keyed``: doc, row, text, without nulls.  What the first pass finds is stored by document.
+    """
     size = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    path = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
-    _scanned(_stretches(keyed, buckets), look_for_risk=True).write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # nothing refers to that job's shuffle any more: let Spark's cleaner remove its files
-    found = spark.read.schema(_FOUND).parquet(path)
-    risky = keyed.join(_by_document(found.where("risky")), ["doc", "row"]).select("doc", "row", "text", "stretches")
-    single = _scanned(_single_strings(risky, buckets), look_for_risk=False)
-    return _by_document(found.where("not risky").select("doc", "row", "start", "count").unionByName(single.drop("risky")))
+    first = cut_lineage(_by_document(_scanned(_stretches(keyed, buckets), look_for_risk=True), "found", "risky"))
+    risky = first.where(F.size("risky") > 0).select("doc", "row", "risky")
+    placed = keyed.repartition("doc", "row").join(risky, ["doc", "row"]).select("doc", "row", "text", "risky")
+    single = _scanned(_single_strings(placed, buckets), look_for_risk=False)
+    return _by_document(first.select("doc", "row", "found").unionByName(single.drop("risky")), "found")
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
@@ -323,19 +344,23 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     given.  Null text is empty; texts under 50 bytes lose nothing.  Rows without doc_id lose nothing and are nobody's
     earlier document.  Rows that share a doc_id do not count as earlier for each other; equal rows get equal answers.
     ``with_text`` adds spans and the bytes that stay.  Other columns are ignored; an empty table gives an empty result.
+    Texts are dealt by document once: single strings and answers read the same exchange.
     """
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
-    joined = keyed.join(repeated_stretches(documents), ["doc", "row"], "left").select("doc", "text", "stretches")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
+    usable = F.coalesce(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH), F.lit(False))
+    keyed = every.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH))
+    answered = keyed.repartition("doc", "row").join(repeated_stretches(keyed), ["doc", "row"], "left").select("doc", "text", "found")
+    joined = answered.unionByName(every.where(~usable).select("doc", "text", F.lit(None).cast("array<long>").alias("found")))
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
         out: dict[str, list] = {name: [] for name in names}
-        for doc, text, stretches in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            spans = covered_spans(stretches)
+        for doc, text, found in zip(*batch.columns):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            spans = covered_spans(found.values.to_numpy()) if found.is_valid else []
             edges = [0, *(x for span in spans for x in span), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            values = [doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [list(s) for s in spans]]
+            values = [doc.as_py(), len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans]
             for name, value in zip(names, values):
                 out[name].append(value)
         yield out
