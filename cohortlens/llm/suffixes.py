@@ -204,21 +204,7 @@ def _dealt(columns: dict[str, np.ndarray], route: np.ndarray, buckets: int) -> I
         yield {"bucket": [bucket[by_bucket[a]]], "entries": [_packed(columns, by_bucket[a:b])]}
 
 
-_FOUND = "doc long, row long, found array<long>, risky array<long>"  # stretches as 256 * start + number of strings
-
-
-def _by_row(columns: dict[str, np.ndarray], found: np.ndarray, risky: np.ndarray) -> dict:
-    """Picked entries, a row per document with two lists of stretches."""
-    pick = np.concatenate((found, risky))
-    order = np.lexsort((columns["row"][pick], columns["doc"][pick]))
-    pick, marked = pick[order], (np.arange(len(pick)) >= len(found))[order]
-    doc, row = columns["doc"][pick], columns["row"][pick]
-    packed = columns["start"][pick].astype(np.int64) * 256 + columns["count"][pick]
-    heads, lists = _heads(doc, row), {}
-    for name, wanted in (("found", ~marked), ("risky", marked)):
-        ends = np.concatenate(([0], np.cumsum(wanted)))[np.append(heads, len(pick))].astype(np.int32)
-        lists[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed[wanted]))
-    return {"doc": doc[heads], "row": row[heads], **lists}
+_FOUND = "doc long, row long, stretch long, risky boolean"  # a stretch as 256 * start + number of strings
 
 
 def _scanned(dealt: DataFrame, look_for_risk: bool) -> DataFrame:
@@ -242,8 +228,10 @@ def _scanned(dealt: DataFrame, look_for_risk: bool) -> DataFrame:
                 shared = np.zeros(len(keys), bool)
                 shared[order] = np.repeat(mixed, np.diff(np.append(at, len(keys))))
                 risky = np.flatnonzero(shared & ~repeated)
-        rows = _by_row(columns, found, risky)
-        return pa.table([pa.array(rows[f.name], f.type) for f in arrow], schema=arrow)
+        pick = np.concatenate((found, risky))
+        stretch = columns["start"][pick].astype(np.int64) * 256 + columns["count"][pick]
+        values = columns["doc"][pick], columns["row"][pick], stretch, np.arange(len(pick)) >= len(found)
+        return pa.table([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
 
     return dealt.groupBy("bucket").applyInArrow(bucket_task, schema)
 
@@ -306,9 +294,10 @@ def _single_strings(risky: DataFrame, buckets: int) -> DataFrame:
     return texts.map_batches(risky, kernel, "bucket long, entries binary")
 
 
-def _by_document(found: DataFrame, *lists: str) -> DataFrame:
+def _by_document(found: DataFrame) -> DataFrame:
     """Stretches of every document in one row; their number is bounded by the document's length."""
-    return found.groupBy("doc", "row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+    lists = {"found": ~F.col("risky"), "risky": F.col("risky")}
+    return found.groupBy("doc", "row").agg(*[F.collect_list(F.when(c, F.col("stretch"))).alias(n) for n, c in lists.items()])
 
 
 def covered_spans(stretches: np.ndarray) -> list[list[int]]:
@@ -330,11 +319,12 @@ def repeated_stretches(keyed: DataFrame) -> DataFrame:
     """
     size = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    first = cut_lineage(_by_document(_scanned(_stretches(keyed, buckets), look_for_risk=True), "found", "risky"))
+    first = cut_lineage(_by_document(_scanned(_stretches(keyed, buckets), look_for_risk=True)))
     risky = first.where(F.size("risky") > 0).select("doc", "row", "risky")
     placed = keyed.repartition("doc", "row").join(risky, ["doc", "row"]).select("doc", "row", "text", "risky")
-    single = _scanned(_single_strings(placed, buckets), look_for_risk=False)
-    return _by_document(first.select("doc", "row", "found").unionByName(single.drop("risky")), "found")
+    single = _by_document(_scanned(_single_strings(placed, buckets), look_for_risk=False)).select("doc", "row", "found")
+    both = first.select("doc", "row", "found").unionByName(single)
+    return both.groupBy("doc", "row").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
