@@ -364,3 +364,15 @@ def test_null_scores_in_blocks_summed_up_and_looked_up(spark, monkeypatch):
     assert resampling.null_summary(resampling.null_distribution(models.limit(0), ["g"]), ["g"]).count() == 0
     drawn = resampling._normals(np.arange(20000), 3, 1)
     assert abs(drawn.mean()) < 0.02 and abs(drawn.std() - 1) < 0.02
+
+
+def test_digest_and_preview_write_halves_as_c_does(spark):
+    """From the exact value: 2^-7 is a half at six decimals and goes to the even digit, 3.5e-6 lies below one, -1e-9 keeps its sign."""
+    import hashlib
+
+    values = [0.0078125, 0.0234375, 3.5e-6, -1e-9, 0.25, -3.0, 1e20]
+    df = spark.createDataFrame([(1, values), (2, None)], "k int, v array<double>")
+    got = {r["k"]: r for r in centroids.vector_summary(df, ["k"], "v").collect()}
+    want = ["0.007812", "0.023438", "0.000003", "-0.000000", "0.250000", "-3.000000", "100000000000000000000.000000"]
+    assert got[1]["digest"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert ["%.6f" % x for x in got[1]["preview"]] == want and got[2]["digest"] is None and got[2]["preview"] is None
