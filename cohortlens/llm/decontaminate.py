@@ -140,6 +140,21 @@ def _seeds(items: DataFrame, min_match: int) -> DataFrame:
     return texts.map_batches(items.select("item", "words"), kernel, "seed long, width int, item binary")
 
 
+class _Seeds:
+    """Sorted seeds with a bit table over their leading bits: most runs of a document are dropped by one look into it."""
+
+    def __init__(self, seeds: np.ndarray):
+        bits = min(26, max(10, int(64 * len(seeds)).bit_length()))  # at most 64 MB; under 2 % of it is set for up to a million seeds
+        self.seeds, self.shift = seeds, np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[seeds >> self.shift] = True
+
+    def among(self, runs: np.ndarray) -> np.ndarray:
+        """The sorted distinct ``runs`` that are seeds."""
+        maybe = np.unique(runs[self.table[runs >> self.shift]])
+        return maybe[self.seeds[np.minimum(np.searchsorted(self.seeds, maybe), len(self.seeds) - 1)] == maybe] if len(maybe) else maybe
+
+
 def _document_runs(text: str | None, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     hashes = token_hashes(text)
     return hashes, np.concatenate([texts.rolled(hashes, w) for w in widths] or [np.empty(0, np.uint64)])
@@ -167,12 +182,13 @@ def matches(
         patterns = [(row["item_id"], np.frombuffer(bytes(row["words"]), np.uint64)) for row in held]
         pairs = sorted((row["seed"] % 2**64, number[bytes(row["item"])]) for row in seeds.select("seed", "item").collect())
         sorted_seeds, owners = np.array([s for s, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+        known = _Seeds(sorted_seeds)
 
         def look_up(batch: pa.RecordBatch) -> Iterator[dict]:
             out: dict[str, list] = {name: [] for name in ("doc_id", "item_id", "matched", "item_words", "coverage")}
             for doc, text in zip(batch.column(0), batch.column(1)):
                 hashes, runs = _document_runs(text.as_py(), widths)
-                runs = np.unique(runs[np.isin(runs, sorted_seeds)])
+                runs = known.among(runs)
                 ends = (np.searchsorted(sorted_seeds, runs, side) for side in ("left", "right"))
                 shared = np.unique(np.concatenate([owners[:0], *(owners[a:b] for a, b in zip(*ends))]))
                 for item, pattern in (patterns[i] for i in shared):

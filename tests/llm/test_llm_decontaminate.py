@@ -131,3 +131,18 @@ def test_clashing_names_stay(spark):
     docs, bench = tables(spark)
     kept = decontaminate.drop_contaminated(docs.selectExpr("*", "1 AS __bad"), bench)
     assert kept.columns[-1] == "__bad" and kept.count() == 5
+
+
+def test_runs_are_looked_up_without_sorting_the_seeds_for_each_document():
+    """The same runs as a plain set gives, for no, few and many seeds; a document costs what its own runs cost."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        seeds = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+        known = decontaminate._Seeds(seeds)
+        for runs in (np.empty(0, np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64), np.concatenate((seeds[::7], seeds[:3], seeds ^ np.uint64(1)))):
+            assert known.among(runs).tolist() == sorted(set(runs.tolist()) & set(seeds.tolist()))
+    known, runs = decontaminate._Seeds(np.sort(rng.integers(0, 2**64, 1_000_000, dtype=np.uint64))), rng.integers(0, 2**64, 500, dtype=np.uint64)
+    start = time.perf_counter()
+    for _ in range(200):
+        known.among(runs)
+    assert time.perf_counter() - start < 2
