@@ -430,6 +430,10 @@ def page_state_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def ordered_manifest(candidates: DataFrame) -> DataFrame:
-    """Manifest order: slug, then address, as positions (a global sort without a single task)."""
-    return scale.row_numbers(candidates, [], [F.col("slug"), F.col("media_url"), F.col("profile_url")], "position")
+def ordered_manifest(candidates: DataFrame, key: str = "page_id") -> DataFrame:
+    """Manifest order: slug, then address, as positions (a global sort without a single task).
+
+    Pages that share an address follow by ``key``, so the positions are the same in every run.
+    """
+    order = ["slug", "media_url", "profile_url", key, "kind", "alt"]
+    return scale.row_numbers(candidates, [], [F.col(c) for c in order], "position")

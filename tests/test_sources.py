@@ -174,3 +174,19 @@ def test_strict_channels_take_the_first_source_only_if_ok(spark):
     df = spark.createDataFrame(rows, "channel string, handle string, priority int, fetch_status string, followers long")
     got = {(r["channel"], r["handle"]): r["priority"] for r in first_usable(df, ["channel", "handle"]).collect()}
     assert got == {("twitter", "a"): 2, ("twitter", "b"): 1, ("twitter", "c"): 1, ("tiktok", "a"): 1}
+
+
+def test_a_subject_folder_has_one_file(spark, tmp_path):
+    """However many tasks hold rows of a subject; rows without a subject are left out."""
+    rows = spark.range(0, 4000, 1, 16).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('s', id % 7) END AS subject")
+    files.write_by_subject(rows, str(tmp_path / "out"))
+    found = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "out").glob("subject=*")}
+    assert found == {f"subject=s{k}": 1 for k in range(1, 7)}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.where("subject is not null").count()
+
+
+def test_manifest_order_of_pages_that_share_an_address(spark):
+    columns = ["slug", "media_url", "profile_url", "kind", "alt"]
+    rows = spark.range(0, 200, 1, 13).selectExpr("(id * 37) % 200 AS page_id", *[f"'{c}' AS {c}" for c in columns])
+    placed = pages.ordered_manifest(rows).select("page_id", "position").collect()
+    assert all(r["position"] == r["page_id"] + 1 for r in placed)
