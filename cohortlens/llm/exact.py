@@ -18,17 +18,14 @@ def _text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def _chains(documents: DataFrame, payload: Column | None = None) -> DataFrame:
-    """One row per distinct text: key, text, keep_id, group_size and the payload of the row that stays.
+def _chains(documents: DataFrame) -> DataFrame:
+    """One row per distinct text: key, text, keep_id and group_size.
 
     Grouping on (key, text) chains the texts that collide on a key and tells them apart by their bytes.  Every task first
     merges its own copies, so a text that fills a third of the table sends one row per task.
     """
-    extra = [F.max_by(payload, F.coalesce("doc_id", F.lit(-(2**63)))).alias("payload")] if payload is not None else []
     rows = documents.withColumns({"__text": _text(), "__key": F.xxhash64(_text())})
-    return rows.groupBy("__key", "__text").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *extra
-    )
+    return rows.groupBy("__key", "__text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def directory(entries: DataFrame, n_entries: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
@@ -56,6 +53,11 @@ def build_index(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Columns: bucket, local_depth, key, link (place in the key's chain), digest, n_bytes, keep_id, group_size.  Entries are
     dealt to owner tasks by key range, so a bucket lies with one owner (or, over capacity, with neighbours).
     """
+    return _build(documents, capacity)[0]
+
+
+def _build(documents: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int]:
+    """(index as read back, its directory, depth of the directory)."""
     spark = documents.sparkSession
     entries = cut_lineage(
         _chains(documents).select(
@@ -63,7 +65,8 @@ def build_index(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         )
     )
     slots, depth = directory(entries, entries.count(), capacity)
-    placed = entries.withColumn("slot", F.shiftrightunsigned("__key", 64 - depth)).join(small_side(slots), "slot").drop("slot")
+    slots = small_side(slots)
+    placed = entries.withColumn("slot", F.shiftrightunsigned("__key", 64 - depth)).join(slots, "slot").drop("slot")
     chain = Window.partitionBy("__key").orderBy("digest")
     same = F.lag("digest").over(chain) == F.col("digest")
     clash = F.raise_error(F.lit("two different texts share key and digest")).cast("int")
@@ -71,7 +74,14 @@ def build_index(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     path = f"{shared_folder(spark)}/exact-index-{uuid.uuid4().hex}"
     owned = linked.withColumnRenamed("__key", "key").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "link")
     owned.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), slots, depth
+
+
+def _look_up(rows: DataFrame, index: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """Rows (key, digest, ...) beside their entry: leading bits of the key give the directory slot, the slot the bucket, and
+    the bucket's chain under that key the entry."""
+    placed = rows.withColumn("slot", F.shiftrightunsigned("key", 64 - depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
+    return placed.join(index.drop("local_depth", "link"), ["bucket", "key", "digest"])
 
 
 def group_copies(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -82,10 +92,10 @@ def group_copies(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     back as often as they were given, one of them kept.  Rows without doc_id never beat one with an id.  Other columns are
     ignored, whatever their names.  An empty table gives an empty result.
     """
-    index = build_index(documents.select("doc_id", "text"), capacity)
+    index, slots, depth = _build(documents.select("doc_id", "text"), capacity)
     rows = documents.select("doc_id", F.xxhash64(_text()).alias("key"), F.sha2(_text(), 256).alias("digest"))
     rows = rows.groupBy("doc_id", "key", "digest").agg(F.count(F.lit(1)).alias("__copies"))
-    found = rows.join(index.select("key", "digest", "n_bytes", "keep_id", "group_size"), ["key", "digest"])
+    found = _look_up(rows, index, slots, depth)
     each = found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return each.select(
         "doc_id", "keep_id", "group_size",
@@ -94,11 +104,14 @@ def group_copies(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns: one per distinct text, the one with the largest doc_id.
 
-    The same chains as the index, carrying the row itself, so the texts move once.  Null and empty texts are copies of
-    each other.  Of rows that tie on doc_id and text, one stays.
+    Every row is looked up in the index, whose entry names the row that stays.  Null and empty texts are copies of each
+    other.  Of rows that tie on doc_id and text, one stays.
     """
-    payload = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    return _chains(documents, payload).select("payload.*")
+    index, slots, depth = _build(documents.select("doc_id", "text"), capacity)
+    payload = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("payload")
+    rows = documents.select(F.xxhash64(_text()).alias("key"), F.sha2(_text(), 256).alias("digest"), F.col("doc_id").alias("id"), payload)
+    kept = _look_up(rows, index, slots, depth).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    return kept.groupBy("bucket", "key", "digest").agg(F.first("payload").alias("payload")).select("payload.*")

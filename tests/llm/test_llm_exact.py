@@ -51,3 +51,14 @@ def test_one_text_may_fill_the_table(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     got = exact.group_copies(docs).agg(F.sum(F.col("kept").cast("int")).alias("k"), F.min("group_size").alias("n"), F.min("keep_id").alias("i")).first()
     assert (got["k"], got["n"], got["i"]) == (1, 20_000, 19_999)
+
+
+def test_rows_that_stay_are_looked_up_in_the_index(spark):
+    """Both forms read the stored index through its directory; buckets smaller than the table give the same rows."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('t', id % 700) END AS text", "id * 2 AS other")
+    want = {(r["text"] or ""): r["doc_id"] for r in docs.orderBy("doc_id").collect()}
+    kept = exact.keep_one(docs.union(docs.where("doc_id > 2900")), capacity=16)
+    assert any("exact-index-" in f for f in kept.inputFiles())
+    rows = kept.collect()
+    assert {(r["text"] or ""): r["doc_id"] for r in rows} == want and len(rows) == len(want) and all(r["other"] == 2 * r["doc_id"] for r in rows)
+    assert {r["doc_id"] for r in exact.group_copies(docs, capacity=16).where("kept").collect()} == set(want.values())
