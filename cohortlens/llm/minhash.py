@@ -20,6 +20,7 @@ WIDTH = 5  # words of a shingle
 PERCENT = 75  # similarity of a link, in percent
 CELLS = 4_096  # cells of bucket keys counted to find the hot ones
 BUCKET_BLOCK = 8_192  # members of a bucket compared by sketch in one go
+TASK_ROWS = 4_096  # documents a task takes; few rows are no reason to write files for every shuffle partition
 LINK_BLOCK = 262_144  # shingles of a block of a cluster's members, compared by full sets in one go
 
 
@@ -119,7 +120,7 @@ def _sketches(documents: DataFrame, config: Signature) -> DataFrame:
     return texts.map_batches(documents.select(F.col("doc_id").cast("long"), "text"), kernel, schema)
 
 
-def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
+def _buckets(classes: DataFrame, config: Signature, tasks: int) -> DataFrame:
     """key, id of every class and bucket, buckets of one member left out, with the bucket's smallest id as hub.
 
     Keys fall into ``CELLS`` cells whose rows are counted first.  In a cell of ordinary size no bucket is large, so a window
@@ -136,13 +137,14 @@ def _buckets(classes: DataFrame, config: Signature) -> DataFrame:
 
     keyed = texts.map_batches(classes.select("id", "signature"), kernel, "key long, id long")
     cell = F.pmod("key", F.lit(CELLS))
-    counts = {r["cell"]: r["n"] for r in keyed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``CELLS``
+    counts = {r["cell"]: r["n"] for r in keyed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).coalesce(tasks).collect()}  # at most ``CELLS``
     hot = [c for c, n in counts.items() if n * CELLS > 2 * sum(counts.values())]
     bucket = Window.partitionBy("key")
     cool = keyed.where(~cell.isin(hot)).withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("id").over(bucket))
     warm = keyed.where(cell.isin(hot))
     shared = warm.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"))
-    return cool.where("n > 1").select("key", "id", "hub").unionByName(warm.join(shared.where("n > 1"), "key").select("key", "id", "hub"))
+    both = cool.where("n > 1").select("key", "id", "hub").unionByName(warm.join(shared.where("n > 1"), "key").select("key", "id", "hub"))
+    return both.coalesce(tasks)
 
 
 _SKETCH = ["n", "bins"]
@@ -155,10 +157,10 @@ def _arrays(columns, config: Signature) -> list[np.ndarray]:
     return [sizes, np.frombuffer(b"".join(bins.to_pylist()), np.uint8).reshape(len(sizes), config.bins)]
 
 
-def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
+def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature, percent: int, tasks: int) -> DataFrame:
     """The pairs (a, b) whose sizes and bins let them be links."""
     side = lambda end: classes.select(F.col("id").alias(end), *[F.col(c).alias(c + end) for c in _SKETCH])
-    sided = pairs.join(side("a"), "a").join(side("b"), "b")
+    sided = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b").coalesce(tasks)
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         (na, ba), (nb, bb) = (_arrays([batch.column(c + end) for c in _SKETCH], config) for end in "ab")
@@ -168,9 +170,9 @@ def _within_reach(pairs: DataFrame, classes: DataFrame, config: Signature, perce
     return texts.map_batches(sided, kernel, "a long, b long")
 
 
-def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
+def _sets(ids: DataFrame, documents: DataFrame, tasks: int) -> DataFrame:
     """id and full shingle set of the documents in ``ids``, read again from their texts."""
-    wanted = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids.distinct()), "id", "left_semi")
+    wanted = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids.distinct().coalesce(tasks)), "id", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"id": batch.column(0), "grams": [texts.shingles(t.as_py(), WIDTH).tobytes() for t in batch.column(1)]}
@@ -178,13 +180,12 @@ def _sets(ids: DataFrame, documents: DataFrame) -> DataFrame:
     return texts.map_batches(wanted, sets, "id long, grams binary")
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, documents: DataFrame, percent: int, tasks: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.  Only documents in a pair are read again."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    grams = _sets(ids, documents)
-    sided = pairs.join(grams.withColumnsRenamed({"id": "b", "grams": "gb"}), "b").join(
-        grams.withColumnsRenamed({"id": "a", "grams": "ga"}), "a"
-    )
+    grams = _sets(ids, documents, tasks)
+    sided = pairs.join(grams.withColumnsRenamed({"id": "b", "grams": "gb"}), "b").coalesce(tasks)
+    sided = sided.join(grams.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").coalesce(tasks)
 
     def kernel(batch: pa.RecordBatch) -> Iterator[dict]:
         linked = np.zeros(batch.num_rows, bool)
@@ -197,10 +198,10 @@ def _confirm(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
             linked[i] = 100 * common >= percent * (low + high - common)
         yield {name: batch.column(i).to_numpy(zero_copy_only=False)[linked] for i, name in enumerate("ab")}
 
-    return texts.map_batches(sided.select("a", "b", "ga", "gb"), kernel, "a long, b long").distinct()
+    return texts.map_batches(sided.select("a", "b", "ga", "gb"), kernel, "a long, b long").distinct().coalesce(tasks)
 
 
-def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int) -> DataFrame:
+def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame, config: Signature, percent: int, tasks: int) -> DataFrame:
     """Pairs of components (a, b) that may be linked: some members share a bucket and their sketches allow a link.
 
     Buckets whose members are all connected are done.  In the others most members are often connected already: the others
@@ -210,27 +211,28 @@ def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame,
     no task holds more than two blocks, and a sketch moves once for each such pair.
     """
     labelled = buckets.select("key", "id").join(labels, F.col("id") == F.col("node"), "left")
-    labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component"))
-    shares = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    labelled = labelled.select("key", "id", F.coalesce("component", "id").alias("component")).coalesce(tasks)
+    shares = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
     largest = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts"))
-    members = cut_lineage(labelled.join(largest.where("parts > 1").drop("parts"), "key"))
+    members = cut_lineage(labelled.join(largest.where("parts > 1").drop("parts"), "key").coalesce(tasks))
     few = members.where("component <> major")
     sketched = classes.select("id", *_SKETCH)
 
     among = few.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
     among = among.where("low < high").select("key", _blocks("members").alias("blocks"))
-    dealt = _block_pairs(few.drop("major").join(among, "key").join(sketched, "id"), "key", "id")
+    dealt = _block_pairs(few.drop("major").join(among, "key").coalesce(tasks).join(sketched, "id").coalesce(tasks), "key", "id")
     columns = ["key", "i", "j", "mine", "component", *_SKETCH]
 
-    apart = few.select(F.col("major").alias("key"), "id", "component").distinct()
-    joined = members.where("component = major").select(F.col("major").alias("key"), "id").distinct()
+    apart = few.select(F.col("major").alias("key"), "id", "component").distinct().coalesce(tasks)
+    joined = members.where("component = major").select(F.col("major").alias("key"), "id").distinct().coalesce(tasks)
     count = lambda rows, name: rows.groupBy("key").agg(_blocks(F.count(F.lit(1))).alias(name))
     sizes = count(apart, "rows").join(count(joined, "columns"), "key")
     place = lambda n: F.pmod(F.xxhash64("key", "id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    side = apart.join(sizes, "key").join(sketched, "id").withColumns({"i": place("rows"), "j": each("columns")})
+    meet = lambda rows: rows.join(sizes, "key").coalesce(tasks).join(sketched, "id").coalesce(tasks)
+    side = meet(apart).withColumns({"i": place("rows"), "j": each("columns")})
     side = side.withColumns({"j": -1 - F.col("j"), "mine": F.col("i")})  # blocks of the large component have numbers below 0
-    core = joined.join(sizes, "key").join(sketched, "id").withColumns({"j": -1 - place("columns"), "i": each("rows")})
+    core = meet(joined).withColumns({"j": -1 - place("columns"), "i": each("rows")})
     core = core.withColumns({"mine": F.col("j"), "component": F.col("key")})
     dealt = dealt.select(*columns).unionByName(side.select(*columns)).unionByName(core.select(*columns))
     schema, arrow = texts.schemas("a long, b long")
@@ -275,7 +277,7 @@ def _open_components(buckets: DataFrame, labels: DataFrame, classes: DataFrame,
         return pa.RecordBatch.from_arrays([pa.array(columns[:, k]) for k in (0, 1)], schema=arrow)
 
     keys = ["key", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _blocks(members: Column | str) -> Column:
@@ -289,7 +291,9 @@ def _block_pairs(members: DataFrame, group: str, member: str) -> DataFrame:
     return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
 
 
-def _links_across(open_components: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _links_across(
+    open_components: DataFrame, labels: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, tasks: int
+) -> DataFrame:
     """Links between the components that may be linked, decided on full shingle sets where both sets are at hand.
 
     Components that hang together over open pairs are a cluster.  A cluster's largest component is connected already: its
@@ -297,18 +301,18 @@ def _links_across(open_components: DataFrame, labels: DataFrame, classes: DataFr
     shingles, so long texts make blocks of few members.  A task counts common shingles through an inverted index of its two
     blocks and reports a link only where it connects components that it has not connected yet, so links leave it, not pairs.
     """
-    touched = components(open_components).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    touched = components(open_components, tasks).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     known = labels.select(F.col("node").alias("id"), "component")
-    alone = touched.select(F.col("component").alias("id"), "component").join(known.select("id"), "id", "left_anti")
+    alone = touched.select(F.col("component").alias("id"), "component").join(known.select("id"), "id", "left_anti").coalesce(tasks)
     sized = classes.groupBy("id").agg(F.sum("n").alias("shingles"))
-    members = known.unionByName(alone).join(touched, "component").join(sized, "id")
-    members = cut_lineage(members.select("id", "component", "cluster", "shingles"))
-    parts = members.groupBy("cluster", "component").agg(F.sum("shingles").alias("shingles"))
+    members = known.unionByName(alone).join(touched, "component").coalesce(tasks).join(sized, "id")
+    members = cut_lineage(members.select("id", "component", "cluster", "shingles").coalesce(tasks))
+    parts = members.groupBy("cluster", "component").agg(F.sum("shingles").alias("shingles")).coalesce(tasks)
     major = F.max_by("component", F.struct("shingles", "component")).alias("major")
     clusters = parts.groupBy("cluster").agg(major, F.max("shingles").alias("most"), F.sum("shingles").alias("all"))
     blocks = lambda shingles: F.greatest(F.ceil(shingles / LINK_BLOCK), F.lit(1)).cast("int")
     clusters = clusters.select("cluster", "major", blocks(F.col("most")).alias("cores"), blocks(F.col("all") - F.col("most")).alias("blocks"))
-    members = members.drop("shingles").join(clusters, "cluster")
+    members = members.drop("shingles").join(clusters, "cluster").coalesce(tasks)
     others = members.where("component <> major")
     among = _block_pairs(others, "cluster", "id")
     place = lambda n: F.pmod(F.xxhash64("cluster", "id"), F.col(n)).cast("int")
@@ -318,7 +322,7 @@ def _links_across(open_components: DataFrame, labels: DataFrame, classes: DataFr
     core = members.where("component = major").withColumns({"j": -1 - place("cores"), "i": each("blocks")}).withColumn("mine", F.col("j"))
     columns = ["cluster", "i", "j", "mine", "id", "component"]
     dealt = among.select(*columns).unionByName(side.select(*columns)).unionByName(core.select(*columns))
-    dealt = dealt.join(_sets(members.select("id"), documents), "id")
+    dealt = dealt.join(_sets(members.select("id"), documents, tasks), "id").coalesce(tasks)
 
     def link(key, table):
         mine, ids, label = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
@@ -348,7 +352,7 @@ def _links_across(open_components: DataFrame, labels: DataFrame, classes: DataFr
                     label[label == label[found]] = label[row]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long").distinct()
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long").coalesce(tasks).distinct().coalesce(tasks)
 
 
 def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature = Signature()) -> DataFrame:
@@ -363,37 +367,45 @@ def near_groups(documents: DataFrame, percent: int = PERCENT, config: Signature
     The links are found in two rounds: every member of a bucket is checked against the bucket's smallest id, which
     connects a group of any size with a few pairs each; then components that share a bucket and are still apart, though
     their sketches allow a link, are compared member by member.  A pair left out is one already connected.
+
+    Every step runs in as many tasks as the counted documents need (never more than the session's shuffle partitions).
     """
+    return _near_groups(documents, percent, config)[0]
+
+
+def _near_groups(documents: DataFrame, percent: int, config: Signature) -> tuple[DataFrame, int]:
+    """(the groups, the tasks their steps ran in)."""
     sketches = cut_lineage(_sketches(documents, config))
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, 1 + sketches.count() // TASK_ROWS)
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = cut_lineage(
-        named.groupBy("digest", F.col("n_shingles").alias("n"), "signature", "bins").agg(F.min("doc_id").alias("id"))
+        named.groupBy("digest", F.col("n_shingles").alias("n"), "signature", "bins").agg(F.min("doc_id").alias("id")).coalesce(tasks)
     )
-    buckets = cut_lineage(_buckets(classes, config))
+    buckets = cut_lineage(_buckets(classes, config, tasks))
     spokes = buckets.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut_lineage(_within_reach(spokes, classes, config, percent))
-    links = cut_lineage(_confirm(first, documents, percent))
+    first = cut_lineage(_within_reach(spokes.coalesce(tasks), classes, config, percent, tasks))
+    links = cut_lineage(_confirm(first, documents, percent, tasks))
     repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     held = named.join(repeated, "doc_id", "left_semi").join(classes.select("id", "digest"), "digest")
-    links = links.unionByName(held.select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
-    labels = components(links)
-    still_open = cut_lineage(_open_components(buckets, labels, classes, config, percent))
-    second = _links_across(still_open, labels, classes, documents, percent)
+    links = links.unionByName(held.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).coalesce(tasks))
+    labels = components(links, tasks)
+    still_open = cut_lineage(_open_components(buckets, labels, classes, config, percent, tasks))
+    second = _links_across(still_open, labels, classes, documents, percent, tasks)
     joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
-    final = components(joined)
-    owners = named.select("doc_id", "digest").distinct().join(classes.select("id", "digest"), "digest")
-    owners = owners.join(final, F.col("id") == F.col("node"), "left")
+    final = components(joined, tasks)
+    owners = named.select("doc_id", "digest").distinct().coalesce(tasks).join(classes.select("id", "digest"), "digest")
+    owners = owners.coalesce(tasks).join(final, F.col("id") == F.col("node"), "left").coalesce(tasks)
     placed = owners.groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
     result = sketches.select("doc_id", "n_shingles").join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return result.select(
+    result = result.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+    return result.coalesce(tasks), tasks
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT, config: Signature = Signature()) -> DataFrame:
     """The documents that stay, all columns: one of each near-duplicate group, and every row without doc_id."""
-    kept = near_groups(documents, percent, config).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return documents.join(kept, F.col("doc_id") == F.col("__kept_id"), "left").where(
-        F.col("doc_id").isNull() | F.col("__kept_id").isNotNull()
-    ).drop("__kept_id")
+    groups, tasks = _near_groups(documents, percent, config)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id")).distinct().coalesce(tasks)
+    return documents.join(small_side(dropped), F.col("doc_id") == F.col("__dropped_id"), "left_anti")

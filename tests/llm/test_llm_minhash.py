@@ -89,6 +89,29 @@ def test_chains_and_families_against_brute_force(spark, seed):
         minhash.BUCKET_BLOCK, minhash.LINK_BLOCK = blocks
 
 
+def test_few_documents_take_few_tasks(spark):
+    """Every task writes files of its own; on few documents they took more disk than the rows in them."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    text = [" ".join(llm_cases.words(i // 3, 60)) + f" {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few", "few documents")
+        kept = minhash.keep_one(docs).collect()
+    finally:
+        context._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+    ran = [i for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+    assert {r["doc_id"] for r in kept} == set(range(0, 60, 3))
+    assert sum(i.numCompletedTasks for i in ran) < 64 * 30, sum(i.numCompletedTasks for i in ran)
+
+
 def test_pigeonhole_guarantee():
     config = minhash.Signature()
     rng = np.random.default_rng(5)
