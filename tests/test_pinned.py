@@ -331,6 +331,29 @@ def test_models_held_or_joined_score_alike(spark, monkeypatch):
     assert np.allclose(flat(held), flat(joined))
 
 
+@pytest.mark.parametrize("rows", [2, 3, 6, 999, 10_000])
+@pytest.mark.parametrize("width", [5, 32, 64])
+def test_equal_vectors_tie_wherever_they_lie_in_a_batch(rows, width):
+    vector, mean, median = np.random.default_rng(rows + width).normal(size=(3, width))
+    columns = scoring._against(np.tile(vector, (rows, 1)), mean, median)
+    columns.append(vec.row_sums(np.tile(vector, rows), np.arange(rows + 1) * width))
+    assert [len(np.unique(c)) for c in columns] == [1] * len(columns)
+
+
+def test_candidates_of_equal_vectors_are_ordered_by_path(spark):
+    vector, mean, median = (v.tolist() for v in np.random.default_rng(7).normal(size=(3, 64)))
+    items = spark.range(0, 999, 1, 1).select(
+        F.lit("r").alias("run"), F.col("id").cast("string").alias("item_id"), F.format_string("/out/%04d.png", F.lit(998) - F.col("id")).alias("path"),
+        F.array(*map(F.lit, vector)).alias("embedding"),
+    )
+    model = spark.createDataFrame([(mean, median)], "mean_embedding array<double>, median_embedding array<double>")
+    rows = runs.with_keys(scoring.score_items(items, model), F.array(F.lit("/")))
+    styles = rows.select("run", "item_id", "path", "path_key", F.col("centroid_score").alias("style_score"))
+    gate = rows.select("run", "item_id", "path", "path_key", F.lit(True).alias("qa_pass"), F.lit("fine").alias("reason"))
+    got = runs.rank_candidates(runs.candidate_table(rows, styles, gate, ["run"]), ["run"]).orderBy("position").collect()
+    assert [r["path_key"] for r in got] == [f"/out/{i:04d}.png" for i in range(999)]
+
+
 def test_null_scores_in_blocks_summed_up_and_looked_up(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = {"a": rng.normal(size=(2, 5)), "b": rng.normal(size=(2, 5)), None: rng.normal(size=(2, 3)), "zero": np.zeros((2, 4))}
