@@ -1,11 +1,17 @@
 """Element-wise medians against numpy, with samples far smaller than the groups."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from parity import compare
 from pyspark.sql import functions as F
 
+from cohortlens import plans
 from cohortlens.functions import medians
 
+QUERIES, ORACLES = plans.load()
+
 
 def table(spark, groups):
     rows = [(g, k, None if v is None else [float(x) for x in v]) for g, values in groups.items() for k, v in enumerate(values)]
@@ -68,6 +74,38 @@ def test_counts_added_up_from_many_tasks(spark):
     assert got(medians.element_medians(df, [], "v", "m"), [])[()] == want
 
 
+@pytest.fixture(scope="module")
+def split(spark, tmp_path_factory):
+    """(folder, connection): the tables of sf0.01, five vectors for every one, in 41 files that stay 41 tasks."""
+    import duckdb
+
+    from cohortlens.plans.registry import TABLES
+
+    source, folder = Path("/root/testdata/sf0.01"), tmp_path_factory.mktemp("split")
+    rows = spark.read.parquet(f"{source}/embeddings.parquet")
+    made = F.transform("embedding", lambda e, i: (e * (1 + 0.3 * F.sin(F.col("k") * (i + 1)))).cast("float")).alias("embedding")
+    shifted = rows.crossJoin(spark.range(5).withColumnRenamed("id", "k"))
+    size = rows.count()
+    shifted.select((F.col("vec_id") + F.col("k") * size).alias("vec_id"), made, "label").repartition(41).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    for table in TABLES:
+        if table != "embeddings":
+            (folder / f"{table}.parquet").symlink_to(source / f"{table}.parquet")
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet{'/*.parquet' if table == 'embeddings' else ''}'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["j6_calibration_summary"])
+def test_queries_whose_centroid_is_larger_than_a_sample(spark, split, monkeypatch, name):
+    monkeypatch.setattr(medians, "SAMPLE_ROWS", 64)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        problem, count = compare(spark, split[1], name, QUERIES[name], ORACLES[name], split[0])
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert problem is None and count > 0, problem
+
+
 def test_plan_has_no_row_per_element(spark):
     df = table(spark, {"a": np.ones((500, 3)).tolist(), "b": [[1.0, 2.0, 3.0]]})
     plan = medians.element_medians(df, ["g"], "v", "m", sample_bytes=1)._jdf.queryExecution().toString()
