@@ -95,7 +95,7 @@ def split(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["j6_calibration_summary", "j6_regenerate_first", "j6_seed_plan", "j7_cohort_pages", "k6_candidate_order"])
+@pytest.mark.parametrize("name", ["j6_calibration_summary", "j6_regenerate_first", "j6_seed_plan", "j7_cohort_pages", "k6_candidate_order", "m8_score_ranking"])
 def test_queries_whose_centroid_is_larger_than_a_sample(spark, split, monkeypatch, name):
     monkeypatch.setattr(medians, "SAMPLE_ROWS", 64)
     spark.conf.set("spark.sql.files.openCostInBytes", "1g")
