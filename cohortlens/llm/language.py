@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .texts import bound_batches
+from .texts import bound_batches, give_back, remembered
 
 UNDETERMINED = "und"
 TRAIN_SYMBOLS = 40_000  # symbols of labelled text learned per language
@@ -21,6 +21,7 @@ TRAIN_CHARS = 8_000  # rows longer than this are sampled only where shorter ones
 BLOCK = 4_096  # symbols parsed in one go; a phrase does not reach over the end of a block
 LANES = 4_096  # blocks parsed side by side
 WIDE_LANES = 1_024  # the same where symbols take four bytes
+SLICE_CHARS = 4 * 1024 * 1024  # characters of texts classified in one go
 
 _SEPARATOR, _UNKNOWN = 1, 0  # symbol of a run of non-letters, symbol of a letter no language was learned with
 _STEP = 28  # a transition holds the target in its low bits and the phrases it closes above
@@ -189,16 +190,18 @@ class SparseTransitions:
         return target, closed
 
 
-_prepared: dict[LanguageModel, tuple[np.ndarray, list[np.ndarray | SparseTransitions]]] = {}
-
-
-def _prepare(model: LanguageModel):
-    if model not in _prepared:
-        _prepared.clear()
+def _prepare(model: LanguageModel) -> tuple[np.ndarray, list[np.ndarray | SparseTransitions]]:
+    prepared = remembered("language")
+    if model not in prepared:
+        prepared.clear()
         n, kind = len(model.letters) + 2, symbol_type(model.letters)
         build = transitions if kind.itemsize == 1 else SparseTransitions
-        _prepared[model] = symbol_table(model.letters), [build(np.frombuffer(codes, kind).tolist(), n) for _, codes in model.texts]
-    return _prepared[model]
+        automata = []
+        for _, codes in model.texts:
+            automata.append(build(np.frombuffer(codes, kind).tolist(), n))
+            give_back()  # an automaton is built from as many dictionaries as it has states
+        prepared[model] = symbol_table(model.letters), automata
+    return prepared[model]
 
 
 def count_phrases(blocks: list[np.ndarray], table: np.ndarray | SparseTransitions) -> np.ndarray:
@@ -254,6 +257,18 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
     return [names[b] if s else UNDETERMINED for b, s in zip(best, seen)], score
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """All texts in order, in slices of ``SLICE_CHARS`` characters or one text."""
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= SLICE_CHARS:
+            yield texts[start : i + 1]
+            start, chars = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def with_language(documents: DataFrame, model: LanguageModel, text: str = "text", name: str = "__language") -> DataFrame:
     """``documents`` with a struct column ``name`` of lang_pred and score, from the whole text alone.
 
@@ -265,8 +280,13 @@ def with_language(documents: DataFrame, model: LanguageModel, text: str = "text"
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            names, score = classify([t if isinstance(t, str) else None for t in part], model)
-            yield pd.DataFrame({"lang_pred": names, "score": score})
+            names, scores = [], [np.empty(0)]
+            for some in _slices([t if isinstance(t, str) else None for t in part]):
+                told, score = classify(some, model)
+                names += told
+                scores.append(score)
+            yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores)})
+            give_back()
 
     bound_batches(documents)
     return documents.withColumn(name, predict(F.col(text)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,15 +18,32 @@ CACHE_WORDS = 100_000  # words a task remembers the hash of; beyond it the memor
 U64 = np.uint64
 
 
+_remembered: dict[str, dict] = {}  # what this process keeps from batch to batch, by the kernels it belongs to
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def remembered(owner: str, kind: type[dict] = dict) -> dict:
+    """What ``owner``'s kernels keep in this process.  A worker serves one operator after another: others' memories go."""
+    if owner not in _remembered:
+        _remembered.clear()
+        give_back()
+        _remembered[owner] = kind()
+    return _remembered[owner]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an executor's workers live through all stages, and their allocators keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-_hashes = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit (splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -39,9 +57,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, tokens), U64, len(tokens))
+    hashes = remembered("words", _WordHashes)
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    return np.fromiter(map(hashes.__getitem__, tokens), U64, len(tokens))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +107,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[dict]
         for batch in batches:
             for columns in kernel(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, spark_schema)
 

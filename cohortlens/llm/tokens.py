@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
+from . import texts as shared
+
 JSON_PATH = public_tokenizers.path("byte_bpe_50k.json")  # both must be readable on every executor
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SLICE_BYTES = 4 * 1024 * 1024  # text encoded in one go
@@ -74,12 +76,14 @@ class Encoder:
         distinct = pieces.dictionary.to_pylist()
         self._learn(distinct)
         known = [self._known[p] for p in distinct]
-        widths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        widths = np.fromiter(map(len, known), np.int32, len(known)) // 4  # a slice has fewer ids than bytes, below 2**31
         stored = np.frombuffer(b"".join(known), "<u4")
         index = pieces.indices.to_numpy(zero_copy_only=False)
         width = widths[index]
         ends = np.concatenate(([0], np.cumsum(width)))
-        ids = stored[np.arange(ends[-1]) + np.repeat((np.cumsum(widths) - widths)[index] - ends[:-1], width)]
+        place = np.repeat(((np.cumsum(widths) - widths)[index] - ends[:-1]).astype(np.int32), width)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = stored[place]
         bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         for start, end in zip(bounds[:-1], bounds[1:]):
             yield ids[start:end]
@@ -100,11 +104,10 @@ class Encoder:
         self._known.update(zip(new, (blob[a:b] for a, b in zip(starts, ends)), strict=True))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(json_path: str = JSON_PATH, ranks_path: str = RANKS_PATH) -> Encoder:
     """The encoder of this process."""
-    if (json_path, ranks_path) not in _encoders:
-        _encoders[json_path, ranks_path] = Encoder(json_path, ranks_path)
-    return _encoders[json_path, ranks_path]
+    encoders = shared.remembered("tokens")
+    if (json_path, ranks_path) not in encoders:
+        encoders[json_path, ranks_path] = Encoder(json_path, ranks_path)
+        shared.give_back()
+    return encoders[json_path, ranks_path]

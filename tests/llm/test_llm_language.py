@@ -105,3 +105,11 @@ def test_letters_of_large_scripts_are_all_learned(spark):
 def test_unknown_letters_do_not_match_each_other():
     table = language.transitions(bytes([0] * 50), 3)
     assert language.count_phrases([np.zeros(20, np.uint8)], table).tolist() == [20]
+
+
+def test_slices_hold_every_text_in_order(monkeypatch):
+    monkeypatch.setattr(language, "SLICE_CHARS", 10)
+    texts = ["abc", None, "", "a" * 50, "abcdefgh", "ij", "k", None]
+    slices = list(language._slices(texts))
+    assert [t for s in slices for t in s] == texts and len(slices) == 3
+    assert list(language._slices([])) == []

@@ -1,9 +1,13 @@
+import gc
+import weakref
+
 import llm_cases
+import pyarrow as pa
 from test_llm_minhash import brute as near_brute
 from test_llm_packing import check_places
 
 import corpus_pipeline
-from cohortlens.llm import decontaminate, language
+from cohortlens.llm import decontaminate, language, texts, tokens
 
 
 def test_stages_against_brute_force(spark, folder):
@@ -37,3 +41,20 @@ def test_language_stage_drops_only_texts_without_letters(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_known_languages(spark, docs, folder)
     assert {r["doc_id"] for r in kept.collect()} == {0, 4} and language.UNDETERMINED == "und"
+
+
+def test_a_worker_keeps_nothing_of_the_stage_before():
+    """One process runs the kernels of all stages, as an executor's worker does: the automata go when words or tokens come."""
+    codes = bytes([2, 3, 1, 3, 2] * 50)
+    for later in (lambda: texts.shingles("some words of a text here"), lambda: list(tokens.encoder().encode(pa.array(["some words"])))):
+        model = language.LanguageModel("ab", (("x", codes),))
+        assert language.classify(["abba", "ab ab"], model)[0] == ["x", "x"]
+        held = weakref.ref(language._prepare(model)[1][0])
+        later()
+        gc.collect()
+        assert held() is None
+    encoder = weakref.ref(tokens.encoder())
+    assert encoder() is tokens.encoder()  # the same operator's memory stays from batch to batch
+    assert len(texts.shingles("some words of a text here")) == 2
+    gc.collect()
+    assert encoder() is None
