@@ -185,6 +185,49 @@ def test_a_subject_folder_has_one_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.where("subject is not null").count()
 
 
+def test_a_subject_is_worked_out_once_per_row(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def subject(k):
+        calls.add(1)
+        return f"s{k % 7}" if k % 7 else None
+
+    rows = spark.range(0, 1000, 1, 4).withColumn("subject", F.udf(subject, "string")("id"))
+    files.write_by_subject(rows, str(tmp_path / "out"))
+    assert calls.value == 1000
+    assert files.read_by_subject(spark, str(tmp_path / "out"), rows.schema).count() == 1000 - len(range(0, 1000, 7))
+
+
+def test_few_bytes_in_many_folders_are_written_by_all_cores(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id", "concat('s', id) AS subject")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    files.write_by_subject(rows, str(tmp_path / "out"))
+    written = [f.name for f in (tmp_path / "out").glob("subject=*/part-*.parquet")]
+    assert len(written) == 400 and len({name.split("-")[1] for name in written}) >= spark.sparkContext.defaultParallelism
+    assert spark.conf.get(setting) == before
+
+
+def test_folders_are_listed_by_a_few_tasks_and_keep_their_names(spark, tmp_path):
+    rows = spark.range(80).selectExpr("id", "lpad(id, 3, '0') AS subject")
+    files.write_by_subject(rows, str(tmp_path / "out"))
+    setting, group = "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tmp_path)
+    before, context = spark.conf.get(setting), spark.sparkContext
+    context.setJobGroup(group, "listing")
+    back = files.read_by_subject(spark, str(tmp_path / "out"), rows.schema)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism < 80 and spark.conf.get(setting) == before
+    assert sorted(map(tuple, back.select("id", "subject").collect())) == [(k, f"{k:03}") for k in range(80)]
+
+
+def test_no_row_with_a_subject_gives_no_rows(spark, tmp_path):
+    rows = spark.range(5).selectExpr("id", "cast(NULL AS string) AS subject")
+    files.write_by_subject(rows, str(tmp_path / "out"))
+    assert files.read_by_subject(spark, str(tmp_path / "out"), rows.schema).count() == 0
+
+
 def test_manifest_order_of_pages_that_share_an_address(spark):
     columns = ["slug", "media_url", "profile_url", "kind", "alt"]
     rows = spark.range(0, 200, 1, 13).selectExpr("(id * 37) % 200 AS page_id", *[f"'{c}' AS {c}" for c in columns])
